@@ -18,6 +18,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, docs_of, per_worker
 
@@ -174,7 +175,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, per_task: int = PIECES_PER_T
     """Adds sequence_id and offset to rows that have doc_id, piece and length (1 to capacity); other columns pass through."""
     rows = cut(rows)
     tasks = max(1, -(-rows.count() // per_task))
-    schema = rows.schema.add("sequence_id", "long").add("offset", "long")
+    schema = T.StructType([*rows.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
