@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact, packing, toxicity, urlfilter
+from . import chat, decontaminate, exact, jaccard, packing, toxicity, urlfilter
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op4_url_filter(spark, sf_dir):
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"), outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_jaccard_join(spark, sf_dir):
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark, sf_dir):
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -61,7 +65,7 @@ from e group by conv_id"""
 
 
 def queries():
-    return {f.__name__: f for f in (op3_exact_dedup, op4_url_filter, op6_toxicity, op7_decontamination, op9_best_fit_packing, op10_chat_format)}
+    return {f.__name__: f for f in (op3_exact_dedup, op4_url_filter, op5_jaccard_join, op6_toxicity, op7_decontamination, op9_best_fit_packing, op10_chat_format)}
 
 
 def oracle_sql():
