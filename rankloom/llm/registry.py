@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact, jaccard, packing, toxicity, urlfilter
+from . import chat, decontaminate, exact, jaccard, packing, passages, toxicity, urlfilter
 from .common import table
 
 
@@ -14,6 +14,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_substring_dedup(spark, sf_dir):
+    return passages.substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op3_exact_dedup(spark, sf_dir):
     return exact.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -65,7 +69,7 @@ from e group by conv_id"""
 
 
 def queries():
-    return {f.__name__: f for f in (op3_exact_dedup, op4_url_filter, op5_jaccard_join, op6_toxicity, op7_decontamination, op9_best_fit_packing, op10_chat_format)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_exact_dedup, op4_url_filter, op5_jaccard_join, op6_toxicity, op7_decontamination, op9_best_fit_packing, op10_chat_format)}
 
 
 def oracle_sql():
