@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact, jaccard, packing, passages, toxicity, urlfilter
+from . import chat, decontaminate, exact, jaccard, packing, passages, suffixes, toxicity, urlfilter
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op7_decontamination(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_suffix_dedup(spark, sf_dir):
+    return suffixes.suffix_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -69,7 +73,7 @@ from e group by conv_id"""
 
 
 def queries():
-    return {f.__name__: f for f in (op1_substring_dedup, op3_exact_dedup, op4_url_filter, op5_jaccard_join, op6_toxicity, op7_decontamination, op9_best_fit_packing, op10_chat_format)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_exact_dedup, op4_url_filter, op5_jaccard_join, op6_toxicity, op7_decontamination, op8_suffix_dedup, op9_best_fit_packing, op10_chat_format)}
 
 
 def oracle_sql():

@@ -34,7 +34,7 @@ def anchors(values: np.ndarray, first: np.ndarray, width: int, gram: int):
     place_bits = np.uint64(max(1, int(n).bit_length()))
     least = sliding_min((keys >> place_bits << place_bits) | at.astype(np.uint64), width - gram + 1)
     window = np.arange(len(least))
-    text = np.searchsorted(first, window, "right") - 1
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))[: len(least)]
     inside = window + width <= first[text + 1]
     window, text = window[inside], text[inside]
     place = (least[inside] & ((np.uint64(1) << place_bits) - np.uint64(1))).astype(np.int64)
