@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact, jaccard, packing, passages, suffixes, toxicity, urlfilter
+from . import chat, decontaminate, exact, jaccard, language, packing, passages, suffixes, toxicity, urlfilter
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op1_substring_dedup(spark, sf_dir):
     return passages.substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op2_language_id(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark, sf_dir):
     return exact.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -73,7 +77,7 @@ from e group by conv_id"""
 
 
 def queries():
-    return {f.__name__: f for f in (op1_substring_dedup, op3_exact_dedup, op4_url_filter, op5_jaccard_join, op6_toxicity, op7_decontamination, op8_suffix_dedup, op9_best_fit_packing, op10_chat_format)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_exact_dedup, op4_url_filter, op5_jaccard_join, op6_toxicity, op7_decontamination, op8_suffix_dedup, op9_best_fit_packing, op10_chat_format)}
 
 
 def oracle_sql():
