@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, docs_of
+from .common import docs_of
 from .repeats import candidates, merged, removed, stretches
 from .tokens import EXACT, split_words, word_hashes
 
 WIDTH, GRAM = 50, 12
 #: Windows that one automaton is compiled from, at most (a group of fewer than HOT stretches is never split).
 AUTOMATON = 20_000
+#: Names of pieces that a scan task remembers to settle equal ones before they are sent.
+SEEN = 300_000
 SPANS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 
 
@@ -87,6 +89,9 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     """doc_id, start, stop (in words): what windows cover that an earlier document has too; spans may overlap."""
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        seen: dict[tuple[int, bytes], int] = {}
         for ids, data, offsets, first, text, key, hot, _, lo, hi in stretches(batches, words, width, gram):
             flat, starts, ends, _ = split_words(data, offsets, EXACT)
             whole = flat.tobytes()
@@ -95,24 +100,20 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
             row = np.repeat(np.arange(len(key)), np.where(hot, hi - lo + 1, 1))
             begin = lo[row] + np.where(single, np.arange(len(row)) - np.searchsorted(row, row), 0)
             last = np.where(single, begin, hi[row]) + width
-            seen: dict[tuple[int, bytes], int] = {}
             out: list[list] = [[], [], [], [], []]
+            if len(seen) > SEEN:
+                seen.clear()
             for r, a, b, one in zip(row.tolist(), begin.tolist(), last.tolist(), single.tolist(), strict=True):
                 doc, at = int(ids[text[r]]), a - int(first[text[r]])
                 piece = b" ".join(whole[starts[a] : ends[b - 1]].replace(b"\0", b" ").split())
-                group = int(key[r]) if not one else hash_of(piece)
-                # what an earlier document of this chunk has word for word is settled here
-                known = seen.setdefault((group, piece), doc)
-                settled = known < doc
+                name = xxhash.xxh3_128_digest(piece)
+                group = int(key[r]) if not one else int.from_bytes(name[:8], "little") >> 1 | 1 << 62
+                # what an earlier document of this task has word for word is settled here
+                settled = seen.setdefault((group, name), doc) < doc
                 for c, v in zip(out, (group, doc, at, at + b - a, None if settled else piece), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary())], names=["group", "doc_id", "start", "stop", "piece"])
 
-    def hash_of(piece: bytes) -> int:
-        import xxhash
-
-        return xxhash.xxh3_64_intdigest(piece) >> 1 | 1 << 62
-
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, last = Shard(width), None
 
@@ -121,22 +122,17 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=SPANS)
 
         for b in batches:
-            for group, doc, start, piece in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            settled = b.column("piece").is_null()
+            yield b.filter(settled).select(SPANS.names)
+            for group, doc, start, piece in zip(*(b.filter(pa.compute.invert(settled)).column(k).to_pylist() for k in ("group", "doc_id", "start", "piece")), strict=True):
                 if shard.windows > AUTOMATON and group != last:
                     yield rows(list(shard.located()))
                 last = group
                 shard.add(group, doc, start, piece)
         yield rows(list(shard.located()))
 
-    pieces = cut(candidates(docs, words, width, gram, across=True).select("doc_id", "text", "keys", "hot").mapInArrow(cut_out, "group long, doc_id long, start long, stop long, piece binary"))
-    settled = pieces.where("piece is null").select("doc_id", "start", "stop")
-    open_ = pieces.where("piece is not null").select("group", "doc_id", "start", "piece")
-    # of equal pieces only those of the smallest document go through the automata; the others are repeats as a whole
-    least = open_.groupBy("group", F.sha2("piece", 256).alias("sha")).agg(F.min("doc_id").alias("least"))
-    known = open_.withColumn("sha", F.sha2("piece", 256)).join(least, ["group", "sha"])
-    later = known.where("doc_id > least").select("doc_id", "start", (F.col("start") + F.size(F.split(F.col("piece").cast("string"), " "))).alias("stop"))
-    located = known.where("doc_id = least").select("group", "doc_id", "start", "piece").repartition("group").sortWithinPartitions("group", "doc_id").mapInArrow(locate, "doc_id long, start long, stop long")
-    return settled.union(later).union(located)
+    pieces = candidates(docs, words, width, gram, across=True).select("doc_id", "text", "keys", "hot").mapInArrow(cut_out, "group long, doc_id long, start long, stop long, piece binary")
+    return pieces.repartition("group").sortWithinPartitions("group", "doc_id").mapInArrow(locate, "doc_id long, start long, stop long")
 
 
 def substring_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
