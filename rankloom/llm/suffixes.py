@@ -184,7 +184,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
             for (content, q), (doc, place, near, far) in held.items():
                 by_part.setdefault(part_of[content, q], []).append((content[q:], content[:q][::-1], doc, place, near, far))
             rows = [{"part": p} | encode(sorted(own)) for p, own in by_part.items()]
-            rows += [{"doc_id": d, "start": a, "stop": b} for d, a, b in settled]
+            rows += [{"part": d % parts, "doc_id": d, "start": a, "stop": b} for d, a, b in settled]
             held.clear(), part_of.clear(), settled.clear()
             kinds = [(f, pa.int64()) for f in ("part", "doc_id", "start", "stop")] + [(f, pa.binary()) for f in FIELDS]
             return pa.RecordBatch.from_arrays([pa.array([r.get(f) for r in rows], k) for f, k in kinds], names=[f for f, _ in kinds])
@@ -220,7 +220,9 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
             return pa.RecordBatch.from_arrays(list(map(pa.array, repeated(runs, width))), names=["doc_id", "start", "stop"])
 
         for b in batches:
-            for row in b.to_pylist():
+            settled = b.column("docs").is_null()
+            yield b.filter(settled).select(["doc_id", "start", "stop"])
+            for row in b.filter(pa.compute.invert(settled)).to_pylist():
                 if row["part"] != part and runs:
                     yield out()
                     runs = []
@@ -229,10 +231,8 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
         if runs:
             yield out()
 
-    rows = cut(docs.join(keys, "doc_id").select("doc_id", "text", "keys", "hot").mapInArrow(sort, DDL))
-    runs = rows.where("part is not null").select("part", *FIELDS)
-    merged_runs = runs.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "doc_id long, start long, stop long")
-    return rows.where("part is null").select("doc_id", "start", "stop").union(merged_runs)
+    rows = docs.join(keys, "doc_id").select("doc_id", "text", "keys", "hot").mapInArrow(sort, DDL)
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "doc_id long, start long, stop long")
 
 
 def suffix_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
