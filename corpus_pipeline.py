@@ -1,13 +1,57 @@
-"""Cleans and packs a corpus: STAGES over documents, each on all that the one before kept."""
+"""Cleans and packs a corpus: STAGES over documents, each on all that the one before kept.
+
+toxicity: documents whose toxicity score reaches 0.5 go. exact_dedup: of equal texts the largest doc_id stays.
+near_dedup: of each group linked by five-word shingles the smallest doc_id stays. decontaminate: documents that hold a
+benchmark item go. pack: pieces of at most 2048 tokens in sequences. All stages but the last return the columns of
+documents. Rows of a null doc_id can't be linked or labelled: near_dedup keeps them as they are.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import functions as F
+
+from rankloom.llm import decontaminate, exact, jaccard, packing, registry, toxicity
+from rankloom.llm.common import table
+
+
+def drop_toxic(spark, docs, sf_dir):
+    kept = docs.columns
+    own = docs.select(*(F.col(f"`{c}`").alias(f"_{c}") for c in kept), F.col("text"), F.col("doc_id"))
+    training = toxicity.training_rows(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(own.drop("doc_id"), training)
+    return scored.where(F.col("score") < 0.5).select(*(F.col(f"`_{c}`").alias(c) for c in kept))
+
+
+def drop_copies(spark, docs, sf_dir):
+    keep = exact.distinct_texts(docs, keep="largest").select(F.col("owner").alias("_owner"))
+    named = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_owner")), "left_semi")
+    return named.dropDuplicates(["doc_id"])
+
+
+def drop_near_copies(spark, docs, sf_dir):
+    classes = jaccard.near_duplicates(docs).where("doc_id != component_id").select(F.col("doc_id").alias("_later"))
+    return docs.join(classes, F.col("doc_id") == F.col("_later"), "left_anti")
+
+
+def drop_contaminated(spark, docs, sf_dir):
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark, docs, sf_dir):
+    return packing.pack_documents(docs, registry.tokenizer_path())
+
+
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("decontaminate", drop_contaminated), ("pack", pack)]
+#: Models and sequences are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
+    from rankloom.llm.common import cut
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = cut(docs)
     return docs

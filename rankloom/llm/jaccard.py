@@ -33,8 +33,8 @@ from .tokens import FOLDED, MIX1, mixed, shingle_hashes, split_words, word_hashe
 N = 5
 #: Jaccard threshold NUM / DEN; the share of a set that its prefix has beyond what one common member needs.
 NUM, DEN, EXTRA = 75, 100, 0.10
-#: Sets in a block of a trie; bytes of text handled at once; bits of a member's hash that prefixes are exchanged with.
-BLOCK, CHUNK, BITS = 256, 2 << 20, 44
+#: Sets in a block of a trie; pairs a document that a group may list; bytes of text handled at once; bits of a member's hash that prefixes are exchanged with.
+BLOCK, PAIRS, CHUNK, BITS = 256, 32, 2 << 20, 44
 
 
 def sets_of(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -186,32 +186,53 @@ def block_of(count: Column, doc: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit("block"), doc), F.ceil(count / BLOCK))
 
 
-def star_tasks(met: DataFrame) -> DataFrame:
-    """Each member's group against its smallest document."""
-    lead = met.groupBy("member").agg(F.min("doc_id").alias("lead"))
-    pairs = met.join(lead, "member").where("doc_id != lead").select("lead", "doc_id").distinct()
+def lead_tasks(pairs: DataFrame) -> DataFrame:
+    """pairs (lead, doc_id): each lead against blocks of its documents."""
+    pairs = pairs.distinct()
     sizes = pairs.groupBy("lead").agg(F.count("*").alias("n"))
     own = pairs.join(sizes, "lead").select("lead", block_of(F.col("n"), F.col("doc_id")).alias("block"), "doc_id")
     task = F.xxhash64("lead", "block").alias("task")
     return own.select(task, F.lit(False).alias("probe"), "doc_id").union(own.select(task, F.lit(True), "lead").distinct())
 
 
-def cross_tasks(met: DataFrame) -> DataFrame:
-    """met (member, doc_id, label): blocks of each label of a group against blocks of its other labels.
+def star_tasks(met: DataFrame) -> DataFrame:
+    """Each member's group against its smallest document."""
+    lead = met.groupBy("member").agg(F.min("doc_id").alias("lead"))
+    return lead_tasks(met.join(lead, "member").where("doc_id != lead").select("lead", "doc_id"))
+
+
+def cross_tasks(met: DataFrame, sizes: DataFrame) -> DataFrame:
+    """met (member, doc_id, label): what could link a group's labels to each other.
 
-    Groups of the same documents count once.
+    Groups of the same documents count once. Where a group has at most PAIRS pairs of different labels a document, these
+    are listed (of fitting sizes), as many groups have them in common. Other groups are joined by blocks: documents of a label that fills more
+    than a block lie in blocks of their own, which aren't joined with each other; all others share blocks.
     """
     twin = met.groupBy("member").agg(F.count("*").alias("n"), *(F.bit_xor(F.xxhash64(F.lit(k), "doc_id")).alias(f"x{k}") for k in (1, 2)))
     once = twin.groupBy("n", "x1", "x2").agg(F.min("member").alias("member")).select("member")
-    met = met.join(once, "member")
-    sizes = met.groupBy("member", "label").agg(F.count("*").alias("n"))
-    blocks = sizes.select("member", "label", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / BLOCK) - 1).cast("int"))).alias("block"))
-    other = blocks.select("member", F.col("label").alias("label2"), F.col("block").alias("block2"))
-    pairs = blocks.join(other, "member").where("label < label2").withColumn("task", F.xxhash64("member", "label", "block", "label2", "block2"))
-    placed = met.join(sizes, ["member", "label"]).select("member", "label", block_of(F.col("n"), F.col("doc_id")).alias("block"), "doc_id")
-    left = placed.join(pairs.select("member", "label", "block", "task"), ["member", "label", "block"]).select("task", F.lit(False).alias("probe"), "doc_id")
-    mine = pairs.select("member", F.col("label2").alias("label"), F.col("block2").alias("block"), "task")
-    return left.union(placed.join(mine, ["member", "label", "block"]).select("task", F.lit(True), "doc_id"))
+    met = met.join(once, "member").join(sizes, "doc_id").select("member", "doc_id", "label", "n_shingles")
+
+    # pairs of different labels that a group has: few where one label has nearly all documents
+    each_label = met.groupBy("member", "label").agg(F.count("*").alias("k"))
+    crossing = each_label.groupBy("member").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("kk"))
+    met = cut(met.join(crossing.select("member", (F.col("n") * F.col("n") - F.col("kk") <= 2 * PAIRS * F.col("n")).alias("few")), "member"))
+    small = met.where("few").select("member", "doc_id", "label", "n_shingles")
+    other = small.select("member", F.col("doc_id").alias("lead"), F.col("label").alias("label2"), F.col("n_shingles").alias("n2"))
+    fits = (F.least("n_shingles", "n2") * DEN >= F.greatest("n_shingles", "n2") * NUM) & (F.col("label") < F.col("label2"))
+    pairs = small.join(other, "member").where(fits).select("lead", "doc_id")
+
+    large = met.where(~F.col("few")).select("member", "doc_id", "label")
+    filled = large.groupBy("member", "label").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).select("member", "label", F.lit(True).alias("filled"))
+    large = large.join(filled, ["member", "label"], "left").select("member", "doc_id", F.when(F.col("filled"), F.col("label")).otherwise(F.lit(-1 << 62)).alias("kind"))
+    blocks = large.groupBy("member", "kind").agg(F.count("*").alias("n"))
+    placed = large.join(blocks, ["member", "kind"]).select("member", "kind", block_of(F.col("n"), F.col("doc_id")).alias("block"), "doc_id")
+    each = blocks.select("member", "kind", F.explode(F.sequence(F.lit(0).cast("long"), (F.ceil(F.col("n") / BLOCK) - 1).cast("long"))).alias("block"))
+    second = each.select("member", F.col("kind").alias("kind2"), F.col("block").alias("block2"))
+    joined = each.join(second, "member").where((F.struct("kind", "block") <= F.struct(F.col("kind2").alias("kind"), F.col("block2").alias("block"))) & ((F.col("kind") != F.col("kind2")) | (F.col("kind") == -1 << 62)))
+    joined = joined.withColumn("task", F.xxhash64("member", "kind", "block", "kind2", "block2"))
+    left = placed.join(joined.select("member", "kind", "block", "task"), ["member", "kind", "block"]).select("task", F.lit(False).alias("probe"), "doc_id")
+    mine = joined.select("member", F.col("kind2").alias("kind"), F.col("block2").alias("block"), "task")
+    return lead_tasks(pairs).union(left).union(placed.join(mine, ["member", "kind", "block"]).select("task", F.lit(True), "doc_id"))
 
 
 def labelled(met: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -224,13 +245,12 @@ def labelled(met: DataFrame, labels: DataFrame | None) -> DataFrame:
     return met.join(split, "member")
 
 
-def jaccard_links(reps: DataFrame, n: int = N) -> tuple[DataFrame | None, DataFrame | None]:
-    """(links a, b between documents; their components v, label) of reps (doc_id, text), whose sets all differ; None: no link."""
-    prefixes = described(reps, n, "prefix")
+def jaccard_links(docs: DataFrame, sizes: DataFrame, n: int = N) -> tuple[DataFrame | None, DataFrame | None]:
+    """(links a, b between documents; their components v, label) of the docs that sizes (doc_id, n_shingles) names, whose sets all differ; None: no link."""
+    prefixes = described(docs, n, "prefix").join(sizes.select("doc_id"), "doc_id", "left_semi")
     rows = exploded(prefixes, BITS)
     shared = rows.groupBy("member").agg(F.count("*").alias("df")).where("df > 1")
     met = rows.join(shared, "member").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "member"))).alias("own"))
-    sizes = described(reps, n, "name").select("doc_id", "n_shingles")
     size = F.col("n_shingles")
     least = F.ceil(size * NUM / DEN)
     least_shared = F.greatest(F.lit(1), F.floor(least * EXTRA))  # needed(n), one less to be safe from rounding
@@ -238,7 +258,7 @@ def jaccard_links(reps: DataFrame, n: int = N) -> tuple[DataFrame | None, DataFr
     keep = met.join(sizes, "doc_id").select("doc_id", F.slice("own", F.lit(1), F.greatest(F.lit(0), F.size("own") - least_shared + 1).cast("int")).alias("own"))
     met = cut(keep.select("doc_id", F.explode("own.member").alias("member")))
     wanted = met.select("doc_id").distinct()
-    sets = cut(described(reps.join(wanted, "doc_id", "left_semi"), n, "set"))
+    sets = cut(described(docs.join(wanted, "doc_id", "left_semi"), n, "set"))
     links = cut(trie_join(star_tasks(met), sets))
     labels = components(links) if not links.isEmpty() else None
     open_ = cut(labelled(met, labels))
@@ -249,7 +269,7 @@ def jaccard_links(reps: DataFrame, n: int = N) -> tuple[DataFrame | None, DataFr
         enough = tokens.join(common, "member", "left_semi").groupBy("doc_id").agg(F.count("*").alias("m")).join(own.select("doc_id", "n_shingles"), "doc_id").where(F.col("m") >= F.ceil(size * NUM / DEN))
         open_ = cut(labelled(open_.join(enough, "doc_id", "left_semi").select("member", "doc_id"), labels))
         if not open_.isEmpty():
-            links = cut(links.union(trie_join(cross_tasks(open_), sets)))
+            links = cut(links.union(trie_join(cross_tasks(open_, sets.select("doc_id", "n_shingles")), sets)))
             labels = components(links) if not links.isEmpty() else None
     return (links, labels) if labels is not None else (None, None)
 
@@ -260,8 +280,7 @@ def near_duplicates(docs: DataFrame, n: int = N) -> DataFrame:
     named = cut(described(docs, n, "name"))
     full = named.where("n_shingles > 0")
     classes = full.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    reps = docs.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    _, labels = jaccard_links(reps, n)
+    _, labels = jaccard_links(docs, classes.select(F.col("rep").alias("doc_id"), "n_shingles"), n)
     of = full.join(classes, ["k1", "k2", "n_shingles"]).select("doc_id", "n_shingles", "rep")
     if labels is not None:
         of = of.join(labels, F.col("rep") == F.col("v"), "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("rep"))
