@@ -23,9 +23,11 @@ def drop_toxic(spark, docs, sf_dir):
 
 
 def drop_copies(spark, docs, sf_dir):
-    keep = exact.distinct_texts(docs, keep="largest").select(F.col("owner").alias("_owner"))
-    named = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_owner")), "left_semi")
-    return named.dropDuplicates(["doc_id"])
+    nobody = F.lit(-(1 << 63))
+    keep = exact.distinct_texts(docs, keep="largest").select(F.coalesce("owner", nobody).alias("_id"), F.col("digest").alias("_digest"))
+    named = docs.withColumns({"_id": F.coalesce("doc_id", nobody), "_digest": F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))})
+    # the join already deals rows by both columns, so repeated rows of an owner meet without another exchange
+    return named.join(keep.hint("merge"), ["_id", "_digest"], "left_semi").dropDuplicates(["_id", "_digest"]).select(*docs.columns)
 
 
 def drop_near_copies(spark, docs, sf_dir):
