@@ -22,6 +22,8 @@ from .repeats import candidates, merged, removed, stretches
 from .tokens import EXACT, split_words, word_hashes
 
 WIDTH, GRAM = 50, 12
+#: Occurrences beyond which an anchor's windows are dealt out one by one.
+HOT = 2_000
 #: Windows that one automaton is compiled from, at most (a group of fewer than HOT stretches is never split).
 AUTOMATON = 20_000
 #: Names of pieces that a scan task remembers to settle equal ones before they are sent.
@@ -131,7 +133,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
                 shard.add(group, doc, start, piece)
         yield rows(list(shard.located()))
 
-    pieces = candidates(docs, words, width, gram, across=True).select("doc_id", "text", "keys", "hot").mapInArrow(cut_out, "group long, doc_id long, start long, stop long, piece binary")
+    pieces = candidates(docs, words, width, gram, across=True, hot_above=HOT).select("doc_id", "text", "keys", "hot").mapInArrow(cut_out, "group long, doc_id long, start long, stop long, piece binary")
     return pieces.repartition("group").sortWithinPartitions("group", "doc_id").mapInArrow(locate, "doc_id long, start long, stop long")
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import cut, slices, text_buffers
 from .tokens import range_hashes, sliding_min
 
-CHUNK, HOT, BITS = 1 << 20, 2000, 44
+CHUNK, BITS = 1 << 19, 44
 Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
@@ -47,8 +47,8 @@ def anchors(values: np.ndarray, first: np.ndarray, width: int, gram: int):
     return (keys[place[lo]] >> np.uint64(64 - BITS)).astype(np.int64), text[lo], place[lo], window[lo], window[hi]
 
 
-def recurring(docs: DataFrame, units: Units, width: int, gram: int, across: bool) -> DataFrame:
-    """doc_id, keys, hot: a document's anchors that occur again (across: in another document)."""
+def recurring(docs: DataFrame, units: Units, width: int, gram: int, across: bool, hot_above: int) -> DataFrame:
+    """doc_id, keys, hot (keys that anchor more than hot_above times): a document's anchors that occur again (across: in another document)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", CHUNK):
@@ -60,7 +60,7 @@ def recurring(docs: DataFrame, units: Units, width: int, gram: int, across: bool
         counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     else:
         counts = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    hot = F.when(F.col("n") > HOT, F.col("key"))
+    hot = F.when(F.col("n") > hot_above, F.col("key"))
     return rows.join(counts, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"), F.collect_set(hot).alias("hot"))
 
 
@@ -99,7 +99,7 @@ def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def candidates(docs: DataFrame, units: Units, width: int, gram: int, across: bool) -> DataFrame:
+def candidates(docs: DataFrame, units: Units, width: int, gram: int, across: bool, hot_above: int) -> DataFrame:
     """docs with keys and hot: only those that have a recurring anchor."""
-    keys = cut(recurring(docs, units, width, gram, across))
+    keys = cut(recurring(docs, units, width, gram, across, hot_above))
     return docs.join(keys, "doc_id")

@@ -27,7 +27,9 @@ from .repeats import merged, recurring, removed, stretches
 
 WIDTH, GRAM = 100, 32
 #: Suffixes in a run before it is sorted and sent; suffixes that one merge holds, on average.
-RUN, PART = 150_000, 120_000
+RUN, PART = 40_000, 30_000
+#: Occurrences beyond which an anchor's windows are dealt out one by one.
+HOT = 10_000
 FIELDS = ("docs", "places", "nearest", "farthest", "shared", "tail_sizes", "tails", "left_sizes", "lefts")
 DDL = "part long, doc_id long, start long, stop long, " + ", ".join(f"{f} binary" for f in FIELDS)
 
@@ -168,7 +170,7 @@ def repeated(runs: list[Run], width: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """doc_id, start, stop (in bytes): covered by strings that start earlier too; spans may overlap."""
-    keys = cut(recurring(docs, units, width, gram, across=False))
+    keys = cut(recurring(docs, units, width, gram, across=False, hot_above=HOT))
     total = keys.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
     parts = max(1, -(-int(total) // PART))
 
