@@ -90,3 +90,31 @@ PENALTY_WEIGHTS = {"missing_required_penalty": 0.20, "role_mismatch_penalty": 0.
 RECOMMENDATIONS = [(85.0, "APPLY"), (75.0, "STRONG MATCH"), (65.0, "REVIEW"), (None, "LOW MATCH")]
 #: Occurrences of each section and what they add to a skill's confidence.
 CONFIDENCE = {"experience": 25, "project": 20, "summary": 15, "skills": 8, "certification": 15}
+
+#: Section -> header variants, in the order they are looked for.
+SECTIONS = {
+    "summary": ["professional summary", "summary", "profile"], "experience": ["experience", "professional experience", "work experience"], "projects": ["projects", "project experience"],
+    "skills": ["technical skills", "skills", "technologies"], "education": ["education"], "certifications": ["certifications", "licenses"],
+}
+#: Platform -> what names it in a text; platform -> what an architect must show.
+MARKERS = {
+    "databricks": ["databricks", "delta lake", "delta live tables", "dlt", "unity catalog", "photon", "pyspark", "medallion architecture"],
+    "snowflake": ["snowflake", "snowpipe", "snowpark", "streams", "tasks", "dynamic tables", "warehouse"],
+    "informatica": ["informatica", "informatica powercenter", "powercenter", "iics", "informatica cloud"],
+    "ab initio": ["ab initio", "abinitio", "gde", "co>operating system"],
+    "azure": ["azure", "azure data factory", "adf", "synapse", "adls", "event hubs", "fabric"],
+    "aws": ["aws", "amazon emr", "emr", "aws glue", "s3", "redshift", "kinesis", "athena"],
+    "power bi": ["power bi", "dax", "power query", "semantic model", "row level security"],
+    "tableau": ["tableau", "tableau server", "tableau prep"],
+    "mdm": ["mdm", "master data management", "reltio", "informatica mdm"],
+}
+ARCHITECT_MARKERS = {
+    "databricks": ["databricks", "delta lake", "unity catalog", "pyspark", "medallion architecture", "delta live tables"],
+    "snowflake": ["snowflake", "snowpipe", "streams", "tasks", "snowpark", "dynamic tables"],
+    "informatica": ["informatica", "informatica powercenter", "iics", "etl", "data integration"],
+}
+ACTIONS = "built|designed|architected|implemented|migrated|optimized|administered|developed|led|configured"
+ACHIEVED = r"(?i)[^\n.;]{0,120}\b(?:reduced|improved|increased|accelerated|optimized|saved|cut|processed|supported)\b[^\n.;]{0,130}\b\d+(?:\.\d+)?\s*(?:%|x|hours?|days?|minutes?|tb|gb|million|billion|m\+|k\+)\b[^\n.;]{0,60}"
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+DATE_SPAN = r"(?i)(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t|tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)?\s*[’'`]?((?:19|20)\d{2}|\d{2})\s*(?:-|–|—|to)\s*(?:(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t|tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)?\s*[’'`]?((?:19|20)\d{2}|\d{2})|(present|current))"
+NUMBER = r"\d+(?:\.\d+)?(?:%|[kKmMbB]\+?|\+)?"
