@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import docs_of, slices, text_buffers
 from .tokens import U, mixed, range_hashes, split_words, text_of
 
-SAMPLE, WINDOW, EPOCHS, RATE, BITS, CHUNK = 600, 40, 40, 0.2, 17, 6 << 20
+SAMPLE, WINDOW, EPOCHS, RATE, BITS, CHUNK = 600, 40, 40, 0.2, 17, 5 << 19
 LETTERS = np.array([b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 0 for b in range(256)], np.uint8)
 
 
