@@ -118,3 +118,16 @@ ACHIEVED = r"(?i)[^\n.;]{0,120}\b(?:reduced|improved|increased|accelerated|optim
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 DATE_SPAN = r"(?i)(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t|tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)?\s*[’'`]?((?:19|20)\d{2}|\d{2})\s*(?:-|–|—|to)\s*(?:(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t|tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)?\s*[’'`]?((?:19|20)\d{2}|\d{2})|(present|current))"
 NUMBER = r"\d+(?:\.\d+)?(?:%|[kKmMbB]\+?|\+)?"
+
+#: Section of a posting -> its header lines.
+POSTING_SECTIONS = {
+    "required": ["required qualifications", "minimum qualifications", "required skills", "must have skills", "must-have skills", "requirements", "qualifications"],
+    "preferred": ["preferred qualifications", "preferred skills", "nice to have", "nice-to-have", "desired skills", "bonus skills"],
+    "responsibilities": ["responsibilities", "job responsibilities", "key responsibilities", "what you will do", "what you'll do", "duties"],
+    "summary": ["job summary", "position summary", "role summary", "overview", "about the role"],
+}
+PORTAL_STOPS = ["similar jobs", "create job alert", "create alert", "more jobs at", "search all similar jobs", "technology professionals", "copyright ©", "terms & conditions", "privacy policy"]
+PORTAL_NOISE = ["job search companies career resources", "dice job match score", "fitment dice", "employers have access to artificial intelligence", "by applying for this job"]
+POSTING_SIGNALS = ["job description", "responsibilities", "required qualifications", "required skills", "qualifications", "apply now", "job details", "position id", "job id", "dice id"]
+#: Points of a role: any alias in the title, then shares of its terms in the text; each excluded term costs.
+ROLE_POINTS = {"title": 55.0, "required": 25.0, "preferred": 10.0, "keyword": 10.0, "excluded": 20.0, "excluded_most": 40.0}

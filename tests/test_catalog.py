@@ -1,6 +1,6 @@
 import pytest
 
-from rankloom.plans import catalog, profile_catalog  # noqa: F401
+from rankloom.plans import catalog, posting_catalog, profile_catalog  # noqa: F401
 
 from .oracle import compare
 
