@@ -10,7 +10,7 @@ A document's set holds the hashes of its distinct word n-grams, in one global or
    where the members that remain on either side cannot reach the required overlap. This links large groups of near
    copies in linear work.
 4. Groups that are still in several components are joined across components, again in blocks of bounded size, after
-   documents have left of which less than `t` of all n-grams occur in any other document left.
+   documents have left of which less than `t` of all n-grams occur in other components.
 
 Groups are dealt out in blocks, so no task holds a whole group. Null and empty texts have an empty set and are linked
 with nothing. Repeated rows are copies. Rows of a null doc_id are left out (they can't be told apart). An empty table
@@ -35,6 +35,8 @@ N = 5
 NUM, DEN, EXTRA = 75, 100, 0.10
 #: Sets in a block of a trie; pairs a document that a group may list; bytes of text handled at once; bits of a member's hash that prefixes are exchanged with.
 BLOCK, PAIRS, CHUNK, BITS = 256, 32, 2 << 20, 44
+#: Times that documents without enough n-grams under other labels leave; each round is exact, more of them only narrow.
+ROUNDS = 2
 
 
 def sets_of(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -245,6 +247,20 @@ def labelled(met: DataFrame, labels: DataFrame | None) -> DataFrame:
     return met.join(split, "member")
 
 
+def covered(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """doc_id of those documents of met (doc_id, label) that may be similar to one of another label.
+
+    What two sets of different labels share occurs under both labels; a document of which less than the threshold does
+    has no partner there.
+    """
+    of = met.select("doc_id", "label").distinct()
+    own = sets.join(of, "doc_id").select("doc_id", "n_shingles", "label", "members")
+    tokens = exploded(own, 60).join(of, "doc_id")
+    common = tokens.groupBy("member").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("member")
+    found = tokens.join(common, "member", "left_semi").groupBy("doc_id").agg(F.count("*").alias("m"))
+    return found.join(own.select("doc_id", "n_shingles"), "doc_id").where(F.col("m") >= F.ceil(F.col("n_shingles") * NUM / DEN)).select("doc_id")
+
+
 def jaccard_links(docs: DataFrame, sizes: DataFrame, n: int = N) -> tuple[DataFrame | None, DataFrame | None]:
     """(links a, b between documents; their components v, label) of the docs that sizes (doc_id, n_shingles) names, whose sets all differ; None: no link."""
     prefixes = described(docs, n, "prefix").join(sizes.select("doc_id"), "doc_id", "left_semi")
@@ -262,15 +278,13 @@ def jaccard_links(docs: DataFrame, sizes: DataFrame, n: int = N) -> tuple[DataFr
     links = cut(trie_join(star_tasks(met), sets))
     labels = components(links) if not links.isEmpty() else None
     open_ = cut(labelled(met, labels))
+    for _ in range(ROUNDS):
+        if open_.isEmpty():
+            break
+        open_ = cut(labelled(open_.join(covered(open_, sets), "doc_id", "left_semi").select("member", "doc_id"), labels))
     if not open_.isEmpty():
-        own = sets.join(open_.select("doc_id").distinct(), "doc_id", "left_semi")
-        tokens = exploded(own, 60)
-        common = tokens.groupBy("member").agg(F.count("*").alias("df")).where("df > 1").select("member")
-        enough = tokens.join(common, "member", "left_semi").groupBy("doc_id").agg(F.count("*").alias("m")).join(own.select("doc_id", "n_shingles"), "doc_id").where(F.col("m") >= F.ceil(size * NUM / DEN))
-        open_ = cut(labelled(open_.join(enough, "doc_id", "left_semi").select("member", "doc_id"), labels))
-        if not open_.isEmpty():
-            links = cut(links.union(trie_join(cross_tasks(open_, sets.select("doc_id", "n_shingles")), sets)))
-            labels = components(links) if not links.isEmpty() else None
+        links = cut(links.union(trie_join(cross_tasks(open_, sets.select("doc_id", "n_shingles")), sets)))
+        labels = components(links) if not links.isEmpty() else None
     return (links, labels) if labels is not None else (None, None)
 
 
