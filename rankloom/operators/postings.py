@@ -130,3 +130,27 @@ def adjusted(raw_bm25: Column, matched: Column, missing: Column, years: Column,
     cap = F.when(~targeted, 100.0).otherwise(F.least(step((55.0, 68.0, 82.0), 100.0), F.when(strict, 78.0).otherwise(100.0)))
     penalty = F.when(~targeted, 0.0).otherwise(F.greatest(step((15.0, 9.0, 4.0), 0.0), F.when(strict, 6.0).otherwise(0.0)))
     return {"bm25": round2(bm25), "experience": round2(F.when(targeted, on_target).otherwise(plain)), "cap": cap, "penalty": penalty}
+
+
+def split_structured(blobs: DataFrame) -> DataFrame:
+    """blob_id, part, text: what lies behind each `JOB START` line up to the next `JOB END` line or the end; blank ones
+    are left out."""
+    marked = F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n")
+    # a part begins behind a start; it ends at its first end line, and what lies between an end and a start is no part
+    pieces = F.slice(F.split(marked, r"(?im)^[^\S\n]*JOB START[^\n]*$"), 2, 1 << 30)
+    bodies = F.transform(pieces, lambda p: F.regexp_replace(F.element_at(F.split(p, r"(?im)^[^\S\n]*JOB END[^\n]*$", 2), 1), r"^\s+|\s+$", ""))
+    return blobs.select("blob_id", F.posexplode(F.filter(bodies, lambda b: b != "")).alias("part", "text"))
+
+
+def list_errors(values: Column, name: str, least: int, most: int, longest: int = 450) -> Column:
+    """What is wrong with a list of generated lines: their number, a line too long, a line said twice."""
+    from .profiles import repeated_values
+
+    n = F.size(F.coalesce(values, F.array().cast("array<string>")))
+    keys = F.transform(values, lambda v: F.lower(squeeze(v)))
+    checks = [
+        (~n.between(least, most), F.concat(F.lit(f"{name}: expected {least} to {most} lines, got "), n.cast("string"))),
+        (F.size(F.filter(values, lambda v: F.length(v) > longest)) > 0, F.lit(f"{name}: a line is longer than {longest} characters")),
+        (F.size(repeated_values(keys)) > 0, F.lit(f"{name}: a line is repeated")),
+    ]
+    return F.filter(F.array(*(F.when(bad, said) for bad, said in checks)), lambda e: e.isNotNull())

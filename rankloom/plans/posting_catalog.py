@@ -119,3 +119,37 @@ def decision_evidence(spark, d):
 
     e = P.skill_evidence(*(F.col(x) for x in ("header", "worked", "acted", "measured", "listed", "inferred", "project")))
     return scored(spark, d).select("l_orderkey", "l_linenumber", round2(e).alias("evidence"))
+
+
+JOBS = [(1, "Data Engineer", "ACME", "", "http://x/1", " body\n"), (2, None, None, "Oslo", None, None)]
+STARTED = [(1, "x\nJOB START\none\nJOB END\nbetween\nJOB START\ntwo\nmore"), (2, "none"), (3, "JOB START\n \nJOB END"), (4, None)]
+PATCHES = [(1, ["a", "b", "A  "]), (2, ["a"] * 3), (3, ["x", "y", "z", "w"]), (4, ["q" * 451, "b", "c", "d"]), (5, [])]
+RESULTS = [(1, "We reduced load time by 45 hours. Improved nothing; processed 3 tb daily\nsaved 10 days and cut 5 days"), (2, "45% cut"), (3, ""), (4, "increased 2 million rows. increased 2 million rows")]
+
+
+@query("with " + values("v", "n, title, company, location, url, body", JOBS) + r""" select n, repeat('=', 100) || chr(10) || 'JOB ' || n || chr(10) || 'Job Title: ' || coalesce(title, '') || chr(10) || case when coalesce(company, '') <> '' then 'Company: ' || company || chr(10) else '' end || case when coalesce(location, '') <> '' then 'Location: ' || location || chr(10) else '' end
+|| case when coalesce(url, '') <> '' then 'Job URL: ' || url || chr(10) else '' end || repeat('-', 100) || chr(10) || regexp_replace(coalesce(body, ''), '^\s+|\s+$', '', 'g') || chr(10) || chr(10) as rendered from v""")
+def render_postings(spark, d):
+    from ..sources.sinks import rendered
+
+    rows = spark.createDataFrame(JOBS, "n int, title string, company string, location string, url string, body string")
+    return rows.select("n", rendered(*map(F.col, rows.columns)).alias("rendered"))
+
+
+@query("select * from (values (1, 0, 'one'), (1, 1, 'two' || chr(10) || 'more')) t(blob_id, part, text)")
+def split_jobs_structured(spark, d):
+    return P.split_structured(spark.createDataFrame(STARTED, "blob_id int, text string"))
+
+
+@query("with " + values("v", "id, ls", PATCHES) + r""", k as (select id, ls, list_transform(ls, lambda x: lower(trim(regexp_replace(x, '\s+', ' ', 'g')))) as ks from v)
+select id, array_to_string(list_filter([case when len(ls) not between 4 and 7 then 'summary: expected 4 to 7 lines, got ' || len(ls) end, case when len(list_filter(ls, lambda x: length(x) > 450)) > 0 then 'summary: a line is longer than 450 characters' end, case when len(ks) > len(list_distinct(ks)) then 'summary: a line is repeated' end], lambda e: e is not null), ' | ') as errors from k""")
+def patch_validation(spark, d):
+    return spark.createDataFrame(PATCHES, "id int, ls array<string>").select("id", F.array_join(P.list_errors(F.col("ls"), "summary", 4, 7), " | ").alias("errors"))
+
+
+@query(lambda: "with " + values("v", "id, t", RESULTS) + f", r as (select id, list_transform(regexp_extract_all(t, {lit(L.ACHIEVED)}), lambda x: trim(x)) as rs from v), u as (select id, list_filter(rs, lambda x, i: list_position(rs, x) = i) as rs from r) select id, array_to_string(rs[1:10], ' | ') as found, least(len(rs) * 22.0, 100)::double as score from u")
+def achievements(spark, d):
+    from ..operators.profiles import achievements as told
+
+    found = told(F.col("t"))
+    return spark.createDataFrame(RESULTS, "id int, t string").select("id", F.array_join(found, " | ").alias("found"), F.least(F.size(found) * 22.0, F.lit(100.0)).alias("score"))
