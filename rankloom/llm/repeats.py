@@ -31,7 +31,7 @@ def anchors(values: np.ndarray, first: np.ndarray, width: int, gram: int):
         return empty, empty, empty, empty, empty
     at = np.arange(n)
     keys = range_hashes(values, at, at + gram)
-    place_bits = np.uint64(max(1, int(n).bit_length()))
+    place_bits = np.uint64(32)  # the same everywhere, so equal windows break ties alike: leftmost
     least = sliding_min((keys >> place_bits << place_bits) | at.astype(np.uint64), width - gram + 1)
     window = np.arange(len(least))
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))[: len(least)]
