@@ -26,7 +26,7 @@ CAPACITY = 2048
 #: Pieces that one packing task handles; a bin left open at its end is the only loss of packing in parallel.
 PIECES_PER_TASK = 250_000
 #: Distinct chunks that a worker keeps encoded; beyond that it starts anew. Speed only.
-MEMO = 400_000
+MEMO = 150_000
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 

@@ -28,8 +28,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         with np.errstate(over="ignore"):
             return [np.multiply.accumulate(np.concatenate([[U(1)], np.full(size - 1, U(b))])) for b in (BASE, INVERSE)]
 
-    bits = max(16, int(n).bit_length())
-    return per_worker(("powers", bits), lambda: make(1 << bits))
+    held = per_worker("powers", dict)  # one pair of arrays, replaced by a larger one when a text needs it
+    if len(held.get("pair", [()])[0]) < n:
+        held["pair"] = make(max(1 << 16, n + n // 8))
+    return held["pair"]
 
 
 def split_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = EXACT):
