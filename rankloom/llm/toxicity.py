@@ -8,8 +8,8 @@ times are left to the backoff alone. A text is scored by the difference of lengt
 the whole text, over its most toxic window of words and over its strong words, and a logistic curve, fitted on labelled documents that gave no
 counts, turns these into a probability.
 
-Log ratios are computed as distributed columns and folded into a table of fixed size (2**TABLE_BITS buckets), which is
-all that the driver and the workers hold, at any size of corpus. A-Z are lower-cased; ASCII punctuation and digits
+Log ratios are computed as distributed columns and stored, each under its own n-gram, as sorted files in the folder that
+driver and executors share, which must be mounted on all of them. Workers map the files; the driver holds their names. A-Z are lower-cased; ASCII punctuation and digits
 separate words as white space does.
 
 Null and empty texts score the base rate. Labels other than 0 and 1 and labels of no document count for nothing; a
@@ -19,6 +19,8 @@ rate. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +29,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, docs_of, slices, text_buffers
+from .common import cut, docs_of, shared_dir, slices, text_buffers
 
-ORDER, DISCOUNT, CUTOFF, WINDOW, TABLE_BITS = 7, 0.75, 3, 1, 22
+ORDER, DISCOUNT, CUTOFF, WINDOW = 7, 0.75, 3, 1
 #: At most so many labelled documents calibrate the curve (three numbers each); the counts take all.
 CALIBRATION_ROWS = 20_000
 CHUNK = 2 << 20
@@ -37,7 +39,6 @@ CHUNK = 2 << 20
 FEATURES, STRONG = ("whole", "worst", "strong"), 1.0
 #: Bytes of words lower-cased; what separates words is 0.
 LUT = np.array([b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 0 for b in range(256)], np.uint8)
-MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,10 +68,6 @@ def grams(flat: np.ndarray, starts: np.ndarray, texts: np.ndarray, order: int):
         yield live, x[live] | np.uint64((n + 1) << 56)
 
 
-def bucket(x: np.ndarray, bits: int) -> np.ndarray:
-    return ((x * MIX) >> np.uint64(64 - bits)).astype(np.int64)
-
-
 def counted(labelled: DataFrame, order: int) -> DataFrame:
     """labelled (text, toxic) to gram, n0, n1: how often the n-gram occurs in either class, added up by task first."""
     schema = pa.schema([("gram", pa.int64()), ("n0", pa.int64()), ("n1", pa.int64())])
@@ -121,51 +118,64 @@ def log_ratios(counts: DataFrame, order: int, discount: float, cutoff: int) -> D
         n, c, t = F.col(f"n{k}"), F.col(f"c{k}"), F.col(f"t{k}")
         return F.when(c == 0, F.col("backoff")).otherwise((F.greatest(n - discount, F.lit(0.0)) + discount * t * F.col("backoff")) / c)
 
-    return kept.join(contexts, "context").join(shared, "suffix").select("gram", F.log(p(1) / p(0)).alias("ratio"), (F.col("n0") + F.col("n1")).alias("n"))
-
-
-def folded(ratios: DataFrame, bits: int) -> np.ndarray:
-    """The table: each bucket's mean log ratio by count; 64 parts of it come to the driver, whatever the corpus."""
-    part_bits = bits - 6
-    schema = pa.schema([("bucket", pa.int64()), ("r", pa.float64()), ("n", pa.float64())])
-
-    def place(batches):
-        for b in batches:
-            x = b.column(0).to_numpy().astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket(x, bits)), pa.array(b.column(1).to_numpy() * b.column(2).to_numpy()), pa.array(b.column(2).to_numpy().astype(float))], schema=schema)
-
-    def blobs(batches):
-        parts: dict[int, np.ndarray] = {}
-        for b in batches:
-            at, r = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for k in np.unique(at >> part_bits).tolist():
-                own = parts.setdefault(k, np.zeros(1 << part_bits, np.float32))
-                mine = at >> part_bits == k
-                own[at[mine] & ((1 << part_bits) - 1)] = r[mine]
-        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([v.tobytes() for v in parts.values()], pa.binary())], names=["part", "blob"])
-
-    cells = ratios.mapInArrow(place, "bucket long, r double, n double").groupBy("bucket").agg((F.sum("r") / F.sum("n")).alias("ratio"))
-    out = np.zeros(1 << bits, np.float32)
-    for row in cells.repartition(16, F.shiftright("bucket", part_bits)).mapInArrow(blobs, "part long, blob binary").collect():
-        out[row.part << part_bits : (row.part + 1) << part_bits] += np.frombuffer(row.blob, np.float32)
-    return out
-
-
-def measured(docs: DataFrame, llr: np.ndarray, order: int, window: int) -> DataFrame:
-    """Adds FEATURES to docs, which has a column text."""
-    model = docs.sparkSession.sparkContext.broadcast(llr)
-    bits = int(len(llr)).bit_length() - 1
+    return kept.join(contexts, "context").join(shared, "suffix").select("gram", F.log(p(1) / p(0)).alias("ratio"))
+
+
+def stored(ratios: DataFrame) -> list[tuple[int, str]]:
+    """The model as sorted files of grams and ratios in the shared folder: (least gram, file) of each range of grams."""
+    folder = f"{shared_dir(ratios.sparkSession).removeprefix('file:').replace('//', '/')}/rankloom-{ratios.sparkSession.sparkContext.applicationId}/toxicity"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(folder, exist_ok=True)
+        name, low = f"{folder}/{uuid.uuid4().hex}", None
+        with open(f"{name}.grams", "wb") as keys, open(f"{name}.ratios", "wb") as values:
+            for b in batches:
+                if b.num_rows:
+                    own = b.column(0).to_numpy()
+                    low = int(own[0]) if low is None else low
+                    keys.write(own.astype(np.int64).tobytes())
+                    values.write(b.column(1).to_numpy().astype(np.float32).tobytes())
+        if low is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([low], pa.int64()), pa.array([name])], names=["low", "name"])
+
+    ranges = cut(ratios.select("gram", "ratio")).repartitionByRange("gram").sortWithinPartitions("gram")
+    return sorted(tuple(r) for r in ranges.mapInArrow(write, "low long, name string").collect())
+
+
+class Ratios:
+    """The stored model, mapped into memory: only what is looked up is read, and workers of a machine share it."""
+
+    def __init__(self, parts: list[tuple[int, str]]):
+        self.lows = np.array([low for low, _ in parts], np.int64)
+        self.parts = [(np.memmap(f"{name}.grams", np.int64, "r"), np.memmap(f"{name}.ratios", np.float32, "r")) for _, name in parts]
+
+    def find(self, grams: np.ndarray) -> np.ndarray:
+        """Each gram's own ratio; 0 for those that the model doesn't have."""
+        coded = pa.array(grams.astype(np.int64)).dictionary_encode()
+        wanted = np.asarray(coded.dictionary)
+        order = np.argsort(wanted)
+        wanted, out = wanted[order], np.zeros(len(order), np.float32)
+        bounds = [*np.searchsorted(wanted, self.lows).tolist(), len(wanted)]
+        for (keys, values), a, b in zip(self.parts, bounds, bounds[1:], strict=False):
+            if a < b:
+                at = np.minimum(np.searchsorted(keys, wanted[a:b]), len(keys) - 1)
+                out[order[a:b]] = np.where(keys[at] == wanted[a:b], values[at], 0)
+        return out[np.asarray(coded.indices)]
+
+
+def measured(docs: DataFrame, llr: list[tuple[int, str]], order: int, window: int) -> DataFrame:
+    """Adds FEATURES to docs, which has a column text; llr names the stored model."""
     schema = T.StructType([*docs.schema.fields, *(T.StructField(f, T.DoubleType()) for f in FEATURES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratio = model.value
+        ratio = Ratios(llr)
         for b in slices(batches, "text", CHUNK):
             data, offsets = text_buffers(b.column("text"))
             flat, starts, first = words_of(data, offsets)
             count = np.diff(first)
             own = np.zeros(len(starts))
             for at, key in grams(flat, starts, np.repeat(offsets[1:], count), order):
-                own[at] += ratio[bucket(key, bits)]
+                own[at] += ratio.find(key)
             total = np.concatenate([[0.0], np.cumsum(own)])
             whole = (total[first[1:]] - total[first[:-1]]) / np.maximum(count, 1)
             # a window is `window` words, or all words of a text that has fewer; it ends in the text it starts in
@@ -207,11 +217,11 @@ class Curve:
         return 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))
 
 
-def fit(training: DataFrame, order=ORDER, discount=DISCOUNT, cutoff=CUTOFF, window=WINDOW, bits=TABLE_BITS) -> tuple[np.ndarray, Curve]:
-    """The table of log ratios and the curve, from training (doc_id, text, toxic)."""
+def fit(training: DataFrame, order=ORDER, discount=DISCOUNT, cutoff=CUTOFF, window=WINDOW) -> tuple[list[tuple[int, str]], Curve]:
+    """The stored table of log ratios and the curve, from training (doc_id, text, toxic)."""
     fifth = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
     rows = training.select("doc_id", "text", "toxic")
-    llr = folded(log_ratios(cut(counted(rows.where(~fifth).select("text", "toxic"), order)), order, discount, cutoff), bits)
+    llr = stored(log_ratios(cut(counted(rows.where(~fifth).select("text", "toxic"), order)), order, discount, cutoff))
     sample = rows.where(fifth).orderBy(F.xxhash64(F.lit("curve"), "doc_id")).limit(CALIBRATION_ROWS).repartition(16, "doc_id")
     found = measured(sample, llr, order, window).select(*FEATURES, "toxic").toPandas()
     return llr, Curve(found[list(FEATURES)].to_numpy(float), found["toxic"].to_numpy(float))

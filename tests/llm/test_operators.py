@@ -260,6 +260,24 @@ def test_toxicity(spark, none):
     assert toxicity.score_documents(frame, labels.where("false")).count() == len(rows)
 
 
+def toxic_model(spark, rows):
+    return toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))[0]
+
+
+def whole(spark, model, texts):
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    return {r.text: r.whole for r in toxicity.measured(frame, model, toxicity.ORDER, toxicity.WINDOW).collect()}
+
+
+def test_toxicity_unseen_grams_read_no_other_ratio(spark):
+    rng = random.Random(18)
+    word = lambda letters: "".join(rng.choices(letters, k=7))
+    vocabulary = [word("abcdefghijklmno") for _ in range(4000)]
+    model = toxic_model(spark, [(k, " ".join(vocabulary[(k % 200) * 20 :][:20]), k % 2) for k in range(3000)])
+    # letters that no training text has: nothing is known of these words but that they begin with an unseen letter
+    assert len(set(whole(spark, model, [word("pqrstuvwxyz") for _ in range(20000)]).values())) == 1
+
+
 def test_language(spark, none):
     rng = random.Random(7)
     sounds = {"aa": ["ka", "ko", "ku", "ta"], "bb": ["sch", "ung", "ein", "ver"]}
