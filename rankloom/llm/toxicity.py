@@ -1,7 +1,8 @@
-"""Toxicity by class-conditional Kneser-Ney models of how words begin.
+"""Toxicity by class-conditional Kneser-Ney models of how texts are spelled.
 
-A word is spelled byte by byte from its start; an n-gram is the first 1 to ORDER bytes of a word, so a context is all
-of the word that came before. All labelled training texts give counts of n-grams for each class. A class's
+A text is spelled byte by byte. Each byte ends an n-gram inside its word (the word so far, at most its last ORDER
+bytes) and, among the first of a word, one of ORDER bytes that reaches back into the words before it; so a context is
+what came before in the word, or before that. All labelled training texts give counts of n-grams for each class. A class's
 model interpolates its own discounted counts with one backoff that both classes share, the Kneser-Ney continuation
 counts of short n-grams; so a rare expression says next to nothing for either class, and n-grams seen less than `cutoff`
 times are left to the backoff alone. A text is scored by the difference of length-normalised log-likelihoods, over
@@ -54,18 +55,31 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return flat, starts, np.searchsorted(starts, offsets)
 
 
-def grams(flat: np.ndarray, starts: np.ndarray, texts: np.ndarray, order: int):
-    """For n = 1 to order: (indexes of words that have n bytes, their first n bytes as an integer marked with n)."""
-    live = np.arange(len(starts))
-    x = np.zeros(len(starts), np.uint64)
-    ends = np.append(flat, np.zeros(order, np.uint8))
-    text_end = texts
-    for n in range(order):
-        byte = ends[starts[live] + n]
-        more = (byte != 0) & (starts[live] + n < text_end[live])
-        live, byte = live[more], byte[more]
-        x[live] = (x[live] << np.uint64(8)) | byte
-        yield live, x[live] | np.uint64((n + 1) << 56)
+def grams(flat: np.ndarray, starts: np.ndarray, first: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Twice (index of a byte's word, n-gram that ends at the byte): inside the word, for every byte; across words.
+
+    The first holds the word's bytes so far, at most its last `order`, marked with their number. The second, for bytes
+    that have fewer in their word, holds `order` bytes with a 0 before each word; what lies before the text is 0 too.
+    """
+    letters = np.flatnonzero(flat)
+    if not len(letters):
+        return
+    word = np.searchsorted(starts, letters, "right") - 1
+    inside = letters - starts[word] + 1
+    # all words one after the other, a 0 before each
+    at = np.arange(len(letters)) + word + 1
+    line = np.zeros(len(letters) + len(starts), np.uint64)
+    line[at] = flat[letters]
+    x = line.copy()
+    for j in range(1, order):
+        x[j:] |= line[:-j] << np.uint64(8 * j)
+    heads = at[np.searchsorted(letters, starts)] - 1
+    begin = np.repeat(heads[first[:-1][np.diff(first) > 0]], np.diff(first)[np.diff(first) > 0])
+    last = lambda n: x[at] & ((np.uint64(1) << (np.uint64(8) * n.astype(np.uint64))) - np.uint64(1))
+    n = np.minimum(inside, order)
+    yield word, last(n) | (n.astype(np.uint64) << np.uint64(56))
+    over = inside < order
+    yield word[over], last(np.minimum(at - begin[word] + 1, order))[over] | np.uint64(order << 56)
 
 
 def counted(labelled: DataFrame, order: int) -> DataFrame:
@@ -86,10 +100,10 @@ def counted(labelled: DataFrame, order: int) -> DataFrame:
             data, offsets = text_buffers(b.column(0))
             flat, starts, first = words_of(data, offsets)
             text = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-            found = list(grams(flat, starts, offsets[1:][text], order))
             toxic = b.column(1).to_numpy(zero_copy_only=False).astype(np.uint64)
-            for at, keys in found:
-                own, n = np.unique((keys << np.uint64(1)) | toxic[text[at]], return_counts=True)
+            for at, keys in grams(flat, starts, first, order):
+                found = pa.array((keys << np.uint64(1)) | toxic[text[at]]).value_counts()
+                own, n = (np.asarray(found.field(k)) for k in (0, 1))
                 held.append((own, n))
                 size += len(own)
             if size > 1_500_000:
@@ -174,8 +188,8 @@ def measured(docs: DataFrame, llr: list[tuple[int, str]], order: int, window: in
             flat, starts, first = words_of(data, offsets)
             count = np.diff(first)
             own = np.zeros(len(starts))
-            for at, key in grams(flat, starts, np.repeat(offsets[1:], count), order):
-                own[at] += ratio.find(key)
+            for at, key in grams(flat, starts, first, order):
+                own += np.bincount(at, ratio.find(key), len(own))
             total = np.concatenate([[0.0], np.cumsum(own)])
             whole = (total[first[1:]] - total[first[:-1]]) / np.maximum(count, 1)
             # a window is `window` words, or all words of a text that has fewer; it ends in the text it starts in

@@ -278,6 +278,17 @@ def test_toxicity_unseen_grams_read_no_other_ratio(spark):
     assert len(set(whole(spark, model, [word("pqrstuvwxyz") for _ in range(20000)]).values())) == 1
 
 
+def test_toxicity_reads_every_byte(spark):
+    rng = random.Random(19)
+    plain = lambda: words(rng, 20)
+    #: toxic by an end after byte 7, a stem within a compound, a pair of ordinary words, a run without separators
+    pairs = [("wonderfulness", "wonderfulscum"), ("overbadlanguage", "overbadwordily"), ("go die die go home stay", "stay home go go die now"), ("語日本語文字化", "語日本語文死ね")]
+    for clean, toxic in pairs:
+        model = toxic_model(spark, [(k, plain() + " " + (toxic if k % 2 else clean), k % 2) for k in range(400)])
+        got = whole(spark, model, [clean, toxic])
+        assert got[toxic] > got[clean] + 0.1
+
+
 def test_language(spark, none):
     rng = random.Random(7)
     sounds = {"aa": ["ka", "ko", "ku", "ta"], "bb": ["sch", "ung", "ein", "ver"]}
