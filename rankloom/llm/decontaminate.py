@@ -5,7 +5,9 @@ Items are cut into pieces of at most PIECE words (a piece is what the index hold
 Impacts are BM25 weights divided by the piece's score against itself, so one threshold serves all pieces. Upper bounds
 from block maxima are added up for all passages at once; passages that may reach the threshold go through WAND, which
 retrieves all pieces above it. Those are verified by five-word shingles: enough of the question (the piece's first
-half) and of the answer (its second half) must lie in the passage.
+half) and of the answer (its second half) must lie in the passage. Halves of items of less than ten words are shingles
+of their own length, so such an item is found where its words stand in order; the last piece of a longer item, where
+that short, is not looked for on its own.
 
 The index is broadcast; it is built in shards of a fixed number of bytes of item texts, each of which meets all
 documents, so its size is bounded whatever the benchmark. Words are lower-cased A-Z; ASCII punctuation separates words.
@@ -45,11 +47,12 @@ class Index:
         data, offsets = text_buffers(texts)
         flat, starts, ends, first = split_words(data, offsets, PLAIN)
         words = word_hashes(flat, starts, ends)
-        self.items, self.pieces = [], []
+        self.items, self.pieces, self.short = [], [], []
         for (item, _), a, b in zip(items, first[:-1].tolist(), first[1:].tolist(), strict=True):
             for at in range(a, b, PIECE):
                 self.items.append(item)
                 self.pieces.append(words[at : min(at + PIECE, b)])
+                self.short.append(b - a < 2 * SHINGLE)
         n = max(1, len(self.pieces))
         self.vocabulary = np.unique(words)
         lengths = np.array([len(p) for p in self.pieces], float)
@@ -78,8 +81,13 @@ class Index:
         self.all = [self.shingles(p) for p in self.pieces]
 
     @staticmethod
-    def shingles(words: np.ndarray) -> np.ndarray:
-        return np.unique(shingle_hashes(words, np.array([0, len(words)]), SHINGLE)[0])
+    def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+        return np.unique(shingle_hashes(words, np.array([0, len(words)]), size)[0])
+
+    def sizes(self, piece: int) -> tuple[int, int, int]:
+        """Words in a shingle of the question, the answer and the whole; parts of a short item are one shingle each."""
+        n = len(self.pieces[piece])
+        return tuple(min(SHINGLE, max(1, k)) for k in (n // 2, n - n // 2, n)) if self.short[piece] else (SHINGLE,) * 3
 
     def lookup(self, words: np.ndarray) -> np.ndarray:
         """Term numbers; that of a word of no item is the vocabulary's size."""
@@ -198,11 +206,14 @@ def search(index: Index, docs: list, data: np.ndarray, offsets: np.ndarray) -> l
             doc -= 1
         a = int(first[doc]) + (p - int(base[doc])) * PIECE
         b = min(a + 2 * PIECE, int(first[doc + 1]))
-        found = None
+        found: dict[int, np.ndarray] = {}
         for piece, score in index.wand(own, THRESHOLD):
-            found = Index.shingles(words[a:b]) if found is None else found
-            q, r = share(index.question[piece], found), share(index.answer[piece], found)
-            if share(index.all[piece], found) >= OVERLAP and min(q, r) >= HALF:
+            sizes = index.sizes(piece)
+            for n in sizes:
+                if n not in found:
+                    found[n] = Index.shingles(words[a:b], n)
+            q, r, whole = (share(part[piece], found[n]) for part, n in zip((index.question, index.answer, index.all), sizes, strict=True))
+            if whole >= OVERLAP and min(q, r) >= HALF:
                 hit = (docs[doc], index.items[piece], a - int(first[doc]), score, q, r)
                 at = (doc, index.items[piece])
                 if at not in best or best[at][3] < score:

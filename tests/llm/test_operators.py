@@ -231,6 +231,18 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.contaminated(frame, items.where("false")).count() == 0
 
 
+def test_decontamination_finds_short_items(spark):
+    rng = random.Random(14)
+    own = {n: [f"s{n}x{k}" for k in range(n)] for n in range(1, 13)} | {66: [f"l{k}" for k in range(66)]}
+    rows = [(n, words(rng, 150) + " " + " ".join(w) + " " + words(rng, 90)) for n, w in own.items()] + [(100 + n, " ".join(w)) for n, w in own.items()]
+    # the halves apart, in the other order, or the end of a long item only
+    rows += [(200 + n, " ".join(w[n // 2 :] + ["between"] + w[: n // 2])) for n, w in own.items() if 1 < n < 10] + [(300, words(rng, 50) + " l64 l65")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(n, " ".join(w)) for n, w in own.items()], "item_id long, text string")
+    hits = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame, items).collect()}
+    assert hits == {(n + at, n) for n in own for at in (0, 100)}
+
+
 def test_wand_equals_full_scores():
     rng = random.Random(6)
     items = [(k, words(rng, rng.randrange(5, 60), 60)) for k in range(300)]
