@@ -4,8 +4,8 @@ A text is spelled byte by byte. Each byte ends an n-gram inside its word (the wo
 bytes) and, among the first of a word, one of ORDER bytes that reaches back into the words before it; so a context is
 what came before in the word, or before that. All labelled training texts give counts of n-grams for each class. A class's
 model interpolates its own discounted counts with one backoff that both classes share, the Kneser-Ney continuation
-counts of short n-grams; so a rare expression says next to nothing for either class, and n-grams seen less than `cutoff`
-times are left to the backoff alone. A text is scored by the difference of length-normalised log-likelihoods, over
+counts of short n-grams. All n-grams take part, however rare; one never seen takes what both classes leave to the
+backoff in its context. A text is scored by the difference of length-normalised log-likelihoods, over
 the whole text, over its most toxic window of words and over its strong words, and a logistic curve, fitted on labelled documents that gave no
 counts, turns these into a probability.
 
@@ -32,7 +32,9 @@ from pyspark.sql import types as T
 
 from .common import cut, docs_of, shared_dir, slices, text_buffers
 
-ORDER, DISCOUNT, CUTOFF, WINDOW = 7, 0.75, 3, 1
+ORDER, DISCOUNT, WINDOW = 7, 0.75, 1
+#: Marks a context's row in the model, for n-grams never seen in it.
+UNSEEN = 1 << 60
 #: At most so many labelled documents calibrate the curve (three numbers each); the counts take all.
 CALIBRATION_ROWS = 20_000
 CHUNK = 2 << 20
@@ -115,24 +117,33 @@ def counted(labelled: DataFrame, order: int) -> DataFrame:
     return labelled.mapInArrow(run, "gram long, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def log_ratios(counts: DataFrame, order: int, discount: float, cutoff: int) -> DataFrame:
-    """gram, ratio: log P(last byte | the bytes before) under the toxic model less that under the ordinary one."""
+def log_ratios(counts: DataFrame, order: int, discount: float) -> DataFrame:
+    """gram, ratio: log P(last byte | the bytes before) under the toxic model less that under the ordinary one.
+
+    Every n-gram has a row; so has every context, as UNSEEN: the ratio of all n-grams that were never seen in it.
+    """
     n = F.shiftright("gram", 56)
     spelled = F.col("gram").bitwiseAND(F.lit((1 << 56) - 1))
-    kept = counts.where(F.col("n0") + F.col("n1") >= cutoff).withColumns({"context": F.shiftright(spelled, 8) + F.shiftleft(n - 1, 56), "suffix": spelled.bitwiseAND(F.lit((1 << 24) - 1))})
+    every = counts.withColumns({"context": F.shiftright(spelled, 8) + F.shiftleft(n - 1, 56), "suffix": spelled.bitwiseAND(F.lit((1 << 24) - 1))})
     # shared backoff: in how many different n-grams the last byte follows the two before it
-    types = kept.groupBy("suffix").agg(F.count("*").alias("places"))
+    types = every.groupBy("suffix").agg(F.count("*").alias("places"))
     places = types.groupBy(F.shiftright("suffix", 8).alias("short")).agg(F.sum("places").alias("all_places"), F.count("*").alias("nexts"))
     shared = types.withColumn("short", F.shiftright("suffix", 8)).join(places, "short").select(
         "suffix", ((F.greatest(F.col("places") - discount, F.lit(0.0)) + discount * F.col("nexts") / 256.0) / F.col("all_places")).alias("backoff"))
     seen = lambda c: F.sum((F.col(c) > 0).cast("long"))
-    contexts = kept.groupBy("context").agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"), seen("n0").alias("t0"), seen("n1").alias("t1"))
+    contexts = cut(every.groupBy("context").agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"), seen("n0").alias("t0"), seen("n1").alias("t1")))
 
     def p(k: int) -> Column:
         n, c, t = F.col(f"n{k}"), F.col(f"c{k}"), F.col(f"t{k}")
         return F.when(c == 0, F.col("backoff")).otherwise((F.greatest(n - discount, F.lit(0.0)) + discount * t * F.col("backoff")) / c)
 
-    return kept.join(contexts, "context").join(shared, "suffix").select("gram", F.log(p(1) / p(0)).alias("ratio"))
+    def left(k: int) -> Column:
+        """What a class leaves to the backoff in a context; the backoff itself is the same for both."""
+        c, t = F.col(f"c{k}"), F.col(f"t{k}")
+        return F.when(c == 0, F.lit(1.0)).otherwise(discount * t / c)
+
+    grams = every.join(contexts, "context").join(shared, "suffix").select("gram", F.log(p(1) / p(0)).alias("ratio"))
+    return grams.union(contexts.select(F.col("context").bitwiseOR(F.lit(UNSEEN)), F.log(left(1) / left(0))))
 
 
 def stored(ratios: DataFrame) -> list[tuple[int, str]]:
@@ -164,17 +175,26 @@ class Ratios:
         self.parts = [(np.memmap(f"{name}.grams", np.int64, "r"), np.memmap(f"{name}.ratios", np.float32, "r")) for _, name in parts]
 
     def find(self, grams: np.ndarray) -> np.ndarray:
-        """Each gram's own ratio; 0 for those that the model doesn't have."""
+        """Each gram's ratio: its own, or that of n-grams unseen in its context; 0 where the context is unseen too."""
         coded = pa.array(grams.astype(np.int64)).dictionary_encode()
         wanted = np.asarray(coded.dictionary)
+        out, known = self.rows(wanted)
+        rest = wanted[~known]
+        contexts, place = np.unique(((rest & ((1 << 56) - 1)) >> 8) + (((rest >> 56) - 1) << 56) + UNSEEN, return_inverse=True)
+        out[~known] = self.rows(contexts)[0][place]
+        return out[np.asarray(coded.indices)]
+
+    def rows(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(value of each of these distinct keys, 0 if the model has none; whether it has one)."""
         order = np.argsort(wanted)
-        wanted, out = wanted[order], np.zeros(len(order), np.float32)
+        wanted, out, known = wanted[order], np.zeros(len(order), np.float32), np.zeros(len(order), bool)
         bounds = [*np.searchsorted(wanted, self.lows).tolist(), len(wanted)]
         for (keys, values), a, b in zip(self.parts, bounds, bounds[1:], strict=False):
             if a < b:
                 at = np.minimum(np.searchsorted(keys, wanted[a:b]), len(keys) - 1)
-                out[order[a:b]] = np.where(keys[at] == wanted[a:b], values[at], 0)
-        return out[np.asarray(coded.indices)]
+                same = keys[at] == wanted[a:b]
+                out[order[a:b]], known[order[a:b]] = np.where(same, values[at], 0), same
+        return out, known
 
 
 def measured(docs: DataFrame, llr: list[tuple[int, str]], order: int, window: int) -> DataFrame:
@@ -231,11 +251,11 @@ class Curve:
         return 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))
 
 
-def fit(training: DataFrame, order=ORDER, discount=DISCOUNT, cutoff=CUTOFF, window=WINDOW) -> tuple[list[tuple[int, str]], Curve]:
+def fit(training: DataFrame, order=ORDER, discount=DISCOUNT, window=WINDOW) -> tuple[list[tuple[int, str]], Curve]:
     """The stored table of log ratios and the curve, from training (doc_id, text, toxic)."""
     fifth = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
     rows = training.select("doc_id", "text", "toxic")
-    llr = stored(log_ratios(cut(counted(rows.where(~fifth).select("text", "toxic"), order)), order, discount, cutoff))
+    llr = stored(log_ratios(cut(counted(rows.where(~fifth).select("text", "toxic"), order)), order, discount))
     sample = rows.where(fifth).orderBy(F.xxhash64(F.lit("curve"), "doc_id")).limit(CALIBRATION_ROWS).repartition(16, "doc_id")
     found = measured(sample, llr, order, window).select(*FEATURES, "toxic").toPandas()
     return llr, Curve(found[list(FEATURES)].to_numpy(float), found["toxic"].to_numpy(float))

@@ -301,6 +301,17 @@ def test_toxicity_reads_every_byte(spark):
         assert got[toxic] > got[clean] + 0.1
 
 
+def test_toxicity_knows_rare_spellings(spark):
+    rng = random.Random(20)
+    name = lambda k: "zq" + "".join(chr(97 + int(c)) for c in f"{k:03}") + "v"
+    rows = [(k, f"{name(k)} {words(rng, 20)}", k % 2) for k in range(200)]
+    got = whole(spark, toxic_model(spark, rows), [*map(name, range(200)), "zqabx", "zqbax"])
+    # each word is seen once, and its neighbour in the other class
+    assert sum(got[name(k)] > got[name(k ^ 1)] + 0.5 for k in range(1, 200, 2)) >= 50
+    # what was never seen takes the ratio of its context
+    assert got["zqabx"] != 0 and got["zqbax"] != 0
+
+
 def test_language(spark, none):
     rng = random.Random(7)
     sounds = {"aa": ["ka", "ko", "ku", "ta"], "bb": ["sch", "ung", "ein", "ver"]}
