@@ -6,8 +6,9 @@ what came before in the word, or before that. All labelled training texts give c
 model interpolates its own discounted counts with one backoff that both classes share, the Kneser-Ney continuation
 counts of short n-grams. All n-grams take part, however rare; one never seen takes what both classes leave to the
 backoff in its context. A text is scored by the difference of length-normalised log-likelihoods, over
-the whole text, over its most toxic window of words and over its strong words, and a logistic curve, fitted on labelled documents that gave no
-counts, turns these into a probability.
+the whole text, over its most toxic window of words and over its strong words, and a logistic curve turns these into a
+probability. The curve is fitted on labelled documents of a fifth, measured by a model of the other four; then the
+counts of the fifth are added, and the model of all of them scores.
 
 Log ratios are computed as distributed columns and stored, each under its own n-gram, as sorted files in the folder that
 driver and executors share, which must be mounted on all of them. Workers map the files; the driver holds their names. A-Z are lower-cased; ASCII punctuation and digits
@@ -35,7 +36,7 @@ from .common import cut, docs_of, shared_dir, slices, text_buffers
 ORDER, DISCOUNT, WINDOW = 7, 0.75, 1
 #: Marks a context's row in the model, for n-grams never seen in it.
 UNSEEN = 1 << 60
-#: At most so many labelled documents calibrate the curve (three numbers each); the counts take all.
+#: At most so many labelled documents of the fifth calibrate the curve (three numbers each); the counts take all.
 CALIBRATION_ROWS = 20_000
 CHUNK = 2 << 20
 #: Mean log ratio a word; that of the most toxic window; what words have above STRONG, by the root of the length.
@@ -255,10 +256,12 @@ def fit(training: DataFrame, order=ORDER, discount=DISCOUNT, window=WINDOW) -> t
     """The stored table of log ratios and the curve, from training (doc_id, text, toxic)."""
     fifth = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
     rows = training.select("doc_id", "text", "toxic")
-    llr = stored(log_ratios(cut(counted(rows.where(~fifth).select("text", "toxic"), order)), order, discount))
+    rest, own = (cut(counted(part.select("text", "toxic"), order)) for part in (rows.where(~fifth), rows.where(fifth)))
+    apart = stored(log_ratios(rest, order, discount))
     sample = rows.where(fifth).orderBy(F.xxhash64(F.lit("curve"), "doc_id")).limit(CALIBRATION_ROWS).repartition(16, "doc_id")
-    found = measured(sample, llr, order, window).select(*FEATURES, "toxic").toPandas()
-    return llr, Curve(found[list(FEATURES)].to_numpy(float), found["toxic"].to_numpy(float))
+    found = measured(sample, apart, order, window).select(*FEATURES, "toxic").toPandas()
+    counts = cut(rest.union(own).groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    return stored(log_ratios(counts, order, discount)), Curve(found[list(FEATURES)].to_numpy(float), found["toxic"].to_numpy(float))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -312,6 +312,15 @@ def test_toxicity_knows_rare_spellings(spark):
     assert got["zqabx"] != 0 and got["zqbax"] != 0
 
 
+def test_toxicity_counts_every_training_row(spark):
+    rng = random.Random(21)
+    name = lambda k: "zq" + "".join(chr(97 + int(c)) for c in f"{k:03}") + "v"
+    rows = [(k, f"{name(k)} {words(rng, 20)}", k % 2) for k in range(200)]
+    got = whole(spark, toxic_model(spark, rows), [name(k) for k in range(200)])
+    # each word occurs in one training row only, and leans to the class of that row
+    assert all(got[name(k)] > got[name(k ^ 1)] for k in range(1, 200, 2))
+
+
 def test_language(spark, none):
     rng = random.Random(7)
     sounds = {"aa": ["ka", "ko", "ku", "ta"], "bb": ["sch", "ung", "ein", "ver"]}
