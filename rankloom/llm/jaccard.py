@@ -210,8 +210,8 @@ def cross_tasks(met: DataFrame, sizes: DataFrame) -> DataFrame:
     are listed (of fitting sizes), as many groups have them in common. Other groups are joined by blocks: documents of a label that fills more
     than a block lie in blocks of their own, which aren't joined with each other; all others share blocks.
     """
-    twin = met.groupBy("member").agg(F.count("*").alias("n"), *(F.bit_xor(F.xxhash64(F.lit(k), "doc_id")).alias(f"x{k}") for k in (1, 2)))
-    once = twin.groupBy("n", "x1", "x2").agg(F.min("member").alias("member")).select("member")
+    twin = met.groupBy("member").agg(F.count("*").alias("n"), *(F.sum(F.shiftright(F.xxhash64(F.lit(k), "doc_id"), 32)).alias(f"x{k}") for k in (1, 2, 3, 4)))
+    once = twin.groupBy("n", "x1", "x2", "x3", "x4").agg(F.min("member").alias("member")).select("member")
     met = met.join(once, "member").join(sizes, "doc_id").select("member", "doc_id", "label", "n_shingles")
 
     # pairs of different labels that a group has: few where one label has nearly all documents
@@ -272,7 +272,7 @@ def jaccard_links(docs: DataFrame, sizes: DataFrame, n: int = N) -> tuple[DataFr
     least_shared = F.greatest(F.lit(1), F.floor(least * EXTRA))  # needed(n), one less to be safe from rounding
     least_shared = F.greatest(F.lit(1), least_shared - 1)
     keep = met.join(sizes, "doc_id").select("doc_id", F.slice("own", F.lit(1), F.greatest(F.lit(0), F.size("own") - least_shared + 1).cast("int")).alias("own"))
-    met = cut(keep.select("doc_id", F.explode("own.member").alias("member")))
+    met = cut(keep.select("doc_id", F.explode("own.member").alias("member")).distinct())  # repeated rows count once
     wanted = met.select("doc_id").distinct()
     sets = cut(described(docs.join(wanted, "doc_id", "left_semi"), n, "set"))
     links = cut(trie_join(star_tasks(met), sets))
@@ -283,7 +283,7 @@ def jaccard_links(docs: DataFrame, sizes: DataFrame, n: int = N) -> tuple[DataFr
             break
         open_ = cut(labelled(open_.join(covered(open_, sets), "doc_id", "left_semi").select("member", "doc_id"), labels))
     if not open_.isEmpty():
-        links = cut(links.union(trie_join(cross_tasks(open_, sets.select("doc_id", "n_shingles")), sets)))
+        links = cut(links.union(trie_join(cross_tasks(open_, sets.select("doc_id", "n_shingles").distinct()), sets)))
         labels = components(links) if not links.isEmpty() else None
     return (links, labels) if labels is not None else (None, None)
 

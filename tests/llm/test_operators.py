@@ -152,6 +152,13 @@ def test_jaccard(docs, none, spark, monkeypatch):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(frame).collect()} == brute_components(rows)
 
 
+def test_jaccard_compares_groups_of_repeated_rows(spark):
+    # groups of one size and different documents, each row twice; 3 has the documents of 2
+    met = spark.createDataFrame([(m, d, d) for m, ds in ((1, (1, 2)), (2, (3, 4)), (3, (3, 4))) for d in ds] * 2, "member long, doc_id long, label long")
+    tasks = jaccard.cross_tasks(met, spark.createDataFrame([(d, 9) for d in range(1, 5)], "doc_id long, n_shingles long")).collect()
+    assert {r.doc_id for r in tasks} == {1, 2, 3, 4}
+
+
 def test_packing(docs, none):
     from pathlib import Path
 
