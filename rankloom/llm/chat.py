@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 Turn = tuple[str, str]
 HEAD, TAIL = "### ", "</turn>"
-#: Turns of which prefixes are rendered whole; longer conversations are rendered in windows of this many turns.
+#: Turns of which a plain template renders prefixes whole; longer conversations go in windows of this many turns.
 WINDOW = 64
 
 
@@ -40,6 +40,10 @@ def template(turns: list[Turn]) -> str:
     return "".join(f"{HEAD}{escape_role(role)}:\n{escape(text)}{TAIL}\n" for role, text in turns)
 
 
+#: Says that the output for some turns is that for each of them, one after the other, whatever came before.
+template.plain = True
+
+
 def header(turn: Turn) -> str:
     return f"{HEAD}{escape_role(turn[0])}:\n"
 
@@ -72,9 +76,11 @@ def common_prefix(a: str, b: str) -> int:
 def render(turns: list[Turn], black_box: Callable[[list[Turn]], str] = template, window: int = WINDOW) -> tuple[str, list[tuple[int, int]], bool]:
     """(output, span of each turn, whether history was rewritten).
 
-    Prefixes of up to `window` turns are rendered whole. Beyond that, each block is rendered once more behind the last
-    turn before it and must continue that turn's own output, so n turns cost n * window renderings of turns, not n * n.
+    All prefixes are rendered whole, at n * n renderings of turns. Only a template that is `plain` goes by blocks of
+    `window` turns behind the last turn before them, at n * window, which gives the same.
     """
+    if not getattr(black_box, "plain", False):
+        window = max(1, len(turns))
     out, spans, rewritten = "", [], False
     for block in range(0, max(1, len(turns)), window):
         lead = turns[block - 1 : block] if block else []

@@ -211,6 +211,15 @@ def test_chat(spark):
     assert not chat.render([("u", "a"), ("v", "b")])[2]
 
 
+def test_chat_renders_true_prefixes_at_any_length():
+    turns = [("user", f"t{k}") for k in range(150)]
+    numbered = lambda ts: "preamble " + "".join(f"{k}:{t} " for k, (_, t) in enumerate(ts))
+    out, spans, bad = chat.render(turns, numbered)
+    assert not bad and out == numbered(turns)
+    assert all(out[a:b] == numbered(turns[: k + 1])[len(numbered(turns[:k])) :] for k, (a, b) in enumerate(spans) if k)
+    assert chat.render(turns, chat.template) == chat.render(turns, lambda ts: chat.template(ts))
+
+
 def test_urls(spark):
     pages = spark.createDataFrame([(1, "HTTP://A.Example.COM/en/7?x"), (2, "https://b.example.net/de/1"), (3, "https://example.net/de/8"), (4, None), (5, "no url"), (6, "x://notorg/es/"), (7, "x://q.org/es/#f"), (None, "x://bad.io/p"), (8, "x://bad.io/q"), *((100 + k, "x://bad.io/r") for k in range(30)), *((200 + k, "x://ok.io/r") for k in range(30))], "page_id long, url string")
     outcomes = spark.createDataFrame([(8, None)] + [(100 + k, 1) for k in range(30)] + [(200 + k, 0) for k in range(30)], "page_id long, bad int")
