@@ -19,9 +19,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (in tests) a folder of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else (in tests, on one machine) a folder of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="rankloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -32,7 +34,25 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rankloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.rankloom_path = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete what cut() wrote for these, once everything that reads them has been written itself; others are left alone."""
+    for df in tables:
+        path = df.__dict__.pop("rankloom_path", None) if df is not None else None
+        if path:
+            jvm = df.sparkSession.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def replaced(new: DataFrame, *old: DataFrame | None) -> DataFrame:
+    """new, which has been written from the old tables; these are deleted."""
+    forget(*old)
+    return new
 
 
 def per_worker(key, make):
@@ -52,10 +72,15 @@ def docs_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of df, for sizing partitions; never for dropping rows."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString())
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with so many underscores in front that df has no such column."""
+    own = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in own:
+            name = f"_{name}"
+        out.append(name)
+    return out
 
 
 def text_buffers(col: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -86,5 +111,24 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
             start = stop
 
 
-def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+def give_back() -> None:
+    """Hand memory that a task has freed back to the system; workers live on and serve other stages."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def frugal(run):
+    """run (batches to batches), giving memory back at the end of a task."""
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return held
