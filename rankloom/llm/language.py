@@ -22,10 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import docs_of, slices, text_buffers
-from .tokens import U, mixed, range_hashes, split_words, text_of
+from .tokens import SEP, U, mixed, range_hashes, split_words, text_of
 
 SAMPLE, WINDOW, EPOCHS, RATE, BITS, CHUNK = 600, 40, 40, 0.2, 17, 5 << 19
-LETTERS = np.array([b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 0 for b in range(256)], np.uint8)
+LETTERS = np.array([b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else SEP for b in range(256)], np.uint8)
 
 
 class Features:
@@ -191,7 +191,7 @@ def label(docs: DataFrame, training: DataFrame) -> DataFrame:
                 at = np.flatnonzero(new)
                 for t, a, z, k in zip(text[at].tolist(), at.tolist(), [*at[1:].tolist(), len(best)], best[at].tolist(), strict=True):
                     runs[t].append({"start": a - int(first[t]), "stop": min(z, int(first[t + 1])) - int(first[t]), "lang": langs[k]})
-                ascii_letters = np.concatenate([[0], np.cumsum((LETTERS[data] > 0) & (data < 128))])
+                ascii_letters = np.concatenate([[0], np.cumsum((LETTERS[data] != SEP) & (data < 128))])
                 for t in np.flatnonzero(ascii_letters[offsets[1:]] == ascii_letters[offsets[:-1]]).tolist():
                     if not any(c.isalpha() for c in b.column(1)[t].as_py() or ""):
                         pred[t], score[t], runs[t] = len(langs), 0.0, []

@@ -1,8 +1,10 @@
 """Substring dedup by repeated-phrase automata.
 
-Passages of WIDTH words that recur are confirmed, compiled into Aho-Corasick automata (one after another in each shard,
-each of bounded size) and every document's candidate stretches stream through them, which locates every occurrence. A
-word goes if a passage that covers it also starts in a document with a smaller id.
+Passages of WIDTH words that recur are confirmed by count and compiled into Aho-Corasick automata (one after another in
+each shard, each of bounded size). All stretches of documents around anchors that recur stream through them in the order
+of documents; the automaton locates every occurrence, and whose is first owns the passage. A word goes if a passage that
+covers it also starts in a document with a smaller id. Stretches that a scan task has already read word for word in a
+smaller document are settled there, so that copies are sent once.
 
 Null texts have no words. Documents of fewer words than a passage lose nothing. Repeated (doc_id, text) rows are one
 document twice: they don't remove each other. Rows of a null doc_id are left out. Empty tables give an empty result.
@@ -19,9 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import docs_of
 from .repeats import candidates, merged, removed, stretches
-from .tokens import EXACT, split_words, word_hashes
+from .tokens import EXACT, SEP, range_hashes, split_words, word_hashes
 
 WIDTH, GRAM = 50, 12
+BREAK = bytes([SEP])
 #: Occurrences beyond which an anchor's windows are dealt out one by one.
 HOT = 2_000
 #: Windows that one automaton is compiled from, at most (a group of fewer than HOT stretches is never split).
@@ -37,46 +40,55 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Shard:
-    """Groups of stretches (group, doc, start, words); finds for each the windows that also lie in an earlier document."""
+    """Groups of stretches (doc, start, words): confirms the passages that recur, compiles them, and locates every occurrence."""
 
     def __init__(self, width: int):
         self.width, self.rows, self.windows = width, [], 0
 
-    def add(self, group: int, doc: int, start: int, text: bytes) -> None:
+    def add(self, doc: int, start: int, text: bytes) -> None:
         own = text.split(b" ")
-        self.rows.append((group, doc, start, own))
+        self.rows.append((doc, start, own))
         self.windows += len(own) - self.width + 1
 
+    def confirmed(self, coded: list[tuple[int, int, tuple]]) -> Iterator[tuple]:
+        """Passages (as word numbers) that occur more than once, by count of their hashes."""
+        words = np.concatenate([np.array(own, np.int64) for *_, own in coded])
+        size = np.array([len(own) for *_, own in coded])
+        first = np.cumsum(size) - size
+        n = size - self.width + 1
+        row = np.repeat(np.arange(len(size)), n)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        _, place, count = np.unique(range_hashes(words, first[row] + at, first[row] + at + self.width), return_inverse=True, return_counts=True)
+        again = np.flatnonzero(count[place] > 1)
+        for r, k in zip(row[again].tolist(), at[again].tolist(), strict=True):
+            yield coded[r][2][k : k + self.width]
+
     def located(self) -> Iterator[tuple[int, int, int]]:
         """(doc, start, stop) of what an earlier document has too."""
         import ahocorasick
 
-        width, number = self.width, {}
-        coded = [(doc, start, tuple(number.setdefault(w, len(number) + 1) for w in own)) for _, doc, start, own in self.rows]
-        owner: dict[tuple, int] = {}
-        again: set[tuple] = set()
-        for doc, _, own in coded:
-            for k in range(len(own) - width + 1):
-                first = owner.setdefault(own[k : k + width], doc)
-                if first != doc:
-                    again.add(own[k : k + width])
-                    if doc < first:
-                        owner[own[k : k + width]] = doc
+        number: dict[bytes, int] = {}
+        coded = [(doc, start, tuple(number.setdefault(w, len(number) + 1) for w in own)) for doc, start, own in self.rows]
         self.rows, self.windows = [], 0
-        if not again:
+        if not coded:
             return
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        firsts = sorted({owner[w] for w in again})  # values of an automaton are small integers
-        rank = {d: k for k, d in enumerate(firsts)}
-        for w in again:
-            automaton.add_word(w, rank[owner[w]])
+        for passage in self.confirmed(coded):
+            if not automaton.exists(passage):
+                automaton.add_word(passage, len(automaton))
+        if not len(automaton):
+            return
         automaton.make_automaton()
-        for doc, start, own in coded:
+        # documents stream through it from the smallest on: who has a passage first owns it
+        owner: list[int | None] = [None] * len(automaton)
+        for doc, start, own in sorted(coded, key=lambda x: x[:2]):
             run = None
             for last, k in automaton.iter(own):
-                if firsts[k] >= doc:
+                if owner[k] is None:
+                    owner[k] = doc
+                if owner[k] == doc:
                     continue
-                a, b = last - width + 1, last + 1
+                a, b = last - self.width + 1, last + 1
                 if run and a <= run[1]:
                     run[1] = b
                 else:
@@ -107,7 +119,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
                 seen.clear()
             for r, a, b, one in zip(row.tolist(), begin.tolist(), last.tolist(), single.tolist(), strict=True):
                 doc, at = int(ids[text[r]]), a - int(first[text[r]])
-                piece = b" ".join(whole[starts[a] : ends[b - 1]].replace(b"\0", b" ").split())
+                piece = b" ".join(filter(None, whole[starts[a] : ends[b - 1]].split(BREAK)))
                 name = xxhash.xxh3_128_digest(piece)
                 group = int(key[r]) if not one else int.from_bytes(name[:8], "little") >> 1 | 1 << 62
                 # what an earlier document of this task has word for word is settled here
@@ -130,7 +142,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
                 if shard.windows > AUTOMATON and group != last:
                     yield rows(list(shard.located()))
                 last = group
-                shard.add(group, doc, start, piece)
+                shard.add(doc, start, piece)
         yield rows(list(shard.located()))
 
     pieces = candidates(docs, words, width, gram, across=True, hot_above=HOT).select("doc_id", "text", "keys", "hot").mapInArrow(cut_out, "group long, doc_id long, start long, stop long, piece binary")

@@ -9,10 +9,12 @@ from .common import per_worker
 U = np.uint64
 BASE, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 MIX1, MIX2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
-#: What each byte becomes; 0 separates words. EXACT: white space only. FOLDED: A-Z lower-cased too. PLAIN: ASCII punctuation separates too.
-EXACT = np.array([0 if b in (32, 9, 10, 11, 12, 13) else b for b in range(256)], np.uint8)
+#: Separates words; UTF-8 never has this byte, and U+0000 may be part of a word.
+SEP = 255
+#: What each byte becomes. EXACT: white space separates. FOLDED: A-Z lower-cased too. PLAIN: ASCII punctuation separates too.
+EXACT = np.array([SEP if b in (32, 9, 10, 11, 12, 13) else b for b in range(256)], np.uint8)
 FOLDED = np.array([b + 32 if 65 <= b <= 90 else EXACT[b] for b in range(256)], np.uint8)
-PLAIN = np.array([b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else b + 32 if 65 <= b <= 90 else 0 for b in range(256)], np.uint8)
+PLAIN = np.array([b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else b + 32 if 65 <= b <= 90 else SEP for b in range(256)], np.uint8)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -37,7 +39,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def split_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = EXACT):
     """(bytes after `table`, start of each word, its end, first: words before each text, and in all)."""
     flat = table[data]
-    mask = flat != 0
+    mask = flat != SEP
     edge = np.zeros(len(flat) + 1, bool)
     edge[0] = edge[offsets] = True
     before = np.zeros(len(flat) + 1, bool)
