@@ -60,6 +60,7 @@ def recurring(docs: DataFrame, units: Units, width: int, gram: int, across: bool
         counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     else:
         counts = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    counts = cut(counts)  # so both sides of the join are dealt out anew, and Spark can split the tasks of a hot anchor
     hot = F.when(F.col("n") > hot_above, F.col("key"))
     return rows.join(counts, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"), F.collect_set(hot).alias("hot"))
 
