@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import docs_of
 
-#: Bytes of strings that one trie holds before it spills subtrees.
-TRIE_BYTES = 48 << 20
+#: Bytes that one trie takes before it spills subtrees: its strings and so many for each node.
+TRIE_BYTES, NODE_BYTES = 48 << 20, 330
 OWNERS = pa.schema([("length", pa.int64()), ("digest", pa.binary()), ("text", pa.large_binary()), ("owner", pa.int64()), ("members", pa.int64())])
 
 
@@ -44,7 +44,7 @@ class PatriciaTrie:
             child = node.children.get(key[at])
             if child is None:
                 child = node.children[key[at]] = Node(key[at:])
-                self.size += len(key) - at
+                self.size += len(key) - at + NODE_BYTES
                 node, at = child, len(key)
                 break
             label = child.label
@@ -57,6 +57,7 @@ class PatriciaTrie:
             child.label = label[same:]
             upper.children[child.label[0]] = child
             node.children[key[at]] = upper
+            self.size += NODE_BYTES
             node, at = upper, at + same
         new = node.owner is None
         node.owner = ident if new else self.better(node.owner, ident)
@@ -77,7 +78,7 @@ class PatriciaTrie:
         total, todo = 0, [node]
         while todo:
             x = todo.pop()
-            total += len(x.label)
+            total += len(x.label) + NODE_BYTES
             todo += x.children.values()
         return total
 
