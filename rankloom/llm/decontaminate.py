@@ -10,7 +10,8 @@ of their own length, so such an item is found where its words stand in order; th
 that short, is not looked for on its own.
 
 The index is broadcast; it is built in shards of a fixed number of bytes of item texts, each of which meets all
-documents, so its size is bounded whatever the benchmark. Words are lower-cased A-Z; ASCII punctuation separates words.
+documents, so its size is bounded whatever the benchmark. Document frequencies and the mean length are those of all
+items, so a score does not depend on the shards. Words are lower-cased A-Z; ASCII punctuation separates words.
 
 Null and empty documents and items match nothing. Repeated items are reported each. Rows of a null doc_id are searched
 like others. Empty tables give an empty result.
@@ -18,6 +19,7 @@ like others. Empty tables give an empty result.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_of, slices, text_buffers
+from .common import cut, docs_of, fresh, frugal, per_worker, slices, text_buffers
 from .tokens import PLAIN, shingle_hashes, split_words, text_of, word_hashes
 
 PIECE, BLOCK, SHINGLE = 64, 64, 5
@@ -40,9 +42,12 @@ HITS_DDL = "doc_id long, item_id long, passage long, bm25_share double, question
 
 
 class Index:
-    """Postings of item pieces with impacts, and block maxima; items are (item_id, text)."""
+    """Postings of item pieces with impacts, and block maxima; items are (item_id, text).
 
-    def __init__(self, items: list[tuple[int, str]]):
+    corpus: (pieces, their mean length, pieces that hold each word) of all shards, where there are others.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], corpus: tuple[int, float, dict[int, int]] | None = None):
         texts = pa.array([t or "" for _, t in items], pa.string())
         data, offsets = text_buffers(texts)
         flat, starts, ends, first = split_words(data, offsets, PLAIN)
@@ -64,8 +69,11 @@ class Index:
             tf.append(count)
         term, piece, tf = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (terms, piece, tf))
         df = np.bincount(term, minlength=len(self.vocabulary))
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[piece] / max(1.0, lengths.mean() if len(lengths) else 1.0)))
+        every, mean = n, max(1.0, lengths.mean() if len(lengths) else 1.0)
+        if corpus:
+            every, mean, df = corpus[0], max(1.0, corpus[1]), np.array([corpus[2].get(w, 1) for w in self.vocabulary.astype(np.int64).tolist()], float)
+        idf = np.log(1 + (every - df + 0.5) / (df + 0.5))
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[piece] / mean))
         impact /= np.bincount(piece, impact, max(1, len(self.pieces)))[piece]
         order = np.lexsort((piece, term))
         self.piece, self.impact = piece[order], impact[order]
@@ -221,36 +229,63 @@ def search(index: Index, docs: list, data: np.ndarray, offsets: np.ndarray) -> l
     return list(best.values())
 
 
-def shards(items: DataFrame, shard_bytes: int = SHARD_BYTES) -> Iterator[list[tuple[int, str]]]:
-    """The items, at most about shard_bytes of text at a time."""
+def pieces_of(items: DataFrame) -> DataFrame:
+    """word (hash), n: in how many pieces of the items (item_id, text) it occurs; the word null stands for pieces and their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", CHUNK):
+            flat, starts, ends, first = split_words(*text_buffers(b.column(1)), PLAIN)
+            words = word_hashes(flat, starts, ends)
+            text = text_of(first)
+            piece = text * np.int64(1 << 32) + (np.arange(len(words)) - first[text]) // PIECE
+            pairs = np.unique(np.column_stack([piece.astype(np.int64), words.astype(np.int64)]), axis=0)
+            word = pa.array(pairs[:, 1]).value_counts()
+            own = [*np.asarray(word.field(0)).tolist(), None]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([*np.asarray(word.field(1)).tolist(), len(np.unique(piece))], pa.int64()), pa.array([0] * (len(own) - 1) + [len(words)], pa.int64())], names=["word", "n", "words"])
+
+    return items.select("item_id", "text").mapInArrow(run, "word long, n long, words long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+
+
+def shards(items: DataFrame, shard_bytes: int = SHARD_BYTES) -> Iterator[tuple[list[tuple[int, str]], tuple | None]]:
+    """(the items, at most about shard_bytes of text at a time; what Index needs to know of all of them)."""
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-int(total) // shard_bytes))
+    if n == 1:
+        yield [tuple(r) for r in items.select("item_id", "text").collect()], None
+        return
+    counts = cut(pieces_of(items))
+    whole = counts.where("word is null").first()
     for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [tuple(r) for r in part.select("item_id", "text").collect()]
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+        own = counts.join(pieces_of(part).select("word"), "word").where("n > 1").select("word", "n").collect()  # as many as a shard has words
+        yield [tuple(r) for r in part.select("item_id", "text").collect()], (whole.n, whole.words / max(1, whole.n), dict(map(tuple, own)))
 
 
-def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, item_id, passage, bm25_share, question_overlap, answer_overlap: a row for each document and test item in it."""
     docs = docs_of(docs)
     items = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null and item_id is not null")
     found = None
-    for part in shards(items):
-        index = docs.sparkSession.sparkContext.broadcast(part)
-
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            own = Index(index.value)
+    for part in shards(items, shard_bytes):
+        index, name = docs.sparkSession.sparkContext.broadcast(part), uuid.uuid4().hex
+
+        def run(batches: Iterator[pa.RecordBatch], index=index, name=name) -> Iterator[pa.RecordBatch]:
+            held = per_worker("bm25", dict)  # a worker keeps one index, built once
+            if name not in held:
+                held.clear()
+                held[name] = Index(*index.value)
             for b in slices(batches, "text", CHUNK):
-                rows = search(own, b.column(0).to_pylist(), *text_buffers(b.column(1)))
+                rows = search(held[name], b.column(0).to_pylist(), *text_buffers(b.column(1)))
                 cols = list(zip(*rows, strict=True)) if rows else [[] for _ in HITS]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, HITS, strict=True)], schema=HITS)
 
-        hits = docs.mapInArrow(run, HITS_DDL)
+        hits = docs.mapInArrow(frugal(run), HITS_DDL)
         found = hits if found is None else found.unionByName(hits)
     return found
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs in which no test item lies; columns as they are. Rows of a null doc_id stay."""
-    hits = contaminated(docs, items).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(hits, docs["doc_id"] == F.col("_leaked"), "left_anti")
+    (leaked,) = fresh(docs, "leaked")
+    hits = contaminated(docs, items).select(F.col("doc_id").alias(leaked)).distinct()
+    return docs.join(hits, F.col("doc_id") == F.col(leaked), "left_anti")
