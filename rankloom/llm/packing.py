@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, docs_of, per_worker
+from .common import cut, docs_of, frugal, per_worker
 
 CAPACITY = 2048
 #: Pieces that one packing task handles; a bin left open at its end is the only loss of packing in parallel.
@@ -62,7 +62,8 @@ class WordBpe:
         self._nfc = unicodedata.normalize
         self._whole = Tokenizer.from_str(spec)
         self._whole.encode_special_tokens = True
-        self._odd = regex.compile(r"[\x1c-\x1fΣİ]|<\|(start|end)oftext\|>").search
+        self._odd = regex.compile(r"[\x1c-\x1fΣİ\p{M}\p{Cn}\p{Co}\p{Cs}]|<\|(start|end)oftext\|>").search
+        self._plain_odd = regex.compile(r"[\x1c-\x1f]|<\|(start|end)oftext\|>").search
         self._memo: dict[str, bytes] = {}
         self._words: dict[str, bytes] = {}
 
@@ -76,7 +77,7 @@ class WordBpe:
         return out
 
     def __call__(self, text: str) -> bytes:
-        if self._odd(text):  # characters on which chunking and the tokenizer's own rules could differ
+        if not text.isascii() and self._odd(text) or self._plain_odd(text):  # what chunking and the tokenizer's own rules could see differently
             import numpy as np
 
             return np.array(self._whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -84,7 +85,7 @@ class WordBpe:
         try:
             return b"".join([memo[c] for c in chunks])
         except KeyError:
-            if len(memo) > MEMO:
+            if len(memo) + len(self._words) > MEMO:
                 memo.clear()
                 self._words.clear()
             for c in chunks:
@@ -194,7 +195,8 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, per_task: int = PIECES_PER_T
                 at += lengths[i]
         yield from data.append_column("sequence_id", pa.array(seq, pa.int64())).append_column("offset", pa.array(offset, pa.int64())).to_batches()
 
-    return (rows.coalesce(1) if tasks == 1 else rows.repartition(tasks, F.xxhash64("doc_id", "piece"))).mapInArrow(run, schema)
+    dealt = rows.coalesce(1) if tasks == 1 else rows.repartition(tasks, F.xxhash64("doc_id", "piece"))
+    return dealt.sortWithinPartitions("doc_id", "piece").mapInArrow(frugal(run), schema)  # the same order whenever a task runs again
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | Callable[[], str], capacity: int = CAPACITY) -> DataFrame:
