@@ -4,6 +4,9 @@ A template is any function from a list of (role, text) turns to a string. Succes
 consecutive outputs compared: where output k starts with output k-1, the rest is turn k's span; where it does not, the
 template rewrote history and the conversation is marked, its span being what differs after the common prefix.
 
+Where a turn's text lies is found the same way: the turn is rendered with two other texts, and what the two outputs have
+in common before and behind them is what surrounds the text. Nothing is known of the template but what it renders.
+
 Null roles and texts count as empty; null turns sort first; equal turns sort by role and text, repeated rows stay.
 A conversation of a null conv_id is a conversation like any other. An empty table gives an empty result.
 """
@@ -44,10 +47,6 @@ def template(turns: list[Turn]) -> str:
 template.plain = True
 
 
-def header(turn: Turn) -> str:
-    return f"{HEAD}{escape_role(turn[0])}:\n"
-
-
 PARSE = re.compile(r"### ((?:\\.|[^\\:])*):\n((?:\\.|(?!</turn>)[^\\])*)</turn>\n", re.S)
 
 
@@ -101,17 +100,35 @@ def render(turns: list[Turn], black_box: Callable[[list[Turn]], str] = template,
 FORMATTED = "conv_id long, formatted string, spans array<struct<start:long,stop:long>>, mask array<struct<start:long,stop:long>>, rewritten boolean"
 
 
-def format_turns(turns: list[Turn], learn: str = "assistant") -> tuple[str, list, list, bool]:
-    """mask: bounds of the escaped texts of the turns that the loss covers."""
-    out, spans, rewritten = render(turns)
-    mask = []
-    for turn, (start, stop) in zip(turns, spans, strict=True):
-        if turn[0] == learn:
-            mask.append((start + len(header(turn)), stop - len(TAIL) - 1))
+#: Texts that a turn is rendered with to find where its own text lies.
+PROBES = ("a", "b")
+
+
+def surroundings(render_with: Callable[[str], str]) -> tuple[int, int]:
+    """Characters before and behind a turn's text, from renderings with other texts."""
+    x, y = (render_with(p) for p in PROBES)
+    return common_prefix(x, y), common_prefix(x[::-1], y[::-1])
+
+
+def format_turns(turns: list[Turn], learn: str = "assistant", black_box: Callable[[list[Turn]], str] = template) -> tuple[str, list, list, bool]:
+    """mask: bounds of the escaped texts of the turns that the loss covers, in the output."""
+    out, spans, rewritten = render(turns, black_box)
+    plain, mask, known = getattr(black_box, "plain", False) and not rewritten, [], {}
+    for k, ((role, _), (start, stop)) in enumerate(zip(turns, spans, strict=True)):
+        if role != learn:
+            continue
+        if plain:  # a turn's output is the same wherever it stands
+            if role not in known:
+                known[role] = surroundings(lambda text, role=role: black_box([(role, text)]))
+            before, behind = known[role]
+            mask.append((start + before, stop - behind))
+        else:
+            before, behind = surroundings(lambda text, k=k, role=role: black_box([*turns[:k], (role, text), *turns[k + 1 :]]))
+            mask.append((before, len(out) - behind))
     return out, spans, mask, rewritten
 
 
-def format_conversations(rows: DataFrame, learn: str = "assistant") -> DataFrame:
+def format_conversations(rows: DataFrame, learn: str = "assistant", black_box: Callable[[list[Turn]], str] = template) -> DataFrame:
     """One row per conversation: conv_id, formatted, spans (a turn each), mask (loss), rewritten.
 
     Rows of a conversation are brought together and sorted by Spark, and stream through the task; only one conversation
@@ -131,14 +148,14 @@ def format_conversations(rows: DataFrame, learn: str = "assistant") -> DataFrame
         for b in batches:
             for conv, role, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 if turns and conv != own:
-                    done.append((own, format_turns(turns, learn)))
+                    done.append((own, format_turns(turns, learn, black_box)))
                     turns = []
                     if len(done) >= 2000:
                         yield flush()
                 own = conv
                 turns.append((role, text))
         if turns:
-            done.append((own, format_turns(turns, learn)))
+            done.append((own, format_turns(turns, learn, black_box)))
         if done:
             yield flush()
 
