@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts with the rule's.
@@ -75,7 +77,7 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold: f
     """pages (page_id, url) and outcomes (page_id, bad 0/1) to page_id, host, path, rule, verdict, bad_bound."""
     own = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     counts = outcomes.where("bad is not null").groupBy("page_id").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
-    hosts = own.join(counts, "page_id", "left").groupBy("host").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    hosts = cut(own.join(counts, "page_id", "left").groupBy("host").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")))  # read for each prior
     fits = rule_of(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("bad_bound") > threshold, "block").otherwise("allow")
     return own.join(reputation(hosts), "host").withColumn("_rule", fits).select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce(F.col("_rule.verdict"), method).alias("verdict"), "bad_bound")
