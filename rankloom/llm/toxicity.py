@@ -5,14 +5,18 @@ bytes) and, among the first of a word, one of ORDER bytes that reaches back into
 what came before in the word, or before that. All labelled training texts give counts of n-grams for each class. A class's
 model interpolates its own discounted counts with one backoff that both classes share, the Kneser-Ney continuation
 counts of short n-grams. All n-grams take part, however rare; one never seen takes what both classes leave to the
-backoff in its context. A text is scored by the difference of length-normalised log-likelihoods, over
-the whole text, over its most toxic window of words and over its strong words, and a logistic curve turns these into a
-probability. The curve is fitted on labelled documents of a fifth, measured by a model of the other four; then the
-counts of the fifth are added, and the model of all of them scores.
-
-Log ratios are computed as distributed columns and stored, each under its own n-gram, as sorted files in the folder that
-driver and executors share, which must be mounted on all of them. Workers map the files; the driver holds their names. A-Z are lower-cased; ASCII punctuation and digits
-separate words as white space does.
+backoff in its context. A text is scored by the difference of length-normalised log-likelihoods,
+over the whole text, over its most toxic window of words and over its strong words, and a logistic curve turns these
+into a probability. The curve is fitted on labelled documents of a fifth, measured by a model of the other four; the
+model that scores has the counts of all of them.
+
+Tasks add their counts up before they exchange them; totals are dealt by context, so all that a context's ratios need
+meets in one task. The table of short n-grams that both classes share is broadcast (three bytes: at most 2**24 rows at
+any size). Log ratios are stored, each under its
+own n-gram, as sorted files in the folder that driver and executors share, which must be mounted on all of them. Workers
+map the files; the driver holds their names. Labels are looked up in such files too, so no text is ever
+exchanged.
+A-Z are lower-cased; ASCII punctuation and digits separate words as white space does.
 
 Null and empty texts score the base rate. Labels other than 0 and 1 and labels of no document count for nothing; a
 document labelled more than once is toxic if any says so. Where one class has no training rows all scores are the base
@@ -31,14 +35,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, docs_of, shared_dir, slices, text_buffers
+from .common import cut, docs_of, forget, frugal, shared_dir, slices, text_buffers
 
 ORDER, DISCOUNT, WINDOW = 7, 0.75, 1
 #: Marks a context's row in the model, for n-grams never seen in it.
 UNSEEN = 1 << 60
-#: At most so many labelled documents of the fifth calibrate the curve (three numbers each); the counts take all.
+#: About so many labelled documents of the fifth at most calibrate the curve (three numbers each); the counts take all.
 CALIBRATION_ROWS = 20_000
-CHUNK = 2 << 20
+#: Bytes of text handled at once; counts that a task adds up before it sends them, and sends at once.
+CHUNK, COUNTS, PUT_OUT = 1 << 18, 1_500_000, 200_000
 #: Mean log ratio a word; that of the most toxic window; what words have above STRONG, by the root of the length.
 FEATURES, STRONG = ("whole", "worst", "strong"), 1.0
 #: Bytes of words lower-cased; what separates words is 0.
@@ -85,125 +90,201 @@ def grams(flat: np.ndarray, starts: np.ndarray, first: np.ndarray, order: int) -
     yield word[over], last(np.minimum(at - begin[word] + 1, order))[over] | np.uint64(order << 56)
 
 
+def fold(x):
+    """Brings all bits of a non-negative long down to the lowest; x is a column or an array."""
+    return x ^ (x >> 21) ^ (x >> 42) if isinstance(x, np.ndarray) else x.bitwiseXOR(F.shiftright(x, 21)).bitwiseXOR(F.shiftright(x, 42))
+
+
+def context_of(gram):
+    """All but the last byte of an n-gram, marked with their number; gram is a column or an array."""
+    spelled = (1 << 56) - 1
+    if isinstance(gram, np.ndarray):
+        return ((gram & spelled) >> 8) + (((gram >> 56) - 1) << 56)
+    return F.shiftright(gram.bitwiseAND(F.lit(spelled)), 8) + F.shiftleft(F.shiftright(gram, 56) - 1, 56)
+
+
+COUNTED = ("n0", "n1", "m0", "m1")
+
+
 def counted(labelled: DataFrame, order: int) -> DataFrame:
-    """labelled (text, toxic) to gram, n0, n1: how often the n-gram occurs in either class, added up by task first."""
-    schema = pa.schema([("gram", pa.int64()), ("n0", pa.int64()), ("n1", pa.int64())])
+    """labelled (text, toxic, fifth) to gram and how often it occurs in either class: n0, n1 of four fifths, m0, m1 of the other. Added up by task only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # what is added up so far, ascending; of one task, so counts stay small
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+
+        def add_up():
+            both, n = np.concatenate([keys, *(k for k, _ in held)]), np.concatenate([counts, *(n for _, n in held)])
+            held.clear()
+            order = np.argsort(both).astype(np.int32)
+            both, n = both[order], n[order]
+            new = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else np.zeros(0, np.int64)
+            return both[new], np.add.reduceat(n, new) if len(new) else n
 
         def flush():
-            keys, place = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            n = np.bincount(place, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
-            gram, one = (keys >> np.uint64(1)).astype(np.int64), (keys & np.uint64(1)).astype(bool)
-            return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(np.where(one, 0, n)), pa.array(np.where(one, n, 0))], schema=schema)
+            for a in range(0, len(keys), PUT_OUT):
+                own, n = keys[a : a + PUT_OUT], counts[a : a + PUT_OUT]
+                gram, kind = (own >> np.uint64(2)).astype(np.int64), own & np.uint64(3)
+                columns = [np.where(kind == k, n, 0) for k in range(4)]
+                new = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+                yield pa.RecordBatch.from_arrays([pa.array(gram[new]), *(pa.array(np.add.reduceat(c, new)) for c in columns)], names=["gram", *COUNTED])
 
         for b in slices(batches, "text", CHUNK):
             data, offsets = text_buffers(b.column(0))
             flat, starts, first = words_of(data, offsets)
             text = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-            toxic = b.column(1).to_numpy(zero_copy_only=False).astype(np.uint64)
-            for at, keys in grams(flat, starts, first, order):
-                found = pa.array((keys << np.uint64(1)) | toxic[text[at]]).value_counts()
-                own, n = (np.asarray(found.field(k)) for k in (0, 1))
-                held.append((own, n))
-                size += len(own)
-            if size > 1_500_000:
-                yield flush()
-                held, size = [], 0
-        if held:
-            yield flush()
-
-    return labelled.mapInArrow(run, "gram long, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-
-
-def log_ratios(counts: DataFrame, order: int, discount: float) -> DataFrame:
-    """gram, ratio: log P(last byte | the bytes before) under the toxic model less that under the ordinary one.
-
-    Every n-gram has a row; so has every context, as UNSEEN: the ratio of all n-grams that were never seen in it.
+            kind = (np.asarray(b.column(1)) + 2 * np.asarray(b.column(2))).astype(np.uint64)
+            for at, own in grams(flat, starts, first, order):
+                found = pa.array((own << np.uint64(2)) | kind[text[at]]).value_counts()
+                held.append((np.asarray(found.field(0)), np.asarray(found.field(1)).astype(np.int32)))
+            if sum(len(k) for k, _ in held) > COUNTS // 2:
+                keys, counts = add_up()
+                if len(keys) > COUNTS:
+                    yield from flush()
+                    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        keys, counts = add_up()
+        yield from flush()
+
+    return labelled.select("text", "toxic", "fifth").mapInArrow(frugal(run), "gram long, " + ", ".join(f"{c} long" for c in COUNTED))
+
+
+def log_ratios(own: dict[str, np.ndarray], discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, two ratios each): log P(last byte | the bytes before) under the toxic model less that under the ordinary one.
+
+    own: gram, counts and backoff of n-grams sorted by context, contexts whole. The first ratio is that of four fifths of
+    the counts, the second that of all. Every n-gram has a key; so has every context, as UNSEEN: the ratio of all n-grams
+    that were never seen in it.
     """
-    n = F.shiftright("gram", 56)
-    spelled = F.col("gram").bitwiseAND(F.lit((1 << 56) - 1))
-    every = counts.withColumns({"context": F.shiftright(spelled, 8) + F.shiftleft(n - 1, 56), "suffix": spelled.bitwiseAND(F.lit((1 << 24) - 1))})
-    # shared backoff: in how many different n-grams the last byte follows the two before it
-    types = every.groupBy("suffix").agg(F.count("*").alias("places"))
-    places = types.groupBy(F.shiftright("suffix", 8).alias("short")).agg(F.sum("places").alias("all_places"), F.count("*").alias("nexts"))
-    shared = types.withColumn("short", F.shiftright("suffix", 8)).join(places, "short").select(
-        "suffix", ((F.greatest(F.col("places") - discount, F.lit(0.0)) + discount * F.col("nexts") / 256.0) / F.col("all_places")).alias("backoff"))
-    seen = lambda c: F.sum((F.col(c) > 0).cast("long"))
-    contexts = cut(every.groupBy("context").agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"), seen("n0").alias("t0"), seen("n1").alias("t1")))
+    context = context_of(own["gram"])
+    new = np.append(True, context[1:] != context[:-1])
+    begins, of = np.flatnonzero(new), np.cumsum(new) - 1
+    out = np.zeros((len(context) + len(begins), 2), np.float32)
+    for model, counts in enumerate(((own["n0"], own["n1"]), (own["n0"] + own["m0"], own["n1"] + own["m1"]))):
+        p, left = [], []
+        for n in counts:
+            c, t = np.add.reduceat(n, begins), np.add.reduceat((n > 0).astype(np.int64), begins)
+            some = np.maximum(c, 1)
+            left.append(np.where(c > 0, discount * t / some, 1.0))  # what the class leaves to the backoff, which is the same for both
+            p.append(np.maximum(n - discount, 0) / some[of] + left[-1][of] * own["backoff"])
+        out[: len(context), model] = np.log(p[1] / p[0])
+        out[len(context) :, model] = np.log(left[1] / left[0])
+    return np.concatenate([own["gram"], context[begins] | UNSEEN]), out
+
+
+def folder_of(spark) -> str:
+    """A new folder among the shared ones, as a path of this machine."""
+    return f"{shared_dir(spark).removeprefix('file:').replace('//', '/')}/rankloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def sorted_files(rows: DataFrame, folder: str, make) -> dict[int, str]:
+    """rows come by bucket; make(columns of one bucket) gives (keys, values), stored by key: bucket to file."""
+    names = rows.columns
 
-    def p(k: int) -> Column:
-        n, c, t = F.col(f"n{k}"), F.col(f"c{k}"), F.col(f"t{k}")
-        return F.when(c == 0, F.col("backoff")).otherwise((F.greatest(n - discount, F.lit(0.0)) + discount * t * F.col("backoff")) / c)
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(folder, exist_ok=True)
+        held: list[pa.RecordBatch] = []
+        found: list[tuple[int, str]] = []
+
+        def store():
+            whole = pa.Table.from_batches(held)
+            bucket = whole.column("bucket")[0].as_py()
+            keys, values = make({n: whole.column(n).to_numpy() for n in names})
+            order = np.argsort(keys)
+            name = f"{folder}/{uuid.uuid4().hex}"
+            with open(f"{name}.keys", "wb") as f:
+                f.write(keys[order].astype(np.int64).tobytes())
+            with open(f"{name}.values", "wb") as f:
+                f.write(values[order].astype(np.float32).tobytes())
+            found.append((bucket, name))
+            held.clear()
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            bucket = b.column(names.index("bucket")).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), b.num_rows]
+            for a, z in zip(cuts, cuts[1:], strict=False):
+                if held and held[-1].column(names.index("bucket"))[0].as_py() != bucket[a]:
+                    store()
+                held.append(b.slice(a, z - a))
+        if held:
+            store()
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in ((0, pa.int64()), (1, pa.string()))], names=["bucket", "name"])
 
-    def left(k: int) -> Column:
-        """What a class leaves to the backoff in a context; the backoff itself is the same for both."""
-        c, t = F.col(f"c{k}"), F.col(f"t{k}")
-        return F.when(c == 0, F.lit(1.0)).otherwise(discount * t / c)
+    return {r.bucket: r.name for r in rows.mapInArrow(frugal(write), "bucket long, name string").collect()}
 
-    grams = every.join(contexts, "context").join(shared, "suffix").select("gram", F.log(p(1) / p(0)).alias("ratio"))
-    return grams.union(contexts.select(F.col("context").bitwiseOR(F.lit(UNSEEN)), F.log(left(1) / left(0))))
 
+class Stored:
+    """Keys and values in sorted files, mapped into memory: only what is looked up is read, and workers of a machine share it."""
 
-def stored(ratios: DataFrame) -> list[tuple[int, str]]:
-    """The model as sorted files of grams and ratios in the shared folder: (least gram, file) of each range of grams."""
-    folder = f"{shared_dir(ratios.sparkSession).removeprefix('file:').replace('//', '/')}/rankloom-{ratios.sparkSession.sparkContext.applicationId}/toxicity"
+    def __init__(self, files: dict[int, str], buckets: int, width: int):
+        self.buckets = buckets
+        self.parts = {b: (np.memmap(f"{name}.keys", np.int64, "r"), np.memmap(f"{name}.values", np.float32, "r").reshape(-1, width)) for b, name in files.items()}
+
+    def rows(self, wanted: np.ndarray, bucket: np.ndarray, column: int) -> tuple[np.ndarray, np.ndarray]:
+        """(value of each of these distinct keys, 0 where there is none; whether there is one)."""
+        order = np.lexsort((wanted, bucket))
+        wanted, out, known = wanted[order], np.zeros(len(order), np.float32), np.zeros(len(order), bool)
+        bounds = np.searchsorted(bucket[order], np.arange(self.buckets + 1)).tolist()
+        for b, (keys, values) in self.parts.items():
+            x, z = bounds[b], bounds[b + 1]
+            if x < z:
+                at = np.minimum(np.searchsorted(keys, wanted[x:z]), len(keys) - 1)
+                same = keys[at] == wanted[x:z]
+                out[order[x:z]], known[order[x:z]] = np.where(same, values[at, column], 0), same
+        return out, known
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(folder, exist_ok=True)
-        name, low = f"{folder}/{uuid.uuid4().hex}", None
-        with open(f"{name}.grams", "wb") as keys, open(f"{name}.ratios", "wb") as values:
-            for b in batches:
-                if b.num_rows:
-                    own = b.column(0).to_numpy()
-                    low = int(own[0]) if low is None else low
-                    keys.write(own.astype(np.int64).tobytes())
-                    values.write(b.column(1).to_numpy().astype(np.float32).tobytes())
-        if low is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([low], pa.int64()), pa.array([name])], names=["low", "name"])
 
-    ranges = cut(ratios.select("gram", "ratio")).repartitionByRange("gram").sortWithinPartitions("gram")
-    return sorted(tuple(r) for r in ranges.mapInArrow(write, "low long, name string").collect())
+#: (files, buckets) of a stored table.
+Files = tuple[dict[int, str], int]
 
 
-class Ratios:
-    """The stored model, mapped into memory: only what is looked up is read, and workers of a machine share it."""
+class Ratios(Stored):
+    """The model; column 0 was made without the fifth that calibrates, column 1 with it."""
 
-    def __init__(self, parts: list[tuple[int, str]]):
-        self.lows = np.array([low for low, _ in parts], np.int64)
-        self.parts = [(np.memmap(f"{name}.grams", np.int64, "r"), np.memmap(f"{name}.ratios", np.float32, "r")) for _, name in parts]
+    def __init__(self, files: Files, column: int):
+        super().__init__(*files, 2)
+        self.column = column
 
     def find(self, grams: np.ndarray) -> np.ndarray:
         """Each gram's ratio: its own, or that of n-grams unseen in its context; 0 where the context is unseen too."""
         coded = pa.array(grams.astype(np.int64)).dictionary_encode()
         wanted = np.asarray(coded.dictionary)
-        out, known = self.rows(wanted)
-        rest = wanted[~known]
-        contexts, place = np.unique(((rest & ((1 << 56) - 1)) >> 8) + (((rest >> 56) - 1) << 56) + UNSEEN, return_inverse=True)
-        out[~known] = self.rows(contexts)[0][place]
+        context = context_of(wanted)
+        out, known = self.rows(wanted, fold(context) % self.buckets, self.column)
+        contexts, place = np.unique(context[~known], return_inverse=True)
+        out[~known] = self.rows(contexts + UNSEEN, fold(contexts) % self.buckets, self.column)[0][place]
         return out[np.asarray(coded.indices)]
 
-    def rows(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(value of each of these distinct keys, 0 if the model has none; whether it has one)."""
-        order = np.argsort(wanted)
-        wanted, out, known = wanted[order], np.zeros(len(order), np.float32), np.zeros(len(order), bool)
-        bounds = [*np.searchsorted(wanted, self.lows).tolist(), len(wanted)]
-        for (keys, values), a, b in zip(self.parts, bounds, bounds[1:], strict=False):
-            if a < b:
-                at = np.minimum(np.searchsorted(keys, wanted[a:b]), len(keys) - 1)
-                same = keys[at] == wanted[a:b]
-                out[order[a:b]], known[order[a:b]] = np.where(same, values[at], 0), same
-        return out, known
 
+def partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-def measured(docs: DataFrame, llr: list[tuple[int, str]], order: int, window: int) -> DataFrame:
-    """Adds FEATURES to docs, which has a column text; llr names the stored model."""
+
+def model(labelled: DataFrame, order: int, discount: float) -> Files:
+    """The stored model of labelled (text, toxic, fifth)."""
+    n = partitions(labelled)
+    counts = cut(counted(labelled, order).groupBy("gram").agg(*(F.sum(c).alias(c) for c in COUNTED)))
+    suffix = F.col("gram").bitwiseAND(F.lit((1 << 24) - 1))
+    # shared backoff: in how many different n-grams the last byte follows the two before it
+    types = counts.groupBy(suffix.alias("suffix")).agg(F.count("*").alias("places")).withColumn("short", F.shiftright("suffix", 8))
+    places = types.groupBy("short").agg(F.sum("places").alias("all_places"), F.count("*").alias("nexts"))
+    backoff = (F.greatest(F.col("places") - discount, F.lit(0.0)) + discount * F.col("nexts") / 256.0) / F.col("all_places")
+    shared = F.broadcast(types.join(places, "short").select("suffix", backoff.alias("backoff")))
+    context = context_of(F.col("gram"))
+    rows = counts.withColumn("suffix", suffix).join(shared, "suffix").drop("suffix").withColumn("bucket", F.pmod(fold(context), F.lit(n)))
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket", context, "gram")
+    files = sorted_files(rows, folder_of(labelled.sparkSession), lambda own: log_ratios(own, discount))
+    forget(counts)
+    return files, n
+
+
+def measured(docs: DataFrame, files: Files, order: int = ORDER, window: int = WINDOW, column: int = 1) -> DataFrame:
+    """Adds FEATURES to docs, which has a column text, by a column of the stored model."""
     schema = T.StructType([*docs.schema.fields, *(T.StructField(f, T.DoubleType()) for f in FEATURES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratio = Ratios(llr)
+        ratio = Ratios(files, column)
         for b in slices(batches, "text", CHUNK):
             data, offsets = text_buffers(b.column("text"))
             flat, starts, first = words_of(data, offsets)
@@ -223,7 +304,7 @@ def measured(docs: DataFrame, llr: list[tuple[int, str]], order: int, window: in
             strong = np.bincount(np.repeat(np.arange(len(count)), count), np.maximum(own - STRONG, 0), len(count)) / np.sqrt(count + 20)
             yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, (whole, worst, strong))], names=[*b.schema.names, *FEATURES])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
 
 
 class Curve:
@@ -252,21 +333,39 @@ class Curve:
         return 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))
 
 
-def fit(training: DataFrame, order=ORDER, discount=DISCOUNT, window=WINDOW) -> tuple[list[tuple[int, str]], Curve]:
-    """The stored table of log ratios and the curve, from training (doc_id, text, toxic)."""
-    fifth = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
-    rows = training.select("doc_id", "text", "toxic")
-    rest, own = (cut(counted(part.select("text", "toxic"), order)) for part in (rows.where(~fifth), rows.where(fifth)))
-    apart = stored(log_ratios(rest, order, discount))
-    sample = rows.where(fifth).orderBy(F.xxhash64(F.lit("curve"), "doc_id")).limit(CALIBRATION_ROWS).repartition(16, "doc_id")
-    found = measured(sample, apart, order, window).select(*FEATURES, "toxic").toPandas()
-    counts = cut(rest.union(own).groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
-    return stored(log_ratios(counts, order, discount)), Curve(found[list(FEATURES)].to_numpy(float), found["toxic"].to_numpy(float))
+def fifth(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(5)) == 0
+
+
+def fit(training: DataFrame, order: int = ORDER, discount: float = DISCOUNT, window: int = WINDOW) -> tuple[Files, Curve]:
+    """The stored model and the curve, from training (doc_id, text, toxic)."""
+    rows = cut(training.select("doc_id", "text", "toxic", fifth(F.col("doc_id")).cast("int").alias("fifth")))
+    files = model(rows, order, discount)
+    apart = rows.where("fifth = 1")
+    rate = CALIBRATION_ROWS / max(1, apart.select("doc_id").count())
+    drawn = F.pmod(F.xxhash64(F.lit("curve"), "doc_id"), F.lit(1_000_000)) < rate * 1e6
+    found = measured(apart.where(drawn), files, order, window, column=0).select(*FEATURES, "toxic").toPandas()
+    forget(rows)
+    return files, Curve(found[list(FEATURES)].to_numpy(float), found["toxic"].to_numpy(float))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    return docs_of(docs).join(marks.hint("merge"), "doc_id")  # the same plan at any size
+def training_rows(docs: DataFrame, labels: DataFrame, but: Column | None = None) -> DataFrame:
+    """doc_id, text, toxic of labelled documents, except those where `but` holds; labels are looked up, texts stay where they are."""
+    n = partitions(docs)
+    marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    dealt = marks.withColumn("bucket", F.pmod(fold(F.col("doc_id")), F.lit(n))).repartition("bucket").sortWithinPartitions("bucket")
+    files = sorted_files(dealt, folder_of(docs.sparkSession), lambda own: (own["doc_id"], own["toxic"]))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        toxic = Stored(files, n, 1)
+        for b in slices(batches, "text", CHUNK):
+            ids = np.asarray(b.column(0))
+            value, known = toxic.rows(ids, fold(ids) % n, 0)
+            b = b.filter(pa.array(known))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(value[known].astype(np.int32))], names=["doc_id", "text", "toxic"])
+
+    own = docs_of(docs).where("doc_id is not null")
+    return (own if but is None else own.where(~but)).mapInArrow(find, "doc_id long, text string, toxic int")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -275,13 +374,13 @@ def held_out(doc_id: Column) -> Column:
 
 def score(docs: DataFrame, training: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """docs (with text) plus score (0 to 1); training has doc_id, text, toxic."""
-    llr, curve = fit(training)
+    files, curve = fit(training)
     rows = docs.select(*[F.col(f"`{c}`") for c in (keep or docs.columns)])
-    return measured(rows, llr, ORDER, WINDOW).withColumn("score", curve.column())
+    return measured(rows, files).withColumn("score", curve.column())
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted; training takes labels of documents that aren't held out."""
     own = docs_of(docs)
-    scored = score(own, training_rows(docs, labels).where(~held_out(F.col("doc_id"))))
+    scored = score(own, training_rows(docs, labels, but=held_out(F.col("doc_id"))))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *FEATURES)
