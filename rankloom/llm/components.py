@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, forget
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,6 +18,9 @@ def components(links: DataFrame) -> DataFrame:
         root = nearer.select(F.col("v").alias("r"), F.col("label").alias("up"))
         after = cut(nearer.join(root, F.col("label") == F.col("r"), "left").select("v", "was", F.least("label", F.coalesce("up", "label")).alias("label")))
         done = after.where("label != was").isEmpty()
+        forget(labels)
         labels = after.select("v", "label")
+        labels.rankloom_path = after.rankloom_path
         if done:
+            forget(both)
             return labels
