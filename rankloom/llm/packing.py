@@ -67,6 +67,10 @@ class WordBpe:
         self._memo: dict[str, bytes] = {}
         self._words: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        self._memo.clear()
+        self._words.clear()
+
     def _chunk(self, chunk: str) -> bytes:
         chunk = self._nfc("NFC", chunk).lower()
         known, out = self._words, b""
@@ -86,8 +90,7 @@ class WordBpe:
             return b"".join([memo[c] for c in chunks])
         except KeyError:
             if len(memo) + len(self._words) > MEMO:
-                memo.clear()
-                self._words.clear()
+                self.forget()
             for c in chunks:
                 if c not in memo:
                     memo[c] = self._chunk(c)
@@ -110,8 +113,9 @@ def pieces(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY, separ
                     for col, v in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                         col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, PIECES, strict=True)], schema=PIECES)
+        encode.forget()
 
-    return docs_of(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs_of(docs).mapInArrow(frugal(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class Shelf:
