@@ -11,28 +11,30 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankloom.llm import decontaminate, exact, jaccard, packing, registry, toxicity
-from rankloom.llm.common import table
+from rankloom.llm.common import cut, fresh, table
 
 
 def drop_toxic(spark, docs, sf_dir):
     kept = docs.columns
-    own = docs.select(*(F.col(f"`{c}`").alias(f"_{c}") for c in kept), F.col("text"), F.col("doc_id"))
+    own = docs.select(*(F.col(f"`{c}`").alias(f"_{c}") for c in kept), F.col("text"))
     training = toxicity.training_rows(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(own.drop("doc_id"), training)
+    scored = toxicity.score(own, training)
     return scored.where(F.col("score") < 0.5).select(*(F.col(f"`_{c}`").alias(c) for c in kept))
 
 
 def drop_copies(spark, docs, sf_dir):
     nobody = F.lit(-(1 << 63))
-    keep = exact.distinct_texts(docs, keep="largest").select(F.coalesce("owner", nobody).alias("_id"), F.col("digest").alias("_digest"))
-    named = docs.withColumns({"_id": F.coalesce("doc_id", nobody), "_digest": F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))})
+    own, digest = fresh(docs, "own", "digest")
+    keep = exact.distinct_texts(docs, keep="largest").select(F.coalesce("owner", nobody).alias(own), F.col("digest").alias(digest))
+    named = docs.withColumns({own: F.coalesce("doc_id", nobody), digest: F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))})
     # the join already deals rows by both columns, so repeated rows of an owner meet without another exchange
-    return named.join(keep.hint("merge"), ["_id", "_digest"], "left_semi").dropDuplicates(["_id", "_digest"]).select(*docs.columns)
+    return named.join(keep.hint("merge"), [own, digest], "left_semi").dropDuplicates([own, digest]).select(*docs.columns)
 
 
 def drop_near_copies(spark, docs, sf_dir):
-    classes = jaccard.near_duplicates(docs).where("doc_id != component_id").select(F.col("doc_id").alias("_later"))
-    return docs.join(classes, F.col("doc_id") == F.col("_later"), "left_anti")
+    (later,) = fresh(docs, "later")
+    classes = jaccard.near_duplicates(docs).where("doc_id != component_id").select(F.col("doc_id").alias(later))
+    return docs.join(classes, F.col("doc_id") == F.col(later), "left_anti")
 
 
 def drop_contaminated(spark, docs, sf_dir):
@@ -49,8 +51,6 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    from rankloom.llm.common import cut
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
