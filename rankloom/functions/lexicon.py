@@ -131,3 +131,24 @@ PORTAL_NOISE = ["job search companies career resources", "dice job match score",
 POSTING_SIGNALS = ["job description", "responsibilities", "required qualifications", "required skills", "qualifications", "apply now", "job details", "position id", "job id", "dice id"]
 #: Points of a role: any alias in the title, then shares of its terms in the text; each excluded term costs.
 ROLE_POINTS = {"title": 55.0, "required": 25.0, "preferred": 10.0, "keyword": 10.0, "excluded": 20.0, "excluded_most": 40.0}
+
+#: The family of a role, and what a family (first) is worth where another (second) is asked for.
+ROLE_FAMILIES = {
+    "data engineer": "data engineering", "databricks engineer": "data engineering", "snowflake engineer": "data engineering", "etl developer": "data engineering",
+    "informatica developer": "data engineering", "ab initio developer": "data engineering", "analytics engineer": "analytics engineering", "data analyst": "analytics",
+    "business intelligence engineer": "analytics", "bi developer": "analytics", "data scientist": "data science", "machine learning engineer": "data science",
+    "data architect": "architecture", "databricks architect": "architecture", "snowflake architect": "architecture", "data governance analyst": "governance", "mdm developer": "governance",
+}
+FAMILY_SCORES = {
+    ("data engineering", "data engineering"): 92, ("architecture", "data engineering"): 78, ("data engineering", "architecture"): 72, ("analytics engineering", "data engineering"): 75,
+    ("data engineering", "analytics engineering"): 72, ("analytics", "data engineering"): 48, ("data engineering", "analytics"): 55, ("governance", "data engineering"): 45, ("data engineering", "governance"): 50,
+}
+#: Words that tell of work done and units of measured results, for skills and for projects.
+DEPTH_ACTIONS = "built|designed|architected|implemented|developed|optimized|migrated|configured|administered|led|automated|integrated"
+UNITS = "%|x|hours?|days?|tb|gb|million|billion"
+PROJECT_ACTIONS = "architected|built|designed|implemented|developed|engineered|optimized|migrated|configured|administered|led|automated|integrated|deployed|managed|orchestrated|tuned|created|delivered|established|enforced"
+PROJECT_UNITS = r"%|x|hours?|days?|minutes?|seconds?|tb|gb|mb|million|billion|m\+|k\+?"
+#: Terms of complex work; skills that say nothing; how lines that are no title begin.
+COMPLEX_TERMS = ["lakehouse", "medallion architecture", "cdc", "streaming", "kafka", "kinesis", "event hubs", "terraform", "ci/cd", "kubernetes", "docker", "microservices", "unity catalog", "data lineage", "rbac", "dynamic masking", "iceberg", "delta lake", "snowpipe", "snowpark", "streams", "tasks", "powercenter", "ab initio"]
+GENERIC_SKILLS = ["task", "tasks", "required", "preferred", "experience", "responsibility", "responsibilities", "requirement", "requirements", "candidate", "project", "projects", "solution", "solutions", "support", "leadership", "communication", "collaboration", "training", "mentorship", "customer service", "problem solving"]
+TITLE_IGNORED = ["http://", "https://", "job search", "apply now", "job details", "skills", "summary", "posted ", "updated ", "full time", "contract", "dice id", "position id", "job id", "job #"]

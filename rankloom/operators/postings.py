@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions.scoring import clamp
 from ..functions.text import round2, squeeze
+from .skills import mentions
 
 
 def find_column(columns: list[str], candidates: list[str], contains: list[str] = ()) -> str | None:
@@ -86,12 +87,18 @@ def compatible_roles(pairs: DataFrame, table: DataFrame, families: DataFrame) ->
 def role_votes(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """id, role, score: the role with most points for a title and text; of equals the first.
 
-    docs (id, title, text: lower case), terms (role, ord, kind, term). Dictionaries are small; a term meets a text where
-    it occurs between non-word characters.
+    docs (id, title, text), terms (role, ord, kind, term: lower case). A term occurs where it stands between characters
+    that aren't of a word; only the terms found in a document leave it.
     """
-    padded = lambda c: F.concat(F.lit(" "), F.regexp_replace(c, r"(?U)[^\w]+", " "), F.lit(" "))
     t = terms.withColumn("size", F.count("*").over(Window.partitionBy("role", "kind")))
-    rows = docs.select("id", padded(F.col("title")).alias("title"), padded(F.col("text")).alias("text")).join(t, F.contains(F.when(F.col("kind") == "title", F.col("title")).otherwise(F.col("text")), F.concat(F.lit(" "), F.col("term"), F.lit(" "))), "inner")
+    titled = F.col("kind") == "title"
+
+    def found(part: str, own: DataFrame) -> DataFrame:
+        words = own.select(F.col("term").alias("skill"), F.col("term").alias("alias")).distinct()
+        hits = mentions(docs.select(F.col("id").alias("doc_id"), F.col(part).alias("text")), words)
+        return hits.select(F.col("doc_id").alias("id"), F.col("skill").alias("term")).join(own, "term")
+
+    rows = found("title", t.where(titled)).unionByName(found("text", t.where(~titled)))
     kinds = rows.groupBy("id", "role", "ord", "kind").agg(F.count("*").alias("k"), F.first("size").alias("size"))
     p = L.ROLE_POINTS
     points = F.when(F.col("kind") == "title", F.lit(p["title"])).when(F.col("kind") == "excluded", -F.least(F.col("k") * p["excluded"], F.lit(p["excluded_most"])))

@@ -107,13 +107,16 @@ def repeated_values(values: Column) -> Column:
     return F.array_distinct(F.filter(values, lambda v: F.size(F.filter(values, lambda w: w == v)) > 1))
 
 
-def domain_score(own: Column, asked: Column, own_confidence: Column, asked_confidence: Column) -> Column:
-    """50 where a domain is unknown; 80 to 100 where both are the same; else 35."""
-    known = (F.coalesce(own, F.lit("")) != "") & (F.coalesce(asked, F.lit("")) != "")
-    return F.when(~known, 50.0).when(own == asked, 80.0 + 20.0 * F.least((own_confidence + asked_confidence) / 100.0, F.lit(1.0))).otherwise(35.0)
+def domain_score(own: Column, asked: Column, own_confidence: Column, asked_confidence: Column, own_support: Column | None = None, asked_support: Column | None = None) -> Column:
+    """50 where a domain is unknown; 80 to 100 where both are the same; else what each side says of the other's domain
+    (own_support: the résumé's score of the asked domain, asked_support the reverse) on the mean, from 30 to 70, or 35."""
+    unknown = lambda x: F.lower(F.coalesce(x, F.lit(""))).isin("", "unknown", "none")
+    cross = (F.coalesce(own_support, F.lit(0.0)) + F.coalesce(asked_support, F.lit(0.0))) / 2.0 if own_support is not None else F.lit(0.0)
+    same = round2(80.0 + 20.0 * F.least((own_confidence + asked_confidence) / 100.0, F.lit(1.0)))
+    return F.when(unknown(own) | unknown(asked), 50.0).when(own == asked, same).when(cross > 0, round2(F.least(F.lit(70.0), F.greatest(F.lit(30.0), cross)))).otherwise(35.0)
 
 
 def role_score(compatibility: Column, own_confidence: Column, asked_confidence: Column) -> Column:
-    """Compatibility, up to 15 percent less where both roles are uncertain."""
+    """Compatibility, up to 15 percent less where both roles are uncertain; 35 where a role is missing (no compatibility)."""
     sure = F.least(F.greatest((own_confidence + asked_confidence) / 200.0, F.lit(0.55)), F.lit(1.0))
-    return round2(F.least(F.greatest(compatibility * (0.85 + 0.15 * sure), F.lit(0.0)), F.lit(100.0)))
+    return F.when(compatibility.isNull(), 35.0).otherwise(round2(F.least(F.greatest(compatibility * (0.85 + 0.15 * sure), F.lit(0.0)), F.lit(100.0))))

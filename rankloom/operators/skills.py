@@ -9,32 +9,47 @@ from ..functions import lexicon as L
 from ..functions.text import round2
 
 
-def mentions(docs: DataFrame, aliases: DataFrame, longest: int = 3) -> DataFrame:
-    """doc_id, skill, n: alias mentions added up by skill (overlapping aliases count twice).
+#: Aliases up to which a dictionary is carried in the plan; larger ones are joined.
+SMALL_DICTIONARY = 2000
 
-    docs (doc_id, text), aliases (skill, alias; lower-case words joined by single spaces, at most `longest` words). Words
-    and runs of words meet aliases by an equi-join, which holds at any size of dictionary.
-    """
-    words = F.filter(F.split(F.lower("text"), r"(?U)[^\w]+"), lambda w: w != "")
 
-    def runs_of(k: int) -> Column:
-        starts = F.when(F.size("w") >= k, F.sequence(F.lit(1), F.size("w") - (k - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.lit(k)), " "))
+def bounded(term: str) -> str:
+    """Pattern of a term between characters that aren't of a word; the term may hold any characters."""
+    return rf"(?U)(?<!\w)\Q{term}\E(?!\w)"
+
 
-    runs = F.concat("w", *(runs_of(k) for k in range(2, longest + 1)))
-    found = docs.select("doc_id", words.alias("w")).select("doc_id", F.explode(runs).alias("alias"))
-    return found.join(aliases, "alias").groupBy("doc_id", "skill").agg(F.count("*").alias("n"))
+def mentions(docs: DataFrame, aliases: DataFrame) -> DataFrame:
+    """doc_id, skill, n: alias mentions added up by skill (overlapping aliases count twice).
+
+    docs (doc_id, text), aliases (skill, alias, lower case). An alias counts where it stands between characters that
+    aren't of a word, so `c++` and `ci/cd` are found. A small dictionary travels in the plan: a substring test picks a
+    document's aliases and only these are counted, without moving texts. A larger one meets documents by the first word
+    of its aliases; texts are joined in once more for the aliases met.
+    """
+    low = docs.select("doc_id", F.lower("text").alias("low"))
+    known = [r.alias for r in aliases.select("alias").distinct().limit(SMALL_DICTIONARY + 1).collect()]
+    if not known:
+        return low.where("false").select("doc_id", F.lit("").alias("skill"), F.lit(0).cast("long").alias("n"))
+    if len(known) <= SMALL_DICTIONARY:
+        met = low.select("doc_id", "low", F.explode(F.filter(F.array(*map(F.lit, sorted(known))), lambda a: F.contains(F.col("low"), a))).alias("alias"))
+    else:
+        first = F.regexp_extract(F.col("alias"), r"(?U)\w+", 0)
+        words = low.select("doc_id", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.split("low", r"(?U)\W+")))).alias("first"))
+        met = words.join(aliases.select("alias", first.alias("first")).distinct(), "first").select("doc_id", "alias").join(low, "doc_id")
+    counted = met.select("doc_id", "alias", F.regexp_count("low", F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.col("alias"), F.lit(r"\E(?!\w)"))).alias("n")).where("n > 0")
+    return counted.join(aliases.select("skill", "alias"), "alias").groupBy("doc_id", "skill").agg(F.sum("n").alias("n"))
 
 
 def confidence(counts: dict[str, Column], total: Column) -> Column:
     return F.least(sum((counts[s] * w for s, w in L.CONFIDENCE.items()), total * 2).cast("double"), F.lit(100.0))
 
 
-def overlap(own: Column, asked: Column) -> dict[str, Column]:
-    """matched, missing (sorted) and coverage in percent, 100 where nothing is asked."""
+def overlap(own: Column, asked: Column, empty: float = 70.0) -> dict[str, Column]:
+    """matched, missing (sorted) and coverage in percent; `empty` where nothing is asked (70 for required skills, 75 for
+    preferred ones, 50 for those of a role)."""
     a, b = (F.array_sort(F.array_distinct(F.filter(F.transform(x, lambda v: F.lower(F.trim(v))), lambda v: v != ""))) for x in (own, asked))
     matched = F.array_sort(F.array_intersect(b, a))
-    return {"matched": matched, "missing": F.array_sort(F.array_except(b, a)), "coverage": F.when(F.size(b) == 0, 100.0).otherwise(round2(F.try_divide(F.size(matched) * 100.0, F.size(b))))}
+    return {"matched": matched, "missing": F.array_sort(F.array_except(b, a)), "coverage": F.when(F.size(b) == 0, empty).otherwise(round2(F.try_divide(F.size(matched) * 100.0, F.size(b))))}
 
 
 def ontology(spark) -> tuple[DataFrame, DataFrame]:
@@ -61,11 +76,11 @@ def specialization(found: DataFrame, spark) -> DataFrame:
     return best.select("id", "b.platform", round2(F.least(55.0 + 45.0 * F.col("b.points") / F.col("all"), F.lit(100.0))).alias("confidence"))
 
 
-def votes(docs: DataFrame, terms: DataFrame, longest: int = 3) -> DataFrame:
+def votes(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, label, score: the label of which most terms (label, ord, term) occur in the text, in percent; of equals the
     first by ord; a text without any has the first label of all at 0."""
     size = terms.groupBy("label").agg(F.count("*").alias("size"), F.min("ord").alias("ord"))
-    hit = mentions(docs, terms.select(F.col("term").alias("skill"), F.col("term").alias("alias")), longest).select("doc_id", F.col("skill").alias("term"))
+    hit = mentions(docs, terms.select(F.col("term").alias("skill"), F.col("term").alias("alias"))).select("doc_id", F.col("skill").alias("term"))
     score = hit.join(terms.select("label", "term"), "term").groupBy("doc_id", "label").agg(F.countDistinct("term").alias("k")).join(size, "label")
     best = score.groupBy("doc_id").agg(F.max(F.struct((F.col("k") * 100.0 / F.col("size")).alias("s"), (-F.col("ord")).alias("o"), "label")).alias("b"))
     none = size.agg(F.min_by("label", "ord").alias("l")).scalar()

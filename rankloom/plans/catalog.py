@@ -240,7 +240,7 @@ def accept_reject_counts(spark, d):
 
 # ---- skills, classes
 
-WORDS = [("article", "the"), ("article", "a"), ("linking", "and"), ("linking", "of the"), ("place", "in"), ("place", "in the"), ("deictic", "that")]
+WORDS = [("article", "the"), ("article", "a"), ("linking", "and"), ("linking", "of the"), ("place", "in"), ("place", "in the"), ("deictic", "that"), ("symbol", "!!"), ("symbol", ", and")]
 GROUPS = [("english", 0, "the"), ("english", 0, "of"), ("english", 0, "and"), ("german", 1, "der"), ("german", 1, "und"), ("german", 1, "die"), ("french", 2, "les"), ("french", 2, "que")]
 
 
@@ -248,11 +248,14 @@ def sql_runs(n):
     return "w as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '') as w from documents), g as (select doc_id, unnest(w) as alias from w " + " ".join(f"union all select doc_id, array_to_string(w[i:i + {k}], ' ') from w, range(1, len(w) - {k} + 1) t(i)" for k in range(1, n)) + ")"
 
 
-MENTIONS = "with " + values("x", "skill, alias", WORDS) + ", " + sql_runs(3) + ", m as (select doc_id, skill, count(*) as n from g join x using (alias) group by 1, 2) "
+#: What stands before and behind each occurrence decides whether it counts.
+MENTIONS = "with " + values("x", "skill, alias", WORDS) + r""", s as (select doc_id, skill, alias, string_split(lower(text), alias) as p from documents join x on contains(lower(text), alias)),
+k as (select doc_id, skill, len(list_filter(range(1, len(p)), lambda i: not regexp_matches(case when p[i] = '' and i > 1 then alias else p[i] end, '[\pL\pN\pM_]$') and not regexp_matches(case when p[i + 1] = '' and i + 1 < len(p) then alias else p[i + 1] end, '^[\pL\pN\pM_]'))) as n from s),
+m as (select doc_id, skill, sum(n)::bigint as n from k where n > 0 group by 1, 2) """
 
 
 def counted(spark, d):
-    return skills.mentions(read(spark, d, "documents"), spark.createDataFrame(WORDS, "skill string, alias string"), longest=2)
+    return skills.mentions(read(spark, d, "documents"), spark.createDataFrame(WORDS, "skill string, alias string"))
 
 
 @query(MENTIONS + "select doc_id, skill, n from m")

@@ -120,14 +120,15 @@ def composite_dedupe(spark, d):
     return first_by(rows, ["lang", "source"], F.col("doc_id"))
 
 
-@query("select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as squeezed, substr(regexp_replace(substr(text, 1, 200), '[^A-Za-z0-9._-]+', '_', 'g'), 1, 80) as file_name from documents where lang in ('en')")
+@query("select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as squeezed, substr(regexp_replace(text, '[^A-Za-z0-9._-]+', '_', 'g'), 1, 80) as file_name from documents")
 def text_cleanup(spark, d):
-    return read(spark, d, "documents").where("lang in ('en')").select("doc_id", T.squeeze(F.col("text")).alias("squeezed"), T.safe_file_name(F.substring("text", 1, 200)).alias("file_name"))
+    return read(spark, d, "documents").select("doc_id", T.squeeze(F.col("text")).alias("squeezed"), T.safe_file_name(F.col("text")).alias("file_name"))
 
 
-@query("""with x as (select l_orderkey, l_linenumber, (l_partkey % 101)::double as compat, l_quantity * 2 as c1, (l_suppkey % 101)::double as c2, case when l_orderkey % 7 = 0 then '' else l_returnflag end as own, l_linestatus as asked from lineitem)
-select l_orderkey, l_linenumber, floor(least(greatest(compat * (0.85::double + 0.15::double * least(greatest((c1 + c2) / 200, 0.55), 1)), 0), 100) * 100 + 0.5) / 100 as role_score, case when own = '' then 50 when replace(own, 'N', 'O') = asked then 80 + 20 * least((c1 + c2) / 100, 1) else 35 end::double as domain_score from x""")
+@query("""with x as (select l_orderkey, l_linenumber, (l_partkey % 101)::double as compat, l_quantity * 2 as c1, (l_suppkey % 101)::double as c2, case when l_orderkey % 7 = 0 then '' else l_returnflag end as own, l_linestatus as asked, (l_orderkey % 3) * 31.5::double as s1, (l_linenumber % 4) * 47.0::double as s2 from lineitem)
+select l_orderkey, l_linenumber, case when own = '' then 35 else floor(least(greatest(compat * (0.85::double + 0.15::double * least(greatest((c1 + c2) / 200, 0.55), 1)), 0), 100) * 100 + 0.5) / 100 end::double as role_score, case when own = '' then 50 when replace(own, 'N', 'O') = asked then floor((80 + 20 * least((c1 + c2) / 100, 1)) * 100 + 0.5) / 100 when s1 + s2 > 0 then floor(least(greatest((s1 + s2) / 2, 30), 70) * 100 + 0.5) / 100 else 35 end::double as domain_score from x""")
 def role_and_domain_scores(spark, d):
     c = lambda e: F.expr(e).cast("double")
-    x = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", c("l_partkey % 101").alias("compat"), (F.col("l_quantity") * 2).alias("c1"), c("l_suppkey % 101").alias("c2"), F.when(F.col("l_orderkey") % 7 == 0, "").otherwise(F.replace("l_returnflag", F.lit("N"), F.lit("O"))).alias("own"), F.col("l_linestatus").alias("asked"))
-    return x.select("l_orderkey", "l_linenumber", P.role_score(F.col("compat"), F.col("c1"), F.col("c2")).alias("role_score"), P.domain_score(F.col("own"), F.col("asked"), F.col("c1"), F.col("c2")).alias("domain_score"))
+    x = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", c("l_partkey % 101").alias("compat"), (F.col("l_quantity") * 2).alias("c1"), c("l_suppkey % 101").alias("c2"), F.when(F.col("l_orderkey") % 7 == 0, "").otherwise(F.replace("l_returnflag", F.lit("N"), F.lit("O"))).alias("own"), F.col("l_linestatus").alias("asked"), c("l_orderkey % 3 * 31.5").alias("s1"), c("l_linenumber % 4 * 47.0").alias("s2"))
+    compat = F.when(F.col("own") != "", F.col("compat"))
+    return x.select("l_orderkey", "l_linenumber", P.role_score(compat, F.col("c1"), F.col("c2")).alias("role_score"), P.domain_score(F.col("own"), F.col("asked"), F.col("c1"), F.col("c2"), F.col("s1"), F.col("s2")).alias("domain_score"))
