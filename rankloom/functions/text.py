@@ -23,11 +23,16 @@ def blank_to_null(x: Column) -> Column:
     return F.nullif(F.trim(x), F.lit(""))
 
 
-def tokens(text: Column, stop_words=L.STOP_WORDS, phrases=L.PHRASES) -> Column:
-    """Lower-case, fold phrases in order, match tokens, drop short ones and stop words."""
+def all_tokens(text: Column, phrases=L.PHRASES) -> Column:
+    """Lower-case, fold phrases in order, match tokens."""
     folded = reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), phrases, F.lower(F.coalesce(text, F.lit(""))))
+    return F.regexp_extract_all(folded, F.lit(L.TOKEN), F.lit(0))
+
+
+def tokens(text: Column, stop_words=L.STOP_WORDS, phrases=L.PHRASES) -> Column:
+    """all_tokens without short ones and stop words."""
     stop = F.array(*map(F.lit, stop_words)) if stop_words else F.array().cast("array<string>")
-    return F.filter(F.regexp_extract_all(folded, F.lit(L.TOKEN), F.lit(0)), lambda t: (F.length(t) >= 2) & ~F.array_contains(stop, t))
+    return F.filter(all_tokens(text, phrases), lambda t: (F.length(t) >= 2) & ~F.array_contains(stop, t))
 
 
 def first_keyword(text: Column, keywords: list[str]) -> Column:

@@ -50,11 +50,14 @@ def relevant_years(total: Column, years: Column, own: Column, target: Column) ->
 def evidence_depth(text: Column, targets: list[str]) -> dict[str, Column]:
     """score, strong, weak: skills shown in context, by numbers or often weigh more than skills only named."""
     low, points, strong, weak = F.lower(F.coalesce(text, F.lit(""))), F.lit(0.0), [], []
+    # most texts have no word of work or no measure; the long patterns are tried on the others only
+    works, measures = F.regexp_like(low, F.lit(rf"\b(?:{L.DEPTH_ACTIONS})\b")), F.regexp_like(low, F.lit(rf"\d\s*(?:{L.UNITS})\b"))
+    gated = lambda gate, skill, found: F.when(gate & F.contains(low, F.lit(skill)), found).otherwise(False)
     for skill in sorted({t.strip().lower() for t in targets if t.strip()}):
         s = rf"\b\Q{skill}\E\b"
         count = F.regexp_count(low, F.lit(s))
-        acted = F.regexp_like(low, F.lit(rf"\b(?:{L.DEPTH_ACTIONS})\b[^.;\n]{{0,110}}{s}|{s}[^.;\n]{{0,110}}\b(?:{L.DEPTH_ACTIONS})\b"))
-        metric = F.regexp_like(low, F.lit(rf"{s}[^.;\n]{{0,130}}\b\d+(?:\.\d+)?\s*(?:{L.UNITS})\b"))
+        acted = gated(works, skill, F.regexp_like(low, F.lit(rf"\b(?:{L.DEPTH_ACTIONS})\b[^.;\n]{{0,110}}{s}|{s}[^.;\n]{{0,110}}\b(?:{L.DEPTH_ACTIONS})\b")))
+        metric = gated(measures, skill, F.regexp_like(low, F.lit(rf"{s}[^.;\n]{{0,130}}\b\d+(?:\.\d+)?\s*(?:{L.UNITS})\b")))
         is_strong = acted | metric | (count >= 3)
         points += F.when(is_strong, F.least(F.lit(8.0), 3.0 + count * 0.8 + F.when(metric, 2.0).otherwise(0.0))).when(count > 0, F.least(F.lit(2.0), 0.6 + count * 0.35)).otherwise(0.0)
         strong.append(F.when(is_strong, F.lit(skill)))
