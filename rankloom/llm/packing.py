@@ -25,8 +25,8 @@ from .common import cut, docs_of, frugal, per_worker
 CAPACITY = 2048
 #: Pieces that one packing task handles; a bin left open at its end is the only loss of packing in parallel.
 PIECES_PER_TASK = 250_000
-#: Distinct chunks that a worker keeps encoded; beyond that it starts anew. Speed only.
-MEMO = 150_000
+#: Distinct chunks and words that a worker keeps encoded during a task; beyond that it starts anew. Speed only.
+MEMO = 300_000
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -62,16 +62,19 @@ class WordBpe:
         self._nfc = unicodedata.normalize
         self._whole = Tokenizer.from_str(spec)
         self._whole.encode_special_tokens = True
-        self._odd = regex.compile(r"[\x1c-\x1fΣİ\p{M}\p{Cn}\p{Co}\p{Cs}]|<\|(start|end)oftext\|>").search
-        self._plain_odd = regex.compile(r"[\x1c-\x1f]|<\|(start|end)oftext\|>").search
-        self._memo: dict[str, bytes] = {}
+        # characters of which the tokenizer's own rules may know more than Python's tables
+        self._odd = regex.compile(r"[Σİ\p{M}\p{Cn}\p{Co}\p{Cs}]").search
+        self._special = regex.compile(r"<\|(start|end)oftext\|>").search
+        self._memo: dict[str, bytes | None] = {}  # None: a chunk for the tokenizer
         self._words: dict[str, bytes] = {}
 
     def forget(self) -> None:
         self._memo.clear()
         self._words.clear()
 
-    def _chunk(self, chunk: str) -> bytes:
+    def _chunk(self, chunk: str) -> bytes | None:
+        if not chunk.isascii() and self._odd(chunk):
+            return None
         chunk = self._nfc("NFC", chunk).lower()
         known, out = self._words, b""
         for word in (chunk,) if chunk.isascii() and chunk.isalpha() else self._split(chunk):
@@ -81,20 +84,25 @@ class WordBpe:
         return out
 
     def __call__(self, text: str) -> bytes:
-        if not text.isascii() and self._odd(text) or self._plain_odd(text):  # what chunking and the tokenizer's own rules could see differently
-            import numpy as np
-
-            return np.array(self._whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        memo, chunks = self._memo, text.split()
-        try:
-            return b"".join([memo[c] for c in chunks])
-        except KeyError:
-            if len(memo) + len(self._words) > MEMO:
-                self.forget()
-            for c in chunks:
-                if c not in memo:
-                    memo[c] = self._chunk(c)
-            return b"".join([memo[c] for c in chunks])
+        # what str.split() takes for white space and the tokenizer doesn't, and spelled-out special tokens
+        if not (any(c in text for c in "\x1c\x1d\x1e\x1f") or "<|" in text and self._special(text)):
+            memo, chunks = self._memo, text.split()
+            try:
+                return b"".join([memo[c] for c in chunks])
+            except KeyError:
+                if len(memo) + len(self._words) > MEMO:
+                    self.forget()
+                for c in chunks:
+                    if c not in memo:
+                        memo[c] = self._chunk(c)
+                found = [memo[c] for c in chunks]
+                if None not in found:
+                    return b"".join(found)
+            except TypeError:  # an odd chunk
+                pass
+        import numpy as np
+
+        return np.array(self._whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def pieces(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY, separator: int = 0) -> DataFrame:
