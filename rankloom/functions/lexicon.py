@@ -152,3 +152,17 @@ PROJECT_UNITS = r"%|x|hours?|days?|minutes?|seconds?|tb|gb|mb|million|billion|m\
 COMPLEX_TERMS = ["lakehouse", "medallion architecture", "cdc", "streaming", "kafka", "kinesis", "event hubs", "terraform", "ci/cd", "kubernetes", "docker", "microservices", "unity catalog", "data lineage", "rbac", "dynamic masking", "iceberg", "delta lake", "snowpipe", "snowpark", "streams", "tasks", "powercenter", "ab initio"]
 GENERIC_SKILLS = ["task", "tasks", "required", "preferred", "experience", "responsibility", "responsibilities", "requirement", "requirements", "candidate", "project", "projects", "solution", "solutions", "support", "leadership", "communication", "collaboration", "training", "mentorship", "customer service", "problem solving"]
 TITLE_IGNORED = ["http://", "https://", "job search", "apply now", "job details", "skills", "summary", "posted ", "updated ", "full time", "contract", "dice id", "position id", "job id", "job #"]
+
+# fixed values: links, headers and markers of exported postings
+PORTAL_LINK = r"(?i)https?://(?:www\.)?(?:dice\.com|indeed\.com|linkedin\.com|ziprecruiter\.com)/[^\s<>\"]+"
+ANY_LINK = r"(?i)https?://[^\s<>\"]+"
+POSTING_HEADS = [r"job\s*title\s*[:\-]", r"position\s*title\s*[:\-]", r"company\s*[:\-]", r"job\s*#\s*[:\-]?", r"job\s*id\s*[:\-]?"]
+POSTING_MARKERS = [r"(?im)^\s*job\s*url\s*[:\-]\s*(https?://\S+)\s*$", r"(?im)^\s*apply\s+now\s*$", r"(?im)^\s*job\s*#\s*[:\-]?\s*[a-z0-9/_-]+\s*$", r"(?im)^\s*(?:job|position|requisition|req)\s*id\s*[:#-]"]
+# fixed values: kinds of lines of a résumé
+LINE_HEADINGS = ["professional summary", "summary", "career summary", "executive summary", "technical summary", "technical skills", "skills", "core competencies", "certifications", "professional experience", "work experience", "experience", "education", "projects", "academic projects", "achievements", "awards"]
+BULLETS = ["•", "- ", "* ", "▪", "●", "○", "➢"]
+DATED_LINE = r"\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*['.\s-]*\d{2,4}\b|^(?:client|role|environment|responsibilities):"
+# fixed values: platforms that a résumé of another one doesn't serve
+STRICT_PLATFORMS = ["databricks", "snowflake", "informatica", "ab initio"]
+# fixed values: keys that portals keep the search words under
+SEARCH_KEYS = {"dice": ["q"], "workday": ["q", "query", "keywords", "search"]}
