@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact, jaccard, language, packing, passages, suffixes, toxicity, urlfilter
+from . import chat, decontaminate, exact, importance, jaccard, language, manifest, packing, passages, suffixes, tokencount, toxicity, urlfilter
 from .common import table
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_substring_dedup(spark, sf_dir):
@@ -61,6 +61,18 @@ def op10_chat_format(spark, sf_dir):
     return chat.digest(chat.format_conversations(rows))
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    return manifest.manifest_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_token_counts(spark, sf_dir):
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op13_importance_resampling(spark, sf_dir):
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 ORACLE3 = """
 select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size, coalesce(doc_id = max(doc_id) over g, false) as kept, sha256(coalesce(text, '')) as text_sha256
 from documents window g as (partition by coalesce(text, ''))"""
@@ -77,8 +89,8 @@ from e group by conv_id"""
 
 
 def queries():
-    return {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_exact_dedup, op4_url_filter, op5_jaccard_join, op6_toxicity, op7_decontamination, op8_suffix_dedup, op9_best_fit_packing, op10_chat_format)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_exact_dedup, op4_url_filter, op5_jaccard_join, op6_toxicity, op7_decontamination, op8_suffix_dedup, op9_best_fit_packing, op10_chat_format, op11_merkle_manifest, op12_token_counts, op13_importance_resampling)}
 
 
 def oracle_sql():
-    return {"op3_exact_dedup": ORACLE3, "op4_url_filter": urlfilter.oracle(), "op10_chat_format": ORACLE10}
+    return {"op3_exact_dedup": ORACLE3, "op4_url_filter": urlfilter.oracle(), "op10_chat_format": ORACLE10, "op11_merkle_manifest": manifest.oracle(), "op13_importance_resampling": importance.oracle()}
