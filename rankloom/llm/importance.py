@@ -47,8 +47,8 @@ def features_sql(low: int, high: int, buckets: int) -> str:
     spans = [f"select i, w as feature from words where {low} <= 1"] if low <= 1 else []
     for n in range(max(2, low), high + 1):
         run = " || ' ' || ".join(["w", *(f"lead(w, {k}) over own" for k in range(1, n))])
-        spans.append(f"select i, feature from (select i, {run} as feature from words window own as (partition by i order by at)) where feature is not null")
-    cuts = f"select i, unnest(found) as w{', generate_subscripts(found, 1) as at' if high > 1 else ''} from cuts"
+        spans.append(f"select i, feature from (select i, {run} as feature from words window own as (partition by i order by pos)) where feature is not null")
+    cuts = f"select i, unnest(found) as w{', generate_subscripts(found, 1) as pos' if high > 1 else ''} from cuts"
     return f"""
         with cuts as materialized (select i, regexp_extract_all(coalesce(text, ''), '{WORD}') as found from t),
         words as ({cuts}),
