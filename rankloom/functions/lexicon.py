@@ -160,9 +160,18 @@ POSTING_HEADS = [r"job\s*title\s*[:\-]", r"position\s*title\s*[:\-]", r"company\
 POSTING_MARKERS = [r"(?im)^\s*job\s*url\s*[:\-]\s*(https?://\S+)\s*$", r"(?im)^\s*apply\s+now\s*$", r"(?im)^\s*job\s*#\s*[:\-]?\s*[a-z0-9/_-]+\s*$", r"(?im)^\s*(?:job|position|requisition|req)\s*id\s*[:#-]"]
 # fixed values: kinds of lines of a résumé
 LINE_HEADINGS = ["professional summary", "summary", "career summary", "executive summary", "technical summary", "technical skills", "skills", "core competencies", "certifications", "professional experience", "work experience", "experience", "education", "projects", "academic projects", "achievements", "awards"]
-BULLETS = ["•", "- ", "* ", "▪", "●", "○", "➢"]
+BULLETS = ["•", "- ", "* ", "▪", "●", "○", "➢", "\uf0d8"]
 DATED_LINE = r"\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*['.\s-]*\d{2,4}\b|^(?:client|role|environment|responsibilities):"
 # fixed values: platforms that a résumé of another one doesn't serve
 STRICT_PLATFORMS = ["databricks", "snowflake", "informatica", "ab initio"]
 # fixed values: keys that portals keep the search words under
 SEARCH_KEYS = {"dice": ["q"], "workday": ["q", "query", "keywords", "search"]}
+# fixed values: what a platform can't do without; what makes a role specific, where points are equal
+CORE_SKILLS = {
+    "databricks": ["databricks", "spark", "delta lake", "unity catalog"], "snowflake": ["snowflake", "snowpipe"], "informatica": ["informatica"], "ab initio": ["ab initio"], "datastage": ["datastage"], "talend": ["talend"],
+    "power bi": ["power bi", "dax"], "tableau": ["tableau"], "mdm": ["master data management", "reltio", "informatica mdm"], "governance": ["data governance", "data quality", "metadata", "data lineage"],
+}
+SPECIFIC_ROLES = ["databricks", "snowflake", "informatica", "ab initio", "tableau", "power bi", "governance", "mdm", "architect"]
+# fixed values: work done and measured results as the last decision reads them
+DECISION_ACTIONS = "architected|built|designed|implemented|developed|engineered|optimized|migrated|configured|administered|led|automated|integrated|deployed|managed|orchestrated|tuned|created|delivered"
+DECISION_METRIC = r"\d+(?:\.\d+)?\s*(?:%|x|hours?|days?|minutes?|seconds?|tb|gb|mb|million|billion|m\+|k\+?)"

@@ -35,13 +35,13 @@ def tenure_years(text: Column, as_of: tuple[int, int]) -> Column:
     return F.when(y1.isNull(), 0.0).otherwise(F.least(F.greatest(months, F.lit(1)) / 12.0, F.lit(15.0)))
 
 
-def target_platform(title: Column, skills: Column, fallback: Column) -> Column:
+def target_platform(title: Column, skills: Column, fallback: Column, markers: dict[str, list[str]] = L.MARKERS) -> Column:
     """The platform with most points (4 for its name in the title, 1 for each marker among the skills); of equals the
     last by name; without points the fallback, if it is one."""
     low = F.lower(F.coalesce(title, F.lit("")))
-    points = [F.struct((F.when(F.contains(low, F.lit(p)), 4).otherwise(0) + F.size(F.array_intersect(skills, F.array(*map(F.lit, ms))))).alias("n"), F.lit(p).alias("p")) for p, ms in L.MARKERS.items()]
+    points = [F.struct((F.when(F.contains(low, F.lit(p)), 4).otherwise(0) + F.size(F.array_intersect(skills, F.array(*map(F.lit, ms))))).alias("n"), F.lit(p).alias("p")) for p, ms in markers.items()]
     best = F.array_max(F.filter(F.array(*points), lambda x: x["n"] > 0))
-    return F.coalesce(best["p"], F.when(F.lower(fallback).isin(list(L.MARKERS)), F.lower(fallback)), F.lit(""))
+    return F.coalesce(best["p"], F.when(F.lower(fallback).isin(list(markers)), F.lower(fallback)), F.lit(""))
 
 
 def platform_evidence(text: Column, skills: Column, platform: str, architect: Column) -> dict[str, Column]:
