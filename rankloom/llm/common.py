@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import sys
 import tempfile
 import uuid
@@ -18,6 +20,10 @@ SPACE = b" \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Paths that cut() and scratch() have handed out in this process and that nobody has deleted yet, oldest first.
+WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else (in tests, on one machine) a folder of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -29,10 +35,19 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str = "") -> str:
+    """A new path in the shared folder; it goes with sweep(), or at the end of the driver."""
+    root = f"{shared_dir(spark)}/rankloom-{spark.sparkContext.applicationId}"
+    if not WRITTEN:
+        atexit.register(at_end, spark)
+    WRITTEN.append(f"{root}/{name}{uuid.uuid4().hex}")
+    return WRITTEN[-1]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends here and lost executors cost no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/rankloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.rankloom_path = path
@@ -44,9 +59,37 @@ def forget(*tables: DataFrame | None) -> None:
     for df in tables:
         path = df.__dict__.pop("rankloom_path", None) if df is not None else None
         if path:
-            jvm = df.sparkSession.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+            remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    if path in WRITTEN:
+        WRITTEN.remove(path)
+
+
+def sweep(spark: SparkSession, mark: int, *kept: DataFrame) -> None:
+    """Delete all that was written since len(WRITTEN) was `mark`, but for these tables."""
+    stay = {df.__dict__.get("rankloom_path") for df in kept}
+    for path in [p for p in WRITTEN[mark:] if p not in stay]:
+        remove(spark, path)
+
+
+def at_end(spark: SparkSession) -> None:
+    """What results have read goes with the driver, if its JVM is still there."""
+    with contextlib.suppress(Exception):  # an ended session has nothing left to delete with
+        for path in list(WRITTEN):
+            remove(spark, path)
+
+
+#: Rows of a few longs up to which a written table is broadcast: some MB, whatever the input.
+FEW_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A table that cut() has written, with a hint to broadcast it if it has few rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if "rankloom_path" in df.__dict__ and df.count() <= FEW_ROWS else df
 
 
 def replaced(new: DataFrame, *old: DataFrame | None) -> DataFrame:

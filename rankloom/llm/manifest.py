@@ -16,12 +16,10 @@ empty result. Other columns are ignored.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, forget, shared_dir
+from .common import cut, forget, scratch
 from .order import numbered
 
 FANOUT, WIDTH = 8, 32
@@ -58,7 +56,7 @@ class Store:
     def __init__(self, leaves: DataFrame, fanout: int = FANOUT):
         """leaves: tree, place, size, node, written already."""
         spark, self.fanout = leaves.sparkSession, fanout
-        self.path = f"{shared_dir(spark)}/rankloom-{spark.sparkContext.applicationId}/merkle-{uuid.uuid4().hex}"
+        self.path = scratch(spark, "merkle-")
         self.levels = [leaves]
         while not (below := self.levels[-1].where("size > 1")).isEmpty():
             up = F.floor(F.col("place") / fanout).alias("place")

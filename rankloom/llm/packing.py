@@ -31,6 +31,20 @@ MEMO = 300_000
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
+def unassigned() -> str:
+    """Code points without a character in Python's own tables, as ranges; other libraries' tables may be newer."""
+    from unicodedata import category
+
+    ranges: list[list[int]] = []
+    for p in range(0x110000):
+        if category(chr(p)) == "Cn":
+            if ranges and ranges[-1][1] == p - 1:
+                ranges[-1][1] = p
+            else:
+                ranges.append([p, p])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+
+
 class WordBpe:
     """Ids of a lower-casing word-end BPE as bytes (little-endian uint32), memoised by white-space separated chunk.
 
@@ -63,7 +77,7 @@ class WordBpe:
         self._whole = Tokenizer.from_str(spec)
         self._whole.encode_special_tokens = True
         # characters of which the tokenizer's own rules may know more than Python's tables
-        self._odd = regex.compile(r"[Σİ\p{M}\p{Cn}\p{Co}\p{Cs}]").search
+        self._odd = regex.compile(rf"[Σİ\p{{M}}\p{{Cn}}\p{{Co}}\p{{Cs}}{unassigned()}]").search
         self._special = regex.compile(r"<\|(start|end)oftext\|>").search
         self._memo: dict[str, bytes | None] = {}  # None: a chunk for the tokenizer
         self._words: dict[str, bytes] = {}

@@ -25,7 +25,9 @@ rate. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import mmap
 import os
+import sys
 import uuid
 from collections.abc import Iterator
 
@@ -35,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, docs_of, forget, frugal, shared_dir, slices, text_buffers
+from .common import cut, docs_of, forget, frugal, scratch, slices, text_buffers
 
 ORDER, DISCOUNT, WINDOW = 7, 0.75, 1
 #: Marks a context's row in the model, for n-grams never seen in it.
@@ -172,63 +174,86 @@ def log_ratios(own: dict[str, np.ndarray], discount: float) -> tuple[np.ndarray,
 
 
 def folder_of(spark) -> str:
-    """A new folder among the shared ones, as a path of this machine."""
-    return f"{shared_dir(spark).removeprefix('file:').replace('//', '/')}/rankloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    """A new folder among the shared ones, as a path of this machine; only mounted ones have such a path."""
+    path = scratch(spark)
+    scheme, _, rest = path.rpartition(":")
+    if scheme not in ("", "file") or not rest.startswith("/"):
+        raise ValueError(f"spark.checkpoint.dir is {path.rpartition('/rankloom-')[0]}: this operator's files need a folder that is mounted on all machines (file:)")
+    return "/" + rest.lstrip("/")
 
 
-def sorted_files(rows: DataFrame, folder: str, make) -> dict[int, str]:
-    """rows come by bucket; make(columns of one bucket) gives (keys, values), stored by key: bucket to file."""
+#: Where a bucket lies: file, first key, number of keys.
+Place = tuple[str, int, int]
+
+
+def sorted_files(rows: DataFrame, folder: str, make) -> dict[int, Place]:
+    """rows come by bucket; make(columns of one bucket) gives (keys, values), stored by key. A task writes two files for all its buckets."""
     names = rows.columns
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.makedirs(folder, exist_ok=True)
+        name = f"{folder}/{uuid.uuid4().hex}"  # a task that runs again writes files of its own
         held: list[pa.RecordBatch] = []
-        found: list[tuple[int, str]] = []
+        found: list[tuple[int, str, int, int]] = []
 
-        def store():
+        def store(keys_file, values_file):
             whole = pa.Table.from_batches(held)
             bucket = whole.column("bucket")[0].as_py()
             keys, values = make({n: whole.column(n).to_numpy() for n in names})
             order = np.argsort(keys)
-            name = f"{folder}/{uuid.uuid4().hex}"
-            with open(f"{name}.keys", "wb") as f:
-                f.write(keys[order].astype(np.int64).tobytes())
-            with open(f"{name}.values", "wb") as f:
-                f.write(values[order].astype(np.float32).tobytes())
-            found.append((bucket, name))
+            keys_file.write(keys[order].astype(np.int64).tobytes())
+            values_file.write(values[order].astype(np.float32).tobytes())
+            found.append((bucket, name, sum(found[-1][2:]) if found else 0, len(keys)))
             held.clear()
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            bucket = b.column(names.index("bucket")).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), b.num_rows]
-            for a, z in zip(cuts, cuts[1:], strict=False):
-                if held and held[-1].column(names.index("bucket"))[0].as_py() != bucket[a]:
-                    store()
-                held.append(b.slice(a, z - a))
-        if held:
-            store()
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in ((0, pa.int64()), (1, pa.string()))], names=["bucket", "name"])
+        with open(f"{name}.keys", "wb") as keys_file, open(f"{name}.values", "wb") as values_file:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                bucket = b.column(names.index("bucket")).to_numpy()
+                cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), b.num_rows]
+                for a, z in zip(cuts, cuts[1:], strict=False):
+                    if held and held[-1].column(names.index("bucket"))[0].as_py() != bucket[a]:
+                        store(keys_file, values_file)
+                    held.append(b.slice(a, z - a))
+            if held:
+                store(keys_file, values_file)
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["bucket", "name", "start", "size"])
+
+    return {r.bucket: (r.name, r.start, r.size) for r in rows.mapInArrow(frugal(write), "bucket long, name string, start long, size long").collect()}
 
-    return {r.bucket: r.name for r in rows.mapInArrow(frugal(write), "bucket long, name string").collect()}
+
+def mapped(path: str) -> mmap.mmap:
+    """A file as memory, without holding a descriptor (before Python 3.13 a map holds one)."""
+    with open(path, "rb") as f:
+        if sys.version_info >= (3, 13):
+            return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
+        return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
 
 
 class Stored:
-    """Keys and values in sorted files, mapped into memory: only what is looked up is read, and workers of a machine share it."""
+    """Keys and values in sorted files, mapped when first looked into: only what is looked up is read, and workers of a machine share it."""
+
+    def __init__(self, places: dict[int, Place], buckets: int, width: int):
+        self.places, self.buckets, self.width = places, buckets, width
+        self.files: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
-    def __init__(self, files: dict[int, str], buckets: int, width: int):
-        self.buckets = buckets
-        self.parts = {b: (np.memmap(f"{name}.keys", np.int64, "r"), np.memmap(f"{name}.values", np.float32, "r").reshape(-1, width)) for b, name in files.items()}
+    def part(self, bucket: int) -> tuple[np.ndarray, np.ndarray] | None:
+        name, start, size = self.places.get(bucket, ("", 0, 0))
+        if not size:
+            return None
+        if name not in self.files:
+            self.files[name] = np.frombuffer(mapped(f"{name}.keys"), np.int64), np.frombuffer(mapped(f"{name}.values"), np.float32).reshape(-1, self.width)
+        return tuple(x[start : start + size] for x in self.files[name])
 
     def rows(self, wanted: np.ndarray, bucket: np.ndarray, column: int) -> tuple[np.ndarray, np.ndarray]:
         """(value of each of these distinct keys, 0 where there is none; whether there is one)."""
         order = np.lexsort((wanted, bucket))
         wanted, out, known = wanted[order], np.zeros(len(order), np.float32), np.zeros(len(order), bool)
-        bounds = np.searchsorted(bucket[order], np.arange(self.buckets + 1)).tolist()
-        for b, (keys, values) in self.parts.items():
-            x, z = bounds[b], bounds[b + 1]
-            if x < z:
+        bounds = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
+        for b in np.flatnonzero(np.diff(bounds)).tolist():
+            if part := self.part(b):
+                (keys, values), (x, z) = part, bounds[b : b + 2].tolist()
                 at = np.minimum(np.searchsorted(keys, wanted[x:z]), len(keys) - 1)
                 same = keys[at] == wanted[x:z]
                 out[order[x:z]], known[order[x:z]] = np.where(same, values[at, column], 0), same
@@ -236,7 +261,7 @@ class Stored:
 
 
 #: (files, buckets) of a stored table.
-Files = tuple[dict[int, str], int]
+Files = tuple[dict[int, Place], int]
 
 
 class Ratios(Stored):

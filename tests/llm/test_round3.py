@@ -210,3 +210,60 @@ def test_counts_of_a_long_text_and_chunks(spark):
     want = Counter(zlib.crc32(w.encode()) % importance.BUCKETS for w in text.split())
     assert dict(zip(got[1].buckets, got[1].counts, strict=True)) == want and got[1].n_words == 900_000
     assert got[3].buckets == [] and got[2].n_features == 2
+
+
+def test_a_model_of_many_buckets_needs_few_descriptors(spark, tmp_path):
+    """600 buckets are looked up while few more files than usual may be open."""
+    import resource
+
+    from rankloom.llm import toxicity
+
+    rows = spark.range(60_000).select((F.col("id") % 600).alias("bucket"), F.col("id").alias("k")).repartition(100, "bucket").sortWithinPartitions("bucket")
+    places = toxicity.sorted_files(rows, str(tmp_path / "model"), lambda own: (own["k"], own["k"] * 2))
+    assert len(places) == 600 and len({p[0] for p in places.values()}) <= 100
+    limits = resource.getrlimit(resource.RLIMIT_NOFILE)
+    opened = len(__import__("os").listdir("/proc/self/fd"))
+    resource.setrlimit(resource.RLIMIT_NOFILE, (opened + 20, limits[1]))
+    try:
+        found, known = toxicity.Stored(places, 600, 1).rows(np.arange(60_010), np.arange(60_010) % 600, 0)
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, limits)
+    assert known[:60_000].all() and not known[60_000:].any() and (found[:60_000] == 2 * np.arange(60_000)).all()
+
+
+def test_files_need_a_mounted_folder(spark, monkeypatch, tmp_path):
+    from rankloom.llm import common, toxicity
+
+    for bad in ("hdfs://nn:8020/ck", "s3a://bucket/ck"):
+        monkeypatch.setattr(common, "shared_dir", lambda spark, bad=bad: bad)
+        with pytest.raises(ValueError, match="mounted"):
+            toxicity.folder_of(spark)
+        common.WRITTEN.pop()
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    assert toxicity.folder_of(spark).startswith(f"{tmp_path}/rankloom-")
+
+
+def test_packing_ids_of_all_code_points(spark):
+    """Assigned or not, in whatever version of Unicode: the ids are the tokenizer's."""
+    from tokenizers import Tokenizer
+
+    from rankloom.llm import packing
+
+    spec = open(registry.tokenizer_path(), encoding="utf-8").read()
+    mine, theirs = packing.WordBpe(spec), Tokenizer.from_str(spec)
+    points = [p for p in range(1, 0x32000) if not 0xD800 <= p < 0xE000]
+    texts = [f"a{chr(p)}b {chr(p)}" for p in points]
+    wrong = [hex(p) for p, t, e in zip(points, texts, theirs.encode_batch(texts, add_special_tokens=False), strict=True) if np.array(e.ids, "<u4").tobytes() != mine(t)]
+    assert not wrong
+
+
+def test_pipeline_leaves_nothing_but_what_its_result_reads(spark, monkeypatch, tmp_path):
+    import os
+
+    import corpus_pipeline
+    from rankloom.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
+    packed = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    left = [d for d in os.listdir(tmp_path / f"rankloom-{spark.sparkContext.applicationId}") if not d.startswith(".")]
+    assert packed.count() > 0 and len(left) <= 2  # the documents of the last stage and their pieces
