@@ -2,8 +2,10 @@
 
 toxicity: documents whose toxicity score reaches 0.5 go. exact_dedup: of equal texts the largest doc_id stays.
 near_dedup: of each group linked by five-word shingles the smallest doc_id stays. decontaminate: documents that hold a
-benchmark item go. pack: pieces of at most 2048 tokens in sequences. All stages but the last return the columns of
+benchmark item go (an item of few words goes by them alone: one of a single word takes every document that holds it). pack: pieces of at most 2048 tokens in sequences. All stages but the last return the columns of
 documents. Rows of a null doc_id can't be linked or labelled: near_dedup keeps them as they are.
+A null or empty text is no reason to go but for exact_dedup, where they equal each other; repeated rows are copies. An
+empty table passes through all stages and gives no pieces.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankloom.llm import decontaminate, exact, jaccard, packing, registry, toxicity
-from rankloom.llm.common import cut, fresh, table
+from rankloom.llm.common import WRITTEN, cut, forget, fresh, sweep, table
 
 
 def drop_toxic(spark, docs, sf_dir):
@@ -51,9 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
+    """The last stage's rows. Between stages only what the last one kept is left in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
+        mark, before = len(WRITTEN), docs
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = cut(docs)
+            sweep(spark, mark, docs)
+            forget(before)
     return docs
