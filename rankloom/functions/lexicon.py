@@ -89,7 +89,7 @@ PENALTY_WEIGHTS = {"missing_required_penalty": 0.20, "role_mismatch_penalty": 0.
 #: Least score, label; below all: the last.
 RECOMMENDATIONS = [(85.0, "APPLY"), (75.0, "STRONG MATCH"), (65.0, "REVIEW"), (None, "LOW MATCH")]
 #: Occurrences of each section and what they add to a skill's confidence.
-CONFIDENCE = {"experience": 25, "project": 20, "summary": 15, "skills": 8, "certification": 15}
+CONFIDENCE = {"summary": 25, "experience": 20, "project": 15, "skills": 8, "certification": 15}
 
 #: Section -> header variants, in the order they are looked for.
 SECTIONS = {
@@ -175,3 +175,11 @@ SPECIFIC_ROLES = ["databricks", "snowflake", "informatica", "ab initio", "tablea
 # fixed values: work done and measured results as the last decision reads them
 DECISION_ACTIONS = "architected|built|designed|implemented|developed|engineered|optimized|migrated|configured|administered|led|automated|integrated|deployed|managed|orchestrated|tuned|created|delivered"
 DECISION_METRIC = r"\d+(?:\.\d+)?\s*(?:%|x|hours?|days?|minutes?|seconds?|tb|gb|mb|million|billion|m\+|k\+?)"
+# fixed values: what a title says of seniority, in this order; what marks lines of a posting
+TITLE_SENIORITY = {
+    "intern": "Intern", "entry level": "Junior", "entry-level": "Junior", "junior": "Junior", "associate": "Junior", "mid level": "Mid", "mid-level": "Mid", "senior": "Senior", "sr.": "Senior", "sr ": "Senior",
+    "lead": "Lead", "principal": "Principal", "architect": "Architect", "manager": "Manager", "director": "Director",
+}
+MANDATORY_MARKERS = ["must have", "must-have", "required", "mandatory", "minimum qualification", "minimum requirement", "essential"]
+PREFERRED_MARKERS = ["preferred", "nice to have", "nice-to-have", "desired", "bonus", "plus"]
+CERTIFICATION_MARKERS = ["certification", "certified", "certificate"]

@@ -263,7 +263,7 @@ def skill_mentions(spark, d):
     return counted(spark, d)
 
 
-@query(MENTIONS + ", c as (select doc_id, sum(case when skill = 'article' then n else 0 end) as e, sum(case when skill = 'linking' then n else 0 end) as p, sum(n) as t from m group by 1) select doc_id, least(e * 25 + p * 20 + t * 2, 100)::double as confidence from c")
+@query(MENTIONS + ", c as (select doc_id, sum(case when skill = 'article' then n else 0 end) as e, sum(case when skill = 'linking' then n else 0 end) as p, sum(n) as t from m group by 1) select doc_id, least(e * 20 + p * 15 + t * 2, 100)::double as confidence from c")
 def skill_confidence(spark, d):
     wide = counted(spark, d).groupBy("doc_id").agg(F.sum(F.when(F.col("skill") == "article", F.col("n")).otherwise(0)).alias("e"), F.sum(F.when(F.col("skill") == "linking", F.col("n")).otherwise(0)).alias("p"), F.sum("n").alias("t"))
     zero = F.lit(0)
