@@ -183,3 +183,23 @@ TITLE_SENIORITY = {
 MANDATORY_MARKERS = ["must have", "must-have", "required", "mandatory", "minimum qualification", "minimum requirement", "essential"]
 PREFERRED_MARKERS = ["preferred", "nice to have", "nice-to-have", "desired", "bonus", "plus"]
 CERTIFICATION_MARKERS = ["certification", "certified", "certificate"]
+# fixed values: two published sets of filter rules; what they share is named once
+FORMER_CITIZENSHIP = [
+    *CITIZENSHIP[:5],
+    r"\b(?:usc|u\.?s\.?\s+citizen)\s*(?:/|or|and)\s*(?:gc|green\s*card)\s*(?:only|required)?\b",
+    *CITIZENSHIP[6:9],
+    r"\b(?:cannot|can\s*not|unable\s+to|will\s+not|won't)\s+(?:provide|offer|support)\s+(?:visa\s+)?sponsorship\b",
+    r"\bvisa\s+sponsorship\s+(?:is\s+)?(?:not\s+available|unavailable|not\s+offered|not\s+provided)\b",
+    *CITIZENSHIP[11:],
+]
+RULES = {
+    "current": {
+        "experience": [LONG_EXPERIENCE], "around": [100], "wished": PREFERRED_WORDS, "needed": REQUIRED_WORDS, "citizenship": CITIZENSHIP, "clearance": CLEARANCE, "accept": ACCEPT_TITLES, "reject": REJECT_TITLES,
+        "label:experience": ["10+ years required: "], "label:citizenship": ["Citizenship/Visa: "], "label:clearance": ["Security Clearance: "], "label:role": ["Non Data Role: "], "label:unknown": ["No recognized data-role keyword"],
+    },
+    "former": {
+        "experience": [LONG_EXPERIENCE], "around": [90], "wished": ["preferred", "nice to have", "desired", "plus", "bonus", "ideally", "would be a plus"], "needed": ["required", "minimum", "must", "at least", "need", "requires", "qualification", "experience"],
+        "citizenship": FORMER_CITIZENSHIP, "clearance": CLEARANCE, "accept": ACCEPT_TITLES, "reject": [x for t in REJECT_TITLES for x in ([t, "dynamics 365"] if t == "service now" else [t])],
+        "label:experience": ["10+ years experience: "], "label:citizenship": ["USC/GC or no-sponsorship requirement: "], "label:clearance": ["Security clearance requirement: "], "label:role": ["Non-data role: "], "label:unknown": ["No recognized data-role keyword in title or opening description"],
+    },
+}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..operators import evidence as E
-from ..operators import skills
+from ..operators import reports, skills
 from .catalog import MENTIONS, WORDS, lit, query, read, values
 
 ROLES = ["data engineer", "Databricks Architect", "data analyst", "etl developer", "mdm developer", "cook", ""]
@@ -163,7 +163,7 @@ def project_evidence(spark, d):
     return E.project_evidence(spark.createDataFrame(PROJECTS, "id int, text string"), "databricks", REQUIRED, F.lit(0.0), F.lit(0.5))
 
 
-PARTS = ["required", "preferred", "role", "platform", "experience", "domain", "semantic", "bm25", "certification", "achievement", "education"]
+PARTS = list(reports.LABELS)
 PENALTIES = ["missing_required_penalty", "role_mismatch_penalty", "experience_penalty", "total_penalty", "final_score"]
 
 
