@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, forget
+from .common import cut, forget, small
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,10 +13,11 @@ def components(links: DataFrame) -> DataFrame:
     both = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
     labels = cut(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("label")))
     while True:
-        near = both.join(labels, F.col("b") == F.col("v")).groupBy("a").agg(F.min("label").alias("m"))
-        nearer = labels.join(near, F.col("v") == F.col("a")).select("v", F.col("label").alias("was"), F.least("label", "m").alias("label"))
-        root = nearer.select(F.col("v").alias("r"), F.col("label").alias("up"))
+        near = both.join(small(labels), F.col("b") == F.col("v")).groupBy("a").agg(F.min("label").alias("m"))
+        nearer = cut(labels.join(near, F.col("v") == F.col("a")).select("v", F.col("label").alias("was"), F.least("label", "m").alias("label")))
+        root = small(nearer).select(F.col("v").alias("r"), F.col("label").alias("up"))
         after = cut(nearer.join(root, F.col("label") == F.col("r"), "left").select("v", "was", F.least("label", F.coalesce("up", "label")).alias("label")))
+        forget(nearer)
         done = after.where("label != was").isEmpty()
         forget(labels)
         labels = after.select("v", "label")

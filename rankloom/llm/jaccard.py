@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, docs_of, forget, frugal, replaced, slices, text_buffers
+from .common import cut, docs_of, forget, frugal, replaced, slices, small, text_buffers
 from .components import components
 from .tokens import FOLDED, MIX1, mixed, shingle_hashes, split_words, word_hashes
 
@@ -236,7 +236,7 @@ def blocks_in(count: Column, members: Column) -> Column:
 
 def lead_tasks(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     """pairs (lead, lead_label, doc_id, label): each lead against blocks of its documents."""
-    pairs = pairs.distinct().join(sizes, "doc_id")
+    pairs = pairs.distinct().join(small(sizes), "doc_id")
     totals = pairs.groupBy("lead").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m"))
     own = pairs.join(totals, "lead").select("lead", block_of(F.col("n"), F.col("m"), F.col("doc_id")).alias("block"), "doc_id", "label", "lead_label")
     task = F.xxhash64("lead", "block").alias("task")
@@ -262,16 +262,16 @@ def cross_tasks(met: DataFrame, sizes: DataFrame) -> DataFrame:
     """
     twin = met.groupBy("member").agg(F.count("*").alias("n"), *(F.sum(F.shiftright(F.xxhash64(F.lit(k), "doc_id"), 32)).alias(f"x{k}") for k in (1, 2, 3, 4)))
     once = twin.groupBy("n", "x1", "x2", "x3", "x4").agg(F.min("member").alias("member")).select("member")
-    met = met.join(once, "member").join(sizes, "doc_id").select("member", "doc_id", "label", "n_shingles")
+    met = met.join(once, "member").join(small(sizes), "doc_id").select("member", "doc_id", "label", "n_shingles")
 
     # pairs of different labels that a group has: few where one label has nearly all documents
     each_label = met.groupBy("member", "label").agg(F.count("*").alias("k"))
     crossing = each_label.groupBy("member").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("kk"))
     met = cut(met.join(crossing.select("member", (F.col("n") * F.col("n") - F.col("kk") <= 2 * PAIRS * F.col("n")).alias("few")), "member"))
-    small = met.where("few").select("member", "doc_id", "label", "n_shingles")
-    other = small.select("member", F.col("doc_id").alias("lead"), F.col("label").alias("label2"), F.col("n_shingles").alias("n2"))
+    short = met.where("few").select("member", "doc_id", "label", "n_shingles")
+    other = short.select("member", F.col("doc_id").alias("lead"), F.col("label").alias("label2"), F.col("n_shingles").alias("n2"))
     fits = (F.least("n_shingles", "n2") * DEN >= F.greatest("n_shingles", "n2") * NUM) & (F.col("label") < F.col("label2"))
-    pairs = small.join(other, "member").where(fits).select("lead", F.col("label2").alias("lead_label"), "doc_id", "label")
+    pairs = short.join(other, "member").where(fits).select("lead", F.col("label2").alias("lead_label"), "doc_id", "label")
 
     large = met.where(~F.col("few")).select("member", "doc_id", "label", "n_shingles")
     filled = large.groupBy("member", "label").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).select("member", "label", F.lit(True).alias("filled"))
@@ -290,7 +290,7 @@ def cross_tasks(met: DataFrame, sizes: DataFrame) -> DataFrame:
 def with_labels(met: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return met.withColumn("label", F.col("doc_id"))
-    return met.join(labels, F.col("doc_id") == F.col("v"), "left").withColumn("label", F.coalesce("label", "doc_id")).drop("v")
+    return met.join(small(labels), F.col("doc_id") == F.col("v"), "left").withColumn("label", F.coalesce("label", "doc_id")).drop("v")
 
 
 def across(met: DataFrame) -> DataFrame:
@@ -341,6 +341,9 @@ def jaccard_links(docs: DataFrame, sizes: DataFrame, n: int = N) -> tuple[DataFr
     left = cut(covered(met.join(across(met), "member", "left_semi").select("doc_id", "label").distinct(), sets))
     rest = replaced(cut(apart(whole.join(left, "doc_id", "left_semi"), labels)), whole, left, met)
     for turn in range(1, ROUNDS + 1):
+        if rest.isEmpty():  # nothing is left that could be linked
+            forget(sets, sizes, rest)
+            return (links, labels) if labels is not None else (None, None)
         more = cut(trie_join(star_tasks(rarest(rest), sizes, turn), sets))
         if more.isEmpty():
             break
