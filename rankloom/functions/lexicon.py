@@ -203,3 +203,5 @@ RULES = {
         "label:experience": ["10+ years experience: "], "label:citizenship": ["USC/GC or no-sponsorship requirement: "], "label:clearance": ["Security clearance requirement: "], "label:role": ["Non-data role: "], "label:unknown": ["No recognized data-role keyword in title or opening description"],
     },
 }
+#: The verbs of ACHIEVED.
+RESULTS = "reduced|improved|increased|accelerated|optimized|saved|cut|processed|supported"

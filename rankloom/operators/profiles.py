@@ -86,10 +86,11 @@ def marked_lines(text: Column, markers: list[str]) -> Column:
 
 
 def unapproved_numbers(claims: Column, approved: Column) -> Column:
-    """Numbers of the claims that the approved text lacks; a number approved with a plus is approved without."""
+    """Numbers of the claims that the approved text lacks, each as often as it is claimed; one approved with a plus is approved without."""
     numbers = lambda x: F.regexp_extract_all(x, F.lit(L.NUMBER), F.lit(0))
     known = numbers(approved)
-    return F.array_except(numbers(claims), F.array_union(known, F.transform(known, lambda n: F.rtrim(n, F.lit("+")))))
+    every = F.array_union(known, F.transform(known, lambda n: F.rtrim(n, F.lit("+"))))
+    return F.filter(numbers(claims), lambda n: ~F.array_contains(every, n))
 
 
 def latex_errors(text: Column) -> Column:

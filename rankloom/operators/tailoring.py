@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
@@ -129,22 +129,19 @@ def line_kind(line: Column) -> Column:
     return F.when(line == "", "blank").when(name.isin(L.LINE_HEADINGS) | capital, "heading").when(begins(L.BULLETS), "bullet").when(dated, "dated").when(contact, "contact").otherwise("text")
 
 
-def joined_lines(text: Column) -> Column:
-    """Lines with wrapped text joined: text goes on from the line before, which a blank, heading, bullet, dated or
-    contact line ends."""
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), squeeze)
-    held = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("now"))
-    shut = lambda acc: F.when(acc["now"] != "", F.array_append(acc["out"], acc["now"])).otherwise(acc["out"])
+def joined_lines(rows: DataFrame) -> DataFrame:
+    """id, n, line of rows (id, text): lines with wrapped text joined; n numbers what comes out of a text.
 
-    def step(acc, line):
-        kind = line_kind(line)
-        alone = kind.isin("blank", "heading", "bullet", "dated")
-        fresh = (acc["now"] == "") | (kind == "contact")
-        out = F.when(alone, F.array_append(shut(acc), line)).when(fresh, shut(acc)).otherwise(acc["out"])
-        now = F.when(alone, "").when(fresh, line).otherwise(F.concat_ws(" ", acc["now"], line))
-        return F.struct(out.alias("out"), now.alias("now"))
-
-    return F.aggregate(lines, held, step, shut)
+    Text goes on from the text or contact line before it, which a blank, heading, bullet or dated line ends. Lines are
+    exploded once; a line that begins something new raises a running number, and lines of one number are one.
+    """
+    lines = rows.select("id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "raw")).select("id", "at", squeeze(F.col("raw")).alias("line"))
+    own = Window.partitionBy("id").orderBy("at")
+    kinds = lines.withColumn("kind", line_kind(F.col("line"))).withColumn("before", F.lag("kind").over(own))
+    goes_on = (F.col("kind") == "text") & F.coalesce(F.col("before").isin("text", "contact"), F.lit(False))
+    parts = kinds.withColumn("n", F.sum(F.when(goes_on, 0).otherwise(1)).over(own))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), " ")
+    return parts.groupBy("id", "n").agg(whole.alias("line"))
 
 
 def merged_patch(parts: list[Column]) -> Column:

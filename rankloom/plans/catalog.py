@@ -41,6 +41,22 @@ def values(name: str, cols: str, rows) -> str:
     return f"{name}({cols}) as (values " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + ")"
 
 
+def texts_sql(name: str, cols: str, rows, *more: str) -> str:
+    """A fixture of ids and texts with all documents and benchmark items behind it; more: SQL for further columns."""
+    extra = "".join(f", {m}" for m in more)
+    return values(f"{name}_own", cols, rows) + f", {name}({cols}) as (select * from {name}_own union all select doc_id + 1000, text{extra} from documents union all select -1000 - item_id, text{extra} from benchmark)"
+
+
+def texts(spark, d, rows, schema: str, *more):
+    """The same in Spark; schema names the fixture's columns, more are columns over `text`."""
+    own = spark.createDataFrame(rows, schema)
+    names, c = own.columns, F.col
+    parts = [read(spark, d, "documents").select((c("doc_id") + 1000).alias("id"), "text"), read(spark, d, "benchmark").select((-1000 - c("item_id")).alias("id"), "text")]
+    for part in parts:
+        own = own.union(part.select(c("id").alias(names[0]), c("text").alias(names[1]), *(m.alias(n) for m, n in zip(more, names[2:], strict=True))))
+    return own
+
+
 # ---- BM25, ranking, vectors
 
 
@@ -181,25 +197,27 @@ def links_lookup_last_wins(spark, d):
     return relational.latest_lookup(read(spark, d, "customer").select("c_custkey"), links, "c_custkey", "o_orderkey")
 
 
-JOBS = [(1, "http://a/1"), (2, None), (3, "")]
-LINKS = [(0, "http://x/0"), (1, "http://x/1"), (2, "http://x/2")]
-
-
-@query("with " + values("j", "index, url", JOBS) + ", " + values("l", "row_order, link_url", LINKS) + " select index, coalesce(nullif(url, ''), case when (select count(*) from j) = (select count(*) from l) then link_url end) as url from j left join l on row_order + 1 = index")
+@query("with j as (select page_id + 1 as index, case page_id % 3 when 0 then null when 1 then '' else url end as url from pages), l as (select page_id as row_order, url as link_url from pages) select index, coalesce(nullif(url, ''), case when (select count(*) from j) = (select count(*) from l) then link_url end) as url from j left join l on row_order + 1 = index")
 def positional_join(spark, d):
-    return relational.positional(spark.createDataFrame(JOBS, "index int, url string"), spark.createDataFrame(LINKS, "row_order int, url string"))
+    pages, i = read(spark, d, "pages"), F.col("page_id")
+    jobs = pages.select((i + 1).alias("index"), F.when(i % 3 == 0, None).when(i % 3 == 1, "").otherwise(F.col("url")).alias("url"))
+    return relational.positional(jobs, pages.select(i.alias("row_order"), "url"))
 
 
 WANTED = [(1, "j-1", "", "x"), (2, "", "http://u/2", "x"), (3, "abc9", "", ""), (4, "none", "", "senior data engineer"), (5, "", "", "lead data engineer remote"), (6, "zz", "", "q")]
 ENTRIES = [(0, "j-9", "http://u/2", "data engineer", "about ABC9 here"), (1, "j-1", "", "senior data engineer", "first"), (2, "j-1", "", "lead data engineer", "again abc9"), (3, "", "", "short", "none of it")]
 
 
-@query("with " + values("j", "job_ord, job_id, url, title", WANTED) + ", " + values("e", "entry_ord, e_id, e_url, e_title, e_text", ENTRIES) + """
+@query("with " + values("j0", "job_ord, job_id, url, title", WANTED) + ", " + values("e0", "entry_ord, e_id, e_url, e_title, e_text", ENTRIES) + """, j as (select * from j0 union all select item_id + 1000, lower(substr(text, 30, 7)), '', lower(substr(text, 1, 50)) from benchmark), e as (select * from e0 union all select doc_id + 1000, '', '', lower(substr(text, 1, 12)), lower(text) from documents)
 select job_ord, entry_ord, tier from (select job_ord, entry_ord, case when job_id <> '' and job_id = e_id then 1 when url <> '' and url = e_url then 2 when job_id <> '' and contains(lower(e_text), job_id) then 3 when title <> '' and title = e_title then 4
   when title <> '' and length(e_title) >= 12 and (contains(title, e_title) or contains(e_title, title)) then 5 end as tier from j, e) where tier is not null qualify row_number() over (partition by job_ord order by tier, entry_ord) = 1""")
 def fallback_lookup(spark, d):
     jobs = spark.createDataFrame(WANTED, "job_ord int, job_id string, url string, title string")
-    return relational.lookup(jobs, spark.createDataFrame(ENTRIES, "entry_ord int, job_id string, url string, title string, description string"))
+    entries = spark.createDataFrame(ENTRIES, "entry_ord int, job_id string, url string, title string, description string")
+    none = F.lit("")
+    more = read(spark, d, "benchmark").select(F.col("item_id") + 1000, F.lower(F.substring("text", 30, 7)), none, F.lower(F.substring("text", 1, 50)))
+    docs = read(spark, d, "documents").select(F.col("doc_id") + 1000, none, none, F.lower(F.substring("text", 1, 12)), "text")
+    return relational.lookup(jobs.union(more), entries.union(docs))
 
 
 # ---- rules
@@ -218,7 +236,7 @@ def sql_match(x, patterns):
     return "coalesce(" + ", ".join(f"nullif(trim(regexp_replace(regexp_extract({x}, {lit('(?i)' + p)}), '\\s+', ' ', 'g')), '')" for p in patterns) + ")"
 
 
-@query(lambda: "with " + values("p", "id, title_, text_", POSTS) + f""",
+@query(lambda: "with " + values("p0", "id, title_, text_", POSTS) + f""", p as (select * from p0 union all select doc_id + 1000, substr(text, 1, 60), text from documents),
 a as (select id, lower(trim(coalesce(title_, ''))) as title, coalesce(text_, '') as text, regexp_extract(coalesce(text_, ''), {lit(L.LONG_EXPERIENCE)}) as found from p),
 b as (select *, instr(text, found) as pos from a),
 c as (select *, lower(substr(text, greatest(pos - 100, 1), pos + length(found) + 100 - greatest(pos - 100, 1))) as near, lower(array_to_string(string_split(text, chr(10))[1:20], ' ')) as intro from b),
@@ -230,7 +248,8 @@ r as (select id, list_filter([
 select id, array_to_string(rs, ' | ') as reasons, len(rs) = 0 as accepted from r""")
 def rule_filter_reasons(spark, d):
     posts = spark.createDataFrame(POSTS, "id int, title string, text string")
-    return rules.judged(posts).select("id", F.array_join("reasons", " | ").alias("reasons"), "accepted")
+    docs = read(spark, d, "documents").select(F.col("doc_id") + 1000, F.substring("text", 1, 60), "text")
+    return rules.judged(posts.union(docs)).select("id", F.array_join("reasons", " | ").alias("reasons"), "accepted")
 
 
 @query(lambda: f"with t as (select lang, {sql_first('lower(text)', ['the', 'und', 'que'])} as keyword from documents) select lang, keyword, count(*) as n from t group by all")
@@ -286,25 +305,29 @@ def domain_classify(spark, d):
 
 
 OWNED = [(1, "Delta Live Tables"), (1, "python"), (2, "powercenter"), (2, "CDC"), (3, "dlt"), (3, " Tableau "), (4, "cooking"), (5, "adf"), (5, "kinesis")]
-CLOSURE = "with " + values("o", "id, s", OWNED) + ", " + values("edge", "src, dst", [(a, L.ALIASES.get(b, b)) for a, bs in L.ONTOLOGY.items() for b in bs]) + ", " + values("al", "alias, canon", list(L.ALIASES.items())) + """,
+#: Skills that stand for words of the documents.
+SPOKEN = {"that": "pyspark", "this": "dlt", "with": "emr", "que": "snowpipe", "les": "dynamic tables", "und": "ADF", "der": " powercenter", "the": "Tableau"}
+CLOSURE = "with " + values("o0", "id, s", OWNED) + ", " + values("w", "word, skill", list(SPOKEN.items())) + ", o as (select * from o0 union all select doc_id + 1000, skill from documents join w on contains(text, ' ' || word || ' ')), " + values("edge", "src, dst", [(a, L.ALIASES.get(b, b)) for a, bs in L.ONTOLOGY.items() for b in bs]) + ", " + values("al", "alias, canon", list(L.ALIASES.items())) + """,
 own as (select distinct id, coalesce(canon, lower(trim(s))) as skill from o left join al on alias = lower(trim(s))),
 one as (select distinct id, dst as skill from own join edge on src = skill), two as (select distinct id, dst as skill from one join edge on src = skill),
 f as (select id, skill, bool_or(e) as explicit from (select *, true as e from own union all select *, false from one union all select *, false from two) group by 1, 2) """
 
 
-def inferred(spark):
-    return skills.closure(spark.createDataFrame(OWNED, "id int, skill string"), *skills.ontology(spark))
+def inferred(spark, d):
+    words = F.array(*(F.when(F.contains("text", F.lit(f" {w} ")), F.lit(s)) for w, s in SPOKEN.items()))
+    docs = read(spark, d, "documents").select((F.col("doc_id") + 1000).alias("id"), F.explode(F.filter(words, lambda s: s.isNotNull())).alias("skill"))
+    return skills.closure(spark.createDataFrame(OWNED, "id int, skill string").union(docs), *skills.ontology(spark))
 
 
 @query(CLOSURE + "select id, skill, explicit from f")
 def ontology_closure(spark, d):
-    return inferred(spark)
+    return inferred(spark, d)
 
 
 @query(CLOSURE + ", " + values("ev", "ord, platform, skill", [(k, p, s) for k, (p, ss) in enumerate(L.PLATFORMS.items()) for s in ss]) + """, p as (select id, platform, ord, sum(case when explicit then 2.0 else 0.75 end) as points from f join ev using (skill) group by 1, 2, 3)
 select id, platform, floor(least(55.0 + 45.0 * points / (sum(points) over (partition by id)), 100.0)::double * 100 + 0.5) / 100 as confidence from p qualify row_number() over (partition by id order by points desc, ord) = 1""")
 def specialization(spark, d):
-    return skills.specialization(inferred(spark), spark)
+    return skills.specialization(inferred(spark, d), spark)
 
 
 # ---- scores on a numeric grid
@@ -362,41 +385,55 @@ def experience_scores(spark, d):
     return x.select("l_orderkey", "l_linenumber", scoring.experience_score(own, asked).alias("experience_score"), scoring.experience_penalty(own, asked).alias("experience_penalty"), scoring.missing_penalty(F.col("missing"), F.col("total")).alias("missing_penalty"), scoring.seniority(own).alias("seniority"))
 
 
-# ---- reports over inline matches
+# ---- reports over matches
 
 MATCHES = [
     ("j1", "ann", 0, 82.5, ["spark", "sql"], ["kafka"], ["dbt"], [], ["cert a"]), ("j1", "bob", 1, 82.5, ["sql"], ["kafka", "spark"], [], ["dbt"], []), ("j1", "cat", 2, 90.0, ["kafka", "spark", "sql"], [], [], ["dbt"], ["cert a"]),
     ("j2", "ann", 0, 40.0, [], ["etl"], ["sql"], ["dbt"], []), ("j2", "bob", 1, 40.0, ["etl"], [], [], ["dbt", "sql"], []), ("j3", "bob", 1, 0.0, [], [], [], [], []),
 ]
 COLS = ["job_id", "resume", "resume_ord", "score", "matched_required", "missing_required", "matched_preferred", "missing_preferred", "missing_certifications"]
-M = "with " + values("m", ", ".join(COLS), MATCHES)
+ASKED, LIKED = ["that", "the", "und", "que"], ["with", "les", "von"]
+
+
+def m_sql() -> str:
+    have = lambda ws, no="": f"list_filter({lit(ws)}, lambda w: {no} contains(coalesce(text, ''), ' ' || w || ' '))"
+    return "with " + values("m0", ", ".join(COLS), MATCHES) + f", m as (select job_id, resume, resume_ord, score::double as score, {', '.join(COLS[4:])} from m0 union all select 'b' || doc_id % 40, 'd' || doc_id, doc_id, (n_chars % 101)::double, {have(ASKED)}, {have(ASKED, 'not')}, {have(LIKED)}, {have(LIKED, 'not')}, [source]::varchar[] from documents)"
+
+
+M = m_sql()
 LABEL = "case when score >= 85 then 'APPLY' when score >= 75 then 'STRONG MATCH' when score >= 65 then 'REVIEW' else 'LOW MATCH' end"
 
 
-def matches(spark):
-    return spark.createDataFrame(MATCHES, "job_id string, resume string, resume_ord int, score double, " + ", ".join(f"{c} array<string>" for c in COLS[4:]))
+def matches(spark, d):
+    """Fixed matches, and every document against one of 40 jobs, matched by its words."""
+    own = spark.createDataFrame(MATCHES, "job_id string, resume string, resume_ord int, score double, " + ", ".join(f"{c} array<string>" for c in COLS[4:]))
+    i, held = F.col("doc_id"), lambda w: F.contains(F.coalesce("text", F.lit("")), F.concat(F.lit(" "), w, F.lit(" ")))
+    have = lambda ws: F.filter(F.array(*map(F.lit, ws)), held)
+    lack = lambda ws: F.filter(F.array(*map(F.lit, ws)), lambda w: ~held(w))
+    docs = read(spark, d, "documents").select(F.concat(F.lit("b"), (i % 40).cast("string")), F.concat(F.lit("d"), i.cast("string")), i, (F.col("n_chars") % 101).cast("double"), have(ASKED), lack(ASKED), have(LIKED), lack(LIKED), F.array("source"))
+    return own.union(docs)
 
 
 @query(M + f" select job_id, resume, score::double as score, {LABEL} as recommendation, row_number() over (partition by job_id order by score desc, resume_ord) as rank from m")
 def report_rankings(spark, d):
-    return reports.rankings(matches(spark))
+    return reports.rankings(matches(spark, d))
 
 
 @query(M + f" select job_id, resume as best_resume, score::double as best_score, {LABEL} as recommendation, array_to_string(matched_required, ', ') as matched_required, array_to_string(missing_required, ', ') as missing_required, count(*) over (partition by job_id) as compared from m qualify row_number() over (partition by job_id order by score desc, resume_ord) = 1")
 def report_summary(spark, d):
-    return reports.summary(matches(spark))
+    return reports.summary(matches(spark, d))
 
 
 @query(M + " select job_id, resume, unnest(missing_required) as skill, 'Required' as kind from m union all select job_id, resume, unnest(missing_preferred), 'Preferred' from m union all select job_id, resume, unnest(missing_certifications), 'Certification' from m")
 def report_missing(spark, d):
-    return reports.missing(matches(spark))
+    return reports.missing(matches(spark, d))
 
 
 @query(M + """, f as (select * from m qualify row_number() over (partition by job_id order by score desc, resume_ord) = 1), r as (select distinct job_id, unnest(list_concat(matched_required, missing_required)) as skill from f), p as (select distinct job_id, unnest(list_concat(matched_preferred, missing_preferred)) as skill from f),
 e as (select skill, 'r' as k from r union all select skill, 'p' from p union all select skill, 't' from (select * from r union select * from p) union all select skill, 'm' from (select distinct job_id, resume, unnest(list_concat(matched_required, matched_preferred)) as skill from m) union all select skill, 'x' from (select distinct job_id, resume, unnest(list_concat(missing_required, missing_preferred)) as skill from m))
 select skill, count(*) filter (k = 'r') as required, count(*) filter (k = 'p') as preferred, count(*) filter (k = 't') as total_jobs, count(*) filter (k = 'm') as matched, count(*) filter (k = 'x') as missing from e group by skill""")
 def report_skill_frequency(spark, d):
-    return reports.skill_frequency(matches(spark))
+    return reports.skill_frequency(matches(spark, d))
 
 
 @query(lambda: GRID + " select job_id, resume, component, component_score, weight, floor(component_score * weight * 10000 + 0.5) / 10000 as contribution from (" + " union all ".join(f"select l_orderkey as job_id, l_linenumber as resume, '{k}' as component, {k} as component_score, {v!r}::double as weight from x" for k, v in L.PLATFORM_WEIGHTS.items()) + ")")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..operators import evidence as E
 from ..operators import reports, skills
-from .catalog import MENTIONS, WORDS, lit, query, read, values
+from .catalog import MENTIONS, WORDS, lit, query, read, texts, texts_sql, values
 
 ROLES = ["data engineer", "Databricks Architect", "data analyst", "etl developer", "mdm developer", "cook", ""]
 TARGETS = ["that", "the", "und"]
@@ -16,10 +16,6 @@ HELD = [
     (1, 8.0, {"Spark": 3.5, "sql": 9.0}, ["spark", "sql"], ["SQL ", "spark", ""]), (2, 0.0, {"spark": 2.25}, ["spark"], ["spark"]), (3, 6.0, {"java": 4.0}, ["java", "sql"], ["sql", "spark", "scala", "dbt"]),
     (4, 6.0, {}, ["sql", "spark"], ["sql", "spark"]), (5, 7.5, {"sql": 1.0}, ["sql"], []), (6, 5.0, {}, [], ["x"]),
 ]
-PROJECTS = [
-    (1, "Core stack databricks, sql\nTitle: Databricks engineer\nProfessional Experience\nClient: Bank\nBuilt and optimized a databricks lakehouse on delta lake with unity catalog and spark. Reduced cost by 40% in 3 days.\nClient: Shop\nWrote java code.\nClient: Mill\nMigrated pyspark and sql to databricks, implemented dlt and photon, saved 5 hours"),
-    (2, "Snowflake developer\nsnowflake snowpipe\nclient: a\nconfigured databricks once\nclient: b\ntasks"), (3, "nothing here"), (4, None), (5, "databricks " * 3 + "snowflake " * 9 + "\nclient: one\ndatabricks and snowflake and spark"),
-]
 ACHIEVED = [
     (1, "We reduced spark job time by 40% overall. Then improved nothing. We cut costs 3x for kafka and streaming on docker", ["spark", " Kafka"]), (2, "increased sales by 12%", ["spark"]), (3, None, ["x"]), (4, "processed 5 tb daily; processed 5 tb daily; rbac and ci/cd for SQL", ["sql", "daily", "rbac"]), (5, "", []),
 ]
@@ -56,12 +52,17 @@ def experience_profile(spark, d):
     return x.select("l_orderkey", E.seniority(F.col("total")).alias("seniority"), E.skill_years(*map(F.col, ("total", "e", "p", "s"))).alias("years"), E.experience_confidence(F.col("total"), F.col("k")).cast("int").alias("confidence"))
 
 
-@query(lambda: "with " + values("h", "id, skill, years", [(i, k, v) for i, _, m, *_ in HELD for k, v in m.items()]) + ", " + values("v", "id, total, own, target", [(i, t, o, g) for i, t, _, o, g in HELD]) + f""",
+@query(lambda: "with " + values("h0", "id, skill, years", [(i, k, v) for i, _, m, *_ in HELD for k, v in m.items()]) + ", " + values("v0", "id, total, own, target", [(i, t, o, g) for i, t, _, o, g in HELD]) + f""",
+k as (select doc_id + 1000 as id, n_chars, list_filter({lit(TARGETS)}, lambda w: contains(coalesce(text, ''), ' ' || w || ' ')) as own from documents), h as (select * from h0 union all select id, unnest(own), (n_chars % 7 + 0.5)::double from k where n_chars % 4 > 0),
+v as (select id, total::double as total, own, target from v0 union all select id, (n_chars % 17)::double, own, ['that', 'der']::varchar[] from k),
 w as (select id, total::double as total, list_transform(own, lambda x: lower(trim(x))) as own, list_distinct(list_filter(list_transform(target, lambda x: lower(trim(x))), lambda x: x <> '')) as target from v),
 b as (select w.id, max(years)::double as best from w join h on h.id = w.id and list_contains(target, lower(trim(skill))) group by 1)
 select w.id, case when len(target) = 0 then total when best is not null then {r2("least(case when total > 0 then total else best end, best)")} else {r2("total * least(0.75::double, len(list_intersect(own, target)) / greatest(len(target), 1)::double)")} end::double as years from w left join b using (id)""")
 def relevant_years(spark, d):
-    rows = spark.createDataFrame(HELD, "id int, total double, years map<string,double>, own array<string>, target array<string>")
+    n, own = F.col("n_chars"), F.filter(F.array(*map(F.lit, TARGETS)), lambda w: F.contains(F.coalesce("text", F.lit("")), F.concat(F.lit(" "), w, F.lit(" "))))
+    told = F.when(n % 4 > 0, F.map_from_entries(F.transform(own, lambda w: F.struct(w.alias("key"), (n % 7 + 0.5).cast("double").alias("value"))))).otherwise(F.create_map().cast("map<string,double>"))
+    docs = read(spark, d, "documents").select(F.col("doc_id") + 1000, (n % 17).cast("double"), told, own, F.array(F.lit("that"), F.lit("der")))
+    rows = spark.createDataFrame(HELD, "id int, total double, years map<string,double>, own array<string>, target array<string>").union(docs)
     return rows.select("id", E.relevant_years(*map(F.col, ("total", "years", "own", "target"))).alias("years"))
 
 
@@ -96,9 +97,10 @@ def contains_sql(text: str) -> str:
     return f"len(list_filter(aliases, lambda a: regexp_matches(lower(coalesce({text}, '')), '(?:^|[^\\pL\\pN_])' || {bare} || '(?:$|[^\\pL\\pN_])'))) > 0"
 
 
-@query(lambda: "with " + values("v", "id, req, pref, aliases", WANTED) + f" select id, case when {contains_sql('req')} then 'required' when {contains_sql('pref')} then 'preferred' else 'required' end as kind from v")
+@query(lambda: "with " + values("v0", "id, req, pref, aliases", WANTED) + f", v as (select * from v0 union all select doc_id + 1000, split_part(text, chr(10), 1), text, ['that', 'und']::varchar[] from documents) select id, case when {contains_sql('req')} then 'required' when {contains_sql('pref')} then 'preferred' else 'required' end as kind from v")
 def required_or_preferred(spark, d):
-    rows = spark.createDataFrame(WANTED, "id int, req string, pref string, aliases array<string>")
+    docs = read(spark, d, "documents").select(F.col("doc_id") + 1000, F.split_part("text", F.lit("\n"), F.lit(1)), "text", F.array(F.lit("that"), F.lit("und")))
+    rows = spark.createDataFrame(WANTED, "id int, req string, pref string, aliases array<string>").union(docs)
     return rows.select("id", E.wanted_kind(F.col("req"), F.col("pref"), F.col("aliases")).alias("kind"))
 
 
@@ -120,9 +122,9 @@ def document_fields(spark, d):
     return fields_of(read(spark, d, "documents"), "doc_id")
 
 
-@query(lambda: "with " + values("v", "id, text", FIELDS) + " " + fields_sql("v", "id"))
+@query(lambda: "with " + texts_sql("v", "id, text", FIELDS) + " " + fields_sql("v", "id"))
 def posting_fields(spark, d):
-    return fields_of(spark.createDataFrame(FIELDS, "id int, text string"), "id")
+    return fields_of(texts(spark, d, FIELDS, "id int, text string"), "id")
 
 
 @query(MENTIONS + f"select skill, sum(n)::bigint as total, count(*) as documents, row_number() over (order by sum(n) desc, count(*) desc, skill)::int as place from m where skill not in ({', '.join(map(lit, ['linking', *L.GENERIC_SKILLS]))}) group by 1")
@@ -143,26 +145,6 @@ def text_fallback(spark, d):
     return rows.select("doc_id", E.first_filled(c("text"), F.concat_ws(" ", "lang", "source")).alias("content"), E.first_filled(c("source"), F.concat(F.lit("doc_"), c("doc_id"))).alias("name"))
 
 
-def projects_sql() -> str:
-
-    has = lambda m: f"regexp_matches(low, '(?:^|[^\\pL\\pN_]){m}(?:$|[^\\pL\\pN_])')::int"
-    add = lambda ms: "(" + " + ".join(map(has, ms)) + ")"
-    everything = " + ".join(add(ms) for ms in L.MARKERS.values())
-    return "with " + values("v", "id, t", PROJECTS) + f""",
-p as (select id, unnest(string_split_regex(regexp_replace(coalesce(t, ''), '(^|\\n)\\s*(client\\s*:)', chr(1) || '\\2', 'gi'), chr(1))[2:]) as block from v),
-l as (select id, lower(block) as low from p), c as (select id, low, {add(L.MARKERS["databricks"])} as own, {add(REQUIRED)} as asked, {everything} as every from l),
-s as (select id, own > 0 as hit, own / greatest(1, every)::double as d, least(100, 18 + own * 9 + asked * 4 + least(len(regexp_extract_all(low, '\\b(?:{L.PROJECT_ACTIONS})\\b')), 8) * 3 + least(len(regexp_extract_all(low, '\\b\\d+(?:\\.\\d+)?\\s*(?:{L.PROJECT_UNITS})\\b')), 5) * 2.5::double + own / greatest(1, every)::double * 18) as s from c),
-g as (select id, count(*) filter (hit) as projects, count(*) filter (hit and s >= 68) as strong, coalesce(avg(s) filter (hit), 0) as mean, coalesce(sum(least(0.75::double, s / 160)) filter (hit), 0) as worked from s group by 1),
-w as (select v.id, coalesce(projects, 0) as projects, coalesce(strong, 0) as strong, coalesce(mean, 0) as mean, least(12, coalesce(worked, 0) * (0.55::double + 0.45::double * 0.5::double)) as years from v left join g using (id)),
-z as (select *, least(100, 8 + 42 * 0.5::double + 30 * mean / 100 + least(20, years * 4)) as sc from w)
-select id, projects, strong, {r2("years")} as years, {r2("sc")} as score, case when sc >= 78 and (strong >= 1 or years >= 2.5) then 'Strong' when projects > 0 then 'Moderate' else 'Weak' end as confidence from z"""
-
-
-@query(projects_sql)
-def project_evidence(spark, d):
-    return E.project_evidence(spark.createDataFrame(PROJECTS, "id int, text string"), "databricks", REQUIRED, F.lit(0.0), F.lit(0.5))
-
-
 PARTS = list(reports.LABELS)
 PENALTIES = ["missing_required_penalty", "role_mismatch_penalty", "experience_penalty", "total_penalty", "final_score"]
 

@@ -8,7 +8,7 @@ from ..functions import lexicon as L
 from ..functions import text as T
 from ..operators import profiles as P
 from ..operators.relational import first_by
-from .catalog import lit, query, read, values
+from .catalog import lit, query, read, texts, texts_sql, values
 
 AS_OF = (2025, 6)
 RESUMES = [
@@ -37,9 +37,9 @@ def section_sql(name: str) -> str:
     return f"select id, '{name}' as section, case when start is null then '' else trim(regexp_replace(substr(rest, 1, coalesce({ends} - 1, length(rest))), '^\\s+|\\s+$', '', 'g')) end as body from (select *, substr(low, start, length(low)) as rest from (select id, low, {start} as start from r))"
 
 
-@query(lambda: "with " + values("v", "id, t", RESUMES) + ", r as (select id, lower(coalesce(t, '')) as low from v) " + " union all ".join(f"({section_sql(n)})" for n in L.SECTIONS))
+@query(lambda: "with " + texts_sql("v", "id, t", RESUMES) + ", r as (select id, lower(coalesce(t, '')) as low from v) " + " union all ".join(f"({section_sql(n)})" for n in L.SECTIONS))
 def resume_sections(spark, d):
-    rows = spark.createDataFrame(RESUMES, "id int, t string").select("id", F.coalesce("t", F.lit("")).alias("t"))
+    rows = texts(spark, d, RESUMES, "id int, t string").select("id", F.coalesce("t", F.lit("")).alias("t"))
     wide = rows.select("id", *(P.section(F.col("t"), n).alias(n) for n in L.SECTIONS))
     return wide.unpivot(["id"], list(L.SECTIONS), "section", "body")
 
@@ -47,10 +47,10 @@ def resume_sections(spark, d):
 MONTH_SQL = "coalesce(nullif(list_position({months}, substr({g}, 1, 3)), 0), {other})"
 
 
-@query(lambda: "with " + values("v", "id, t", SPANS) + ", g as (select id, " + ", ".join(f"lower(regexp_extract(coalesce(t, ''), {lit(L.DATE_SPAN)}, {k})) as g{k}" for k in range(1, 6)) + " from v), y as (select *, " + ", ".join(f"case when try_cast(g{k} as int) < 70 then g{k}::int + 2000 when try_cast(g{k} as int) < 100 then g{k}::int + 1900 else try_cast(g{k} as int) end as y{k}" for k in (2, 4)) + f""" from g)
+@query(lambda: "with " + texts_sql("v", "id, t", SPANS) + ", g as (select id, " + ", ".join(f"lower(regexp_extract(coalesce(t, ''), {lit(L.DATE_SPAN)}, {k})) as g{k}" for k in range(1, 6)) + " from v), y as (select *, " + ", ".join(f"case when try_cast(g{k} as int) < 70 then g{k}::int + 2000 when try_cast(g{k} as int) < 100 then g{k}::int + 1900 else try_cast(g{k} as int) end as y{k}" for k in (2, 4)) + f""" from g)
 select id, case when g2 = '' then 0.0 else least(greatest((case when g5 <> '' then {AS_OF[0]} else y4 end - y2) * 12 + case when g5 <> '' then {AS_OF[1]} else {MONTH_SQL.format(months=lit(L.MONTHS), g="g3", other=12)} end - {MONTH_SQL.format(months=lit(L.MONTHS), g="g1", other=1)} + 1, 1) / 12.0, 15.0) end::double as years from y""")
 def tenure_years(spark, d):
-    return spark.createDataFrame(SPANS, "id int, t string").select("id", P.tenure_years(F.coalesce("t", F.lit("")), AS_OF).alias("years"))
+    return texts(spark, d, SPANS, "id int, t string").select("id", P.tenure_years(F.coalesce("t", F.lit("")), AS_OF).alias("years"))
 
 
 def evidence_sql() -> str:
@@ -59,7 +59,7 @@ def evidence_sql() -> str:
     acts = lambda m: f"len(regexp_extract_all(low, '\\b(?:{L.ACTIONS})\\b[^.;\\n]{{0,100}}\\b{m}\\b|\\b{m}\\b[^.;\\n]{{0,100}}\\b(?:{L.ACTIONS})\\b'))"
     has = lambda m: f"(list_contains(s, '{m}') or {n(m)} > 0)"
     add = lambda f: " + ".join(f"case when {has(m)} then {f(m)} else 0 end" for m in ms)
-    return f"""with {values("v", "id, t, s, architect", EVIDENCE)}, l as (select id, s, architect, lower(coalesce(t, '')) as low from v),
+    return f"""with {texts_sql("v", "id, t, s, architect", EVIDENCE, "['photon']::varchar[]", "length(text) % 2 = 0")}, l as (select id, s, architect, lower(coalesce(t, '')) as low from v),
 c as (select id, architect, ({add(lambda m: "1")}) as n, ({add(lambda m: f"least({n(m)}, 5)")}) as f, ({add(lambda m: f"least({acts(m)}, 3)")}) as a, ({" + ".join(f"case when {has(g)} then 1.0::double else 0 end" for g in gs)}) / {len(gs)} as share from l),
 e as (select *, least(n / {len(ms)} * 55.0::double + least(f * 2.0::double, 25) + least(a * 4.0::double, 20), 100) as ev from c),
 k as (select *, case when architect then case when share < 0.34 then 62 when share < 0.5 then 75 when share < 0.67 then 88 else 100 end when n <= 1 then 72 else 100 end::double as cap, case when architect then case when share < 0.34 then 14 when share < 0.5 then 8 when share < 0.67 then 3 else 0 end when n <= 1 then 8 else 0 end::double as penalty from e)
@@ -68,44 +68,46 @@ select id, floor(least(least(12 + ev * 0.76::double, 100), cap) * 100 + 0.5) / 1
 
 @query(evidence_sql)
 def platform_assess(spark, d):
-    rows = spark.createDataFrame(EVIDENCE, "id int, t string, s array<string>, architect boolean")
+    rows = texts(spark, d, EVIDENCE, "id int, t string, s array<string>, architect boolean", F.array(F.lit("photon")), F.length("text") % 2 == 0)
     found = P.platform_evidence(F.col("t"), F.col("s"), "databricks", F.col("architect"))
     return rows.select("id", *(c.alias(k) for k, c in found.items()))
 
 
-@query(lambda: "with " + values("v", "id, title, s, fallback", TITLES) + ", p as (select id, fallback, unnest([" + ", ".join(f"{{'n': case when contains(lower(title), '{p}') then 4 else 0 end + len(list_intersect(s, {lit(ms)})), 'p': '{p}'}}" for p, ms in L.MARKERS.items()) + f"]) as x from v), b as (select id, fallback, max(x) filter (x.n > 0) as x from p group by 1, 2) select id, coalesce(x.p, case when list_contains({lit(list(L.MARKERS))}, lower(fallback)) then lower(fallback) end, '') as platform from b")
+@query(lambda: "with " + texts_sql("v", "id, title, s, fallback", TITLES, "case when contains(text, ' the ') then ['dax', 'emr']::varchar[] else [] end", "case when contains(text, 'que') then 'AWS' else 'none' end") + ", p as (select id, fallback, unnest([" + ", ".join(f"{{'n': case when contains(lower(title), '{p}') then 4 else 0 end + len(list_intersect(s, {lit(ms)})), 'p': '{p}'}}" for p, ms in L.MARKERS.items()) + f"]) as x from v), b as (select id, fallback, max(x) filter (x.n > 0) as x from p group by 1, 2) select id, coalesce(x.p, case when list_contains({lit(list(L.MARKERS))}, lower(fallback)) then lower(fallback) end, '') as platform from b")
 def target_platform(spark, d):
-    rows = spark.createDataFrame(TITLES, "id int, title string, s array<string>, fallback string")
+    skills = F.when(F.contains("text", F.lit(" the ")), F.array(F.lit("dax"), F.lit("emr"))).otherwise(F.array().cast("array<string>"))
+    rows = texts(spark, d, TITLES, "id int, title string, s array<string>, fallback string", skills, F.when(F.contains("text", F.lit("que")), "AWS").otherwise("none"))
     return rows.select("id", P.target_platform(F.col("title"), F.col("s"), F.col("fallback")).alias("platform"))
 
 
-@query("select * from (values (1, 0, 'body a'), (1, 1, 'body b' || chr(10) || 'more'), (3, 0, 'x')) t(blob_id, part, text)")
+@query("with " + texts_sql("v", "blob_id, t", BLOBS) + r""", s as (select blob_id, list_filter(string_split(regexp_replace(t, '(?im)^(Job\s+\d+\s*:)', chr(1) || '\1', 'g'), chr(1)), lambda p: regexp_matches(p, '(?i)^Job\s+\d+\s*:')) as ps from v)
+select blob_id, (i - 1)::int as part, trim(regexp_replace(regexp_replace(ps[i], '^[^\n]*\n?', ''), '\s+$', '')) as text from s, range(1, len(ps) + 1) t(i)""")
 def split_jobs_numbered(spark, d):
-    return P.split_numbered(spark.createDataFrame(BLOBS, "blob_id int, text string"))
+    return P.split_numbered(texts(spark, d, BLOBS, "blob_id int, text string"))
 
 
-@query("with " + values("v", "blob_id, t", BLOBS) + r", s as (select blob_id, list_filter(list_transform(regexp_split_to_array(t, '={20,}'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '') as ps from v) select blob_id, (i - 1)::int as part, ps[i] as text from s, range(1, len(ps) + 1) t(i)")
+@query("with " + texts_sql("v", "blob_id, t", BLOBS) + r", s as (select blob_id, list_filter(list_transform(regexp_split_to_array(t, '={20,}'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '') as ps from v) select blob_id, (i - 1)::int as part, ps[i] as text from s, range(1, len(ps) + 1) t(i)")
 def split_jobs_separator(spark, d):
-    return P.split_ruled(spark.createDataFrame(BLOBS, "blob_id int, text string"))
+    return P.split_ruled(texts(spark, d, BLOBS, "blob_id int, text string"))
 
 
-@query("with " + values("v", "id, t", POST_LINES) + r", l as (select id, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '^\s*[-*•]+\s*', ''))), lambda x: regexp_matches(lower(x), 'must|required')) as ls from v) select id, array_to_string(list_filter(ls, lambda x, i: list_position(ls, x) = i), ' / ') as lines from l")
+@query("with " + texts_sql("v", "id, t", POST_LINES) + r", l as (select id, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '^\s*[-*•]+\s*', ''))), lambda x: regexp_matches(lower(x), 'must|required')) as ls from v) select id, array_to_string(list_filter(ls, lambda x, i: list_position(ls, x) = i), ' / ') as lines from l")
 def requirement_lines(spark, d):
-    return spark.createDataFrame(POST_LINES, "id int, t string").select("id", F.array_join(P.marked_lines(F.col("t"), ["must", "required"]), " / ").alias("lines"))
+    return texts(spark, d, POST_LINES, "id int, t string").select("id", F.array_join(P.marked_lines(F.col("t"), ["must", "required"]), " / ").alias("lines"))
 
 
-@query(lambda: "with " + values("v", "id, c, a", CLAIMS) + f", n as (select id, regexp_extract_all(c, '{L.NUMBER}') as c, regexp_extract_all(a, '{L.NUMBER}') as a from v) select id, array_to_string(list_filter(c, lambda x: not list_contains(list_concat(a, list_transform(a, lambda y: rtrim(y, '+'))), x)), ',') as unapproved from n")
+@query(lambda: "with " + texts_sql("v", "id, c, a", CLAIMS, "split_part(text, chr(10), 1)") + f", n as (select id, regexp_extract_all(c, '{L.NUMBER}') as c, regexp_extract_all(a, '{L.NUMBER}') as a from v) select id, array_to_string(list_filter(c, lambda x: not list_contains(list_concat(a, list_transform(a, lambda y: rtrim(y, '+'))), x)), ',') as unapproved from n")
 def numeric_claims(spark, d):
-    return spark.createDataFrame(CLAIMS, "id int, c string, a string").select("id", F.array_join(P.unapproved_numbers(F.col("c"), F.col("a")), ",").alias("unapproved"))
+    return texts(spark, d, CLAIMS, "id int, c string, a string", F.split_part("text", F.lit("\n"), F.lit(1))).select("id", F.array_join(P.unapproved_numbers(F.col("c"), F.col("a")), ",").alias("unapproved"))
 
 
 def counts(s: str) -> str:
     return f"((length(t) - length(replace(t, {lit(s)}, ''))) // {len(s)})"
 
 
-@query(lambda: "with " + values("v", "id, t", LATEX) + " select id, array_to_string(list_filter([" + ", ".join([f"case when {counts('{')} <> {counts('}')} then 'Unbalanced LaTeX braces.' end", *(f"case when {counts(chr(92) + 'begin{' + e + '}')} <> {counts(chr(92) + 'end{' + e + '}')} then 'Unbalanced {e} environments.' end" for e in ("itemize", "longtable")), *(f"case when not contains(t, {lit(chr(92) + w + '{document}')}) then {lit('Missing ' + chr(92) + w + '{document}.')} end" for w in ("begin", "end"))]) + "], lambda e: e is not null), ' ') as errors from v")
+@query(lambda: "with " + texts_sql("v", "id, t", LATEX) + " select id, array_to_string(list_filter([" + ", ".join([f"case when {counts('{')} <> {counts('}')} then 'Unbalanced LaTeX braces.' end", *(f"case when {counts(chr(92) + 'begin{' + e + '}')} <> {counts(chr(92) + 'end{' + e + '}')} then 'Unbalanced {e} environments.' end" for e in ("itemize", "longtable")), *(f"case when not contains(t, {lit(chr(92) + w + '{document}')}) then {lit('Missing ' + chr(92) + w + '{document}.')} end" for w in ("begin", "end"))]) + "], lambda e: e is not null), ' ') as errors from v")
 def latex_balance(spark, d):
-    return spark.createDataFrame(LATEX, "id int, t string").select("id", F.array_join(P.latex_errors(F.col("t")), " ").alias("errors"))
+    return texts(spark, d, LATEX, "id int, t string").select("id", F.array_join(P.latex_errors(F.col("t")), " ").alias("errors"))
 
 
 @query("select conv_id, array_to_string(list_filter(rs, lambda x, i: list_position(rs, x) = i and len(list_filter(rs, lambda y: y = x)) > 1), ',') as repeated from (select conv_id, list(role order by turn) as rs from conversations group by 1)")

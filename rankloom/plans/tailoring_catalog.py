@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
+from ..operators import nested, ordering
 from ..operators import tailoring as T
-from .catalog import lit, query, read, values
+from .catalog import lit, query, read, texts, texts_sql, values
 from .evidence_catalog import fields_sql
 
 BODY = "Responsibilities\nBuild and run pipelines. " + "Work with teams on data of all kinds and keep it whole. " * 5
@@ -25,7 +26,7 @@ TEX = [
     (2, "nothing"), (3, "\\section*{professional summary:} \\begin{itemize} no items \n\\end{itemize}"), (4, None),
 ]
 RESUME_LINES = [
-    (1, "JANE DOE\njane@mail.example\nProfessional  Summary:\nBuilt things\nthat last\n• item one\ncontinues here\n\nClient: Bank\nJun 2021 - Present\nplain\n555-123-4567 call\nmore"), (2, None), (3, "MY BIG PROJECT\nlinkedin.com/in/x\n- a\n* b\nskills\nEnvironment: sql"), (4, "\n\none\n\n\ntwo\n"),
+    (1, "JANE DOE\njane@mail.example\nProfessional  Summary:\nBuilt things\nthat last\n• item one\ncontinues here\n\nClient: Bank\nJun 2021 - Present\nplain\n555-123-4567 call\nmore\n\uf0d8 eighth mark\nof bullets"), (2, None), (3, "MY BIG PROJECT\nlinkedin.com/in/x\n- a\n* b\nskills\nEnvironment: sql"), (4, "\n\none\n\n\ntwo\n"),
 ]
 PATCHES = [(1, ["a"], None, ["b", "a"]), (2, None, None, None), (3, [], ["x"], [])]
 SHEET = [
@@ -51,7 +52,7 @@ def exports_sql() -> str:
     heads = ", ".join(f"case when regexp_matches({pre}, {lit('(?im)^' + h)}) then greatest(u - 1200, 0) + length(regexp_extract({pre}, {lit('(?ims)' + chr(92) + 'A(.*)^' + h)}, 1)) end" for h in L.POSTING_HEADS)
     labelled = lambda names: ", ".join(rf"nullif(trim(regexp_extract(text, '(?im)^\s*{n}\s*[:\-]\s*(.+?)\s*$', 1)), '')" for n in names)
     signal = " or ".join(f"contains(lower(text), '{s}')" for s in L.POSTING_SIGNALS)
-    return rf"""with {values("v", "blob_id, t", EXPORTS)},
+    return rf"""with {texts_sql("v", "blob_id, t", EXPORTS)},
 c as (select blob_id, regexp_replace(regexp_replace(replace(replace(t, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n{{4,}}', chr(10) || chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') as x from v where t is not null),
 u as (select *, case when len(regexp_extract_all(x, {lit(L.PORTAL_LINK)})) >= 2 then {places_sql("x", L.PORTAL_LINK)} else {places_sql("x", L.ANY_LINK)} end as us from c where x <> ''),
 s as (select blob_id, x, list_transform(us, lambda u: coalesce(least({heads}), u - length(regexp_extract(substr(x, 1, u), '[^\n]*$')))) as ss from u),
@@ -67,16 +68,22 @@ select blob_id, (row_number() over (partition by blob_id order by i) - 1)::int a
 
 @query(exports_sql)
 def split_jobs_url(spark, d):
-    return T.split_by_links(spark.createDataFrame(EXPORTS, "blob_id int, text string"))
+    return T.split_by_links(texts(spark, d, EXPORTS, "blob_id int, text string"))
+
+
+def searches(spark, d):
+    pages, id_ = read(spark, d, "pages"), F.col("page_id")
+    own = spark.createDataFrame(SEARCHES, "id int, url string").union(pages.select(id_ + 1000, "url"))
+    return own.union(pages.select(id_ + 1_000_000, F.concat("url", F.lit("?q="), id_.cast("string"), F.lit("&page=3&q=x+y"))))
 
 
 def pairs_sql() -> str:
-    return values("v", "id, url", SEARCHES) + r""", q as (select id, url, list_filter(list_transform(string_split(coalesce(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), ''), '&'), lambda p: {'k': url_decode(replace(split_part(p, '=', 1), '+', ' ')), 'v': url_decode(replace(regexp_extract(p, '=(.*)$', 1), '+', ' '))}), lambda p: p.v <> '') as ps from v)"""
+    return values("v0", "id, url", SEARCHES) + r""", v as (select * from v0 union all select page_id + 1000, url from pages union all select page_id + 1000000, url || '?q=' || page_id || '&page=3&q=x+y' from pages), q as (select id, url, list_filter(list_transform(string_split(coalesce(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), ''), '&'), lambda p: {'k': url_decode(replace(split_part(p, '=', 1), '+', ' ')), 'v': url_decode(replace(regexp_extract(p, '=(.*)$', 1), '+', ' '))}), lambda p: p.v <> '') as ps from v)"""
 
 
 @query(lambda: "with " + pairs_sql() + " select id, " + ", ".join("coalesce(" + ", ".join(f"list_filter(ps, lambda p: p.k = '{k}')[1].v" for k in keys) + f", '{name}') as {name}" for name, keys in L.SEARCH_KEYS.items()) + " from q")
 def search_keyword(spark, d):
-    rows = spark.createDataFrame(SEARCHES, "id int, url string")
+    rows = searches(spark, d)
     return rows.select("id", *(T.search_keyword(F.col("url"), keys, name).alias(name) for name, keys in L.SEARCH_KEYS.items()))
 
 
@@ -85,7 +92,7 @@ o as (select id, url, p.k as k, case when p.k = 'page' then '2' else p.v end as
 w as (select id, url, string_agg(replace(url_encode(k), '%20', '+') || '=' || replace(url_encode(v), '%20', '+'), '&' order by f, i) as asked from o group by 1, 2)
 select id, regexp_extract(url, '^[^?#]*') || '?' || asked || regexp_extract(url, '#.+$') as url from w""")
 def page_url_rewrite(spark, d):
-    return spark.createDataFrame(SEARCHES, "id int, url string").select("id", T.with_page(F.col("url"), 2).alias("url"))
+    return searches(spark, d).select("id", T.with_page(F.col("url"), 2).alias("url"))
 
 
 def items_sql(x: str, behind: str) -> str:
@@ -98,14 +105,14 @@ def items_sql(x: str, behind: str) -> str:
 
 def template_sql() -> str:
     duties, work = r"\\textbf\{Responsibilities:\}", r"\\section\*\{PROFESSIONAL EXPERIENCE:\}"
-    return f"""with {values("v", "id, t", TEX)}, r as (select *, regexp_extract(t, {lit(rf"(?s){work}.*?\\end\{{itemize\}}(.*)$")}, 1) as rest from v)
+    return f"""with {texts_sql("v", "id, t", TEX)}, r as (select *, regexp_extract(t, {lit(rf"(?s){work}.*?\\end\{{itemize\}}(.*)$")}, 1) as rest from v)
 select id, {items_sql("t", r"\\section\*\{PROFESSIONAL SUMMARY:\}")} as summary, nullif(regexp_extract(t, {lit(r"(?is)\\section\*\{TECHNICAL SKILLS:\}.*?\\end\{longtable\}")}), '') as skills_block, {items_sql("t", rf"{work}.*?{duties}")} as experience_1, {items_sql("rest", duties)} as experience_2 from r"""
 
 
 @query(template_sql)
 def template_sections(spark, d):
     found = T.template_sections(F.col("t"))
-    return spark.createDataFrame(TEX, "id int, t string").select("id", *((c if k == "skills_block" else F.array_join(c, "|")).alias(k) for k, c in found.items()))
+    return texts(spark, d, TEX, "id int, t string").select("id", *((c if k == "skills_block" else F.array_join(c, "|")).alias(k) for k, c in found.items()))
 
 
 def lines_sql(rows: str, tail: str) -> str:
@@ -124,21 +131,26 @@ def line_kinds(spark, d):
     return kinds.groupBy("kind").agg(F.sum("n").alias("lines"), F.count("*").alias("documents"))
 
 
-@query(lambda: lines_sql(values("v", "id, t", RESUME_LINES), """, g as (select *, sum(case when kind = 'text' and before in ('text', 'contact') then 0 else 1 end) over (partition by id order by n) as g from (select *, lag(kind) over (partition by id order by n) as before from k)),
+@query(lambda: lines_sql(texts_sql("v", "id, t", RESUME_LINES), """, g as (select *, sum(case when kind = 'text' and before in ('text', 'contact') then 0 else 1 end) over (partition by id order by n) as g from (select *, lag(kind) over (partition by id order by n) as before from k)),
 j as (select id, g, string_agg(l, ' ' order by n) as l from g group by 1, 2) select id, string_agg(l, '|' order by g) as lines from j group by 1"""))
 def joined_lines(spark, d):
-    return spark.createDataFrame(RESUME_LINES, "id int, t string").select("id", F.array_join(T.joined_lines(F.col("t")), "|").alias("lines"))
+    joined = T.joined_lines(texts(spark, d, RESUME_LINES, "id int, text string"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"])
+    return joined.groupBy("id").agg(F.array_join(in_order, "|").alias("lines"))
 
 
-@query(lambda: "with " + values("v", "id, a, b, c", PATCHES) + " select id, array_to_string(list_concat(coalesce(a, []), coalesce(b, []), coalesce(c, [])), ',') as notes from v")
+@query(lambda: "with " + values("v0", "id, a, b, c", PATCHES) + ", v as (select * from v0 union all select doc_id + 1000, string_split(split_part(text, chr(10), 1), ' '), null, [source, lang]::varchar[] from documents) select id, array_to_string(list_concat(coalesce(a, []), coalesce(b, []), coalesce(c, [])), ',') as notes from v")
 def merged_patch(spark, d):
-    rows = spark.createDataFrame(PATCHES, "id int, a array<string>, b array<string>, c array<string>")
+    docs = read(spark, d, "documents").select(F.col("doc_id") + 1000, F.split(F.split_part("text", F.lit("\n"), F.lit(1)), " "), F.lit(None).cast("array<string>"), F.array("source", "lang"))
+    rows = spark.createDataFrame(PATCHES, "id int, a array<string>, b array<string>, c array<string>").union(docs)
     return rows.select("id", F.array_join(T.merged_patch([F.col(c) for c in "abc"]), ",").alias("notes"))
 
 
-@query(lambda: "with " + values("v", "job_id, job_name, best", SHEET) + " select trim(job_id) as job_id, trim(coalesce(job_name, '')) as job_name, try_cast(best as double) as best from v where trim(job_id) <> '' and try_cast(best as double) >= 0 and try_cast(best as double) < 80")
+@query(lambda: "with " + values("v0", "job_id, job_name, best", SHEET) + ", v as (select * from v0 union all select ' c' || c_custkey, c_name, case when c_custkey % 9 = 0 then 'n/a' else (c_acctbal / 100)::varchar end from customer) select trim(job_id) as job_id, trim(coalesce(job_name, '')) as job_name, try_cast(best as double) as best from v where trim(job_id) <> '' and try_cast(best as double) >= 0 and try_cast(best as double) < 80")
 def summary_rows(spark, d):
-    rows = spark.createDataFrame(SHEET, "job_id string, job_name string, best string")
+    key = F.col("c_custkey")
+    customers = read(spark, d, "customer").select(F.concat(F.lit(" c"), key.cast("string")), "c_name", F.when(key % 9 == 0, "n/a").otherwise((F.col("c_acctbal") / 100).cast("string")))
+    rows = spark.createDataFrame(SHEET, "job_id string, job_name string, best string").union(customers)
     return T.scored_rows(rows, "job_id", "best", ["job_id", "job_name", "best"], 0.0, 80.0)
 
 
@@ -149,9 +161,11 @@ def said_duration(spark, d):
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", T.said_duration(seconds).alias("took"))
 
 
-@query(lambda: "with " + values("v", "id, given, made", NAMED) + ", n as (select id, coalesce(nullif(trim(given), ''), 'ATS_Result_' || strftime(made::timestamp, '%Y%m%d_%H%M%S')) as n from v) select id, case when ends_with(lower(n), '.xlsx') then n else n || '.xlsx' end as name from n")
+@query(lambda: "with " + values("v0", "id, given, made", NAMED) + ", v as (select id, given, made::timestamp as made from v0 union all select event_id + 1000, case when event_id % 3 = 0 then event_type when event_id % 3 = 1 then ' ' end, ts::timestamp from events), n as (select id, coalesce(nullif(trim(given), ''), 'ATS_Result_' || strftime(made::timestamp, '%Y%m%d_%H%M%S')) as n from v) select id, case when ends_with(lower(n), '.xlsx') then n else n || '.xlsx' end as name from n")
 def result_name(spark, d):
-    rows = spark.createDataFrame(NAMED, "id int, given string, made string")
+    i = F.col("event_id")
+    events = read(spark, d, "events").select(i + 1000, F.when(i % 3 == 0, F.col("event_type")).when(i % 3 == 1, " "), F.col("ts").cast("timestamp"))
+    rows = spark.createDataFrame(NAMED, "id int, given string, made string").withColumn("made", F.col("made").cast("timestamp")).union(events)
     return rows.select("id", T.result_name(F.col("given"), F.col("made").cast("timestamp")).alias("name"))
 
 
@@ -166,10 +180,12 @@ def platform_alignment(spark, d):
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *(c.alias(k) for k, c in found.items()))
 
 
-@query(lambda: "with " + values("v", "id, t", ANSWERS) + " select id, case when json_valid(t) then coalesce(array_to_string(from_json(json_extract(t, '$.bullets'), '[\"VARCHAR\"]'), ','), '') end as bullets, case when coalesce(t, '') = '' then 'empty answer' when not json_valid(t) then 'invalid JSON: ' || t end as error from v")
+@query(lambda: "with " + values("v0", "id, t", ANSWERS) + ", v as (select * from v0 union all select event_id + 1000, case when event_id % 4 = 0 then '{\"bullets\": [\"' || event_type || '\", \"b\"], ' || substr(props, 2) when event_id % 4 = 1 then event_type else props end from events) select id, case when json_valid(t) then coalesce(array_to_string(from_json(json_extract(t, '$.bullets'), '[\"VARCHAR\"]'), ','), '') end as bullets, case when coalesce(t, '') = '' then 'empty answer' when not json_valid(t) then 'invalid JSON: ' || t end as error from v")
 def model_answers(spark, d):
     """FC4: a model's answer parsed; what isn't JSON is a row with an error."""
-    rows = spark.createDataFrame(ANSWERS, "id int, t string")
+    i, kind = F.col("event_id"), F.col("event_type")
+    made = F.when(i % 4 == 0, F.concat(F.lit('{"bullets": ["'), kind, F.lit('", "b"], '), F.substring("props", 2, 1 << 20))).when(i % 4 == 1, kind).otherwise(F.col("props"))
+    rows = spark.createDataFrame(ANSWERS, "id int, t string").union(read(spark, d, "events").select(i + 1000, made))
     parsed = F.from_json("t", "bullets array<string>, note string, _bad string", {"columnNameOfCorruptRecord": "_bad"})
     empty = F.coalesce("t", F.lit("")) == ""
     bad = parsed["_bad"].isNotNull()
@@ -189,3 +205,28 @@ def role_scores_sorted(spark, d):
     s = read(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_returnflag").alias("role")).agg(F.sum("l_quantity").cast("double").alias("score"), F.min("l_linenumber").alias("line"))
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "line", "role")))
     return s.groupBy("l_orderkey").agg(F.array_join(F.transform(ordered, lambda x: x["role"]), ",").alias("roles"))
+
+
+NESTED = [
+    (1, '{"b": 2, "skills": ["x", {"text": "deep", "a": true}], "text": "first", "z": null, "e": ""}'), (2, "[1, [2, [3, {\"title\": \"t\", \"summary\": \"s\"}]]]"), (3, "not json"), (4, None), (5, "{}"), (6, '"plain"'), (7, "null"), (8, "{bad"), (9, '{"a": {"b": {"c": {"education": "e", "d": 1.5}}}}'),
+]
+
+
+@query(lambda: "with recursive " + values("v0", "id, t", NESTED) + f""", v as (select id::bigint as id, t from v0 union all select event_id + 1000, case event_id % 5 when 0 then '{{"k2": ["' || event_type || '", {{"role": "r' || user_id || '"}}], "summary": ' || props || '}}' when 1 then props || '}}' else props end from events),
+w as (select id, t::json as j, []::varchar[] as pos from v where json_valid(t) union all
+  select w.id, e.value as j, list_append(w.pos, case when json_type(w.j) = 'ARRAY' then printf('%010d', e.key::bigint) when list_contains({lit(nested.TEXT_KEYS)}, e.key) then printf('0%05d', list_position({lit(nested.TEXT_KEYS)}, e.key)) else '1' || e.key end) as pos from w, json_each(w.j) e where json_type(w.j) in ('OBJECT', 'ARRAY')),
+l as (select id, pos, case when json_type(j) = 'BOOLEAN' then case when j::varchar = 'true' then 'True' else 'False' end else j ->> '$' end as said from w where json_type(j) not in ('OBJECT', 'ARRAY', 'NULL'))
+select v.id, coalesce((select string_agg(said, ' ' order by pos) from l where l.id = v.id and said <> ''), '') as text, case when t is not null and not json_valid(t) then 'invalid JSON: ' || substr(t, 1, 200) end as error from v""")
+def nested_evidence(spark, d):
+    """SRC11, FC1: text of nested documents, keys in order of weight; malformed ones as an error."""
+    i = F.col("event_id")
+    deep = F.concat(F.lit('{"k2": ["'), F.col("event_type"), F.lit('", {"role": "r'), F.col("user_id").cast("string"), F.lit('"}], "summary": '), F.col("props"), F.lit("}"))
+    events = read(spark, d, "events").select((i + 1000).alias("id"), F.when(i % 5 == 0, deep).when(i % 5 == 1, F.concat("props", F.lit("}"))).otherwise(F.col("props")).alias("json"))
+    return nested.nested_text(spark.createDataFrame(NESTED, "id long, json string").union(events))
+
+
+@query("select page_id, regexp_extract(url, '://([^/?#]*)', 1) as host, url, row_number() over (order by encode(regexp_extract(url, '://([^/?#]*)', 1)), encode(url), page_id) as ord from pages")
+def page_order(spark, d):
+    """SRC10, O1: a global order by ranges and counts, so no task sees all rows."""
+    pages = read(spark, d, "pages").select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"), "url")
+    return ordering.numbered(pages, F.col("host"), F.col("url"), F.col("page_id"))

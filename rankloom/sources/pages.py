@@ -5,9 +5,11 @@ from __future__ import annotations
 import zipfile
 from io import BytesIO
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordering import numbered
+
 
 def links(pages: DataFrame, containing: list[str]) -> DataFrame:
     """page_id, link: distinct targets without query whose url contains one of the strings."""
@@ -62,7 +64,9 @@ def read_texts(spark: SparkSession, path: str, recursive: bool = False) -> DataF
 
     name = F.element_at(F.split("path", "/"), -1)
     rows = files.where(~F.element_at(F.split("path", "/"), -1).startswith("~$")).select("path", "content").mapInPandas(run, "path string, text string, error string")
-    return rows.withColumn("name", name).withColumn("ord", F.row_number().over(Window.orderBy(F.lower("name"), F.lower("path"))))
+    # names and paths alone are put in order; texts stay where they were read
+    names = numbered(files.select("path").withColumn("name", name).where(~F.col("name").startswith("~$")), F.lower("name"), F.lower("path"), F.col("path"))
+    return rows.join(names.select("path", "name", "ord"), "path")
 
 
 def docx_text(content: bytes, tables: bool = True) -> str:

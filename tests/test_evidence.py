@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import lexicon as L
 from rankloom.operators import evidence, skills
-from rankloom.plans.evidence_catalog import ACHIEVED, PROJECTS
+from rankloom.plans.evidence_catalog import ACHIEVED
+
+PROJECTS = [
+    (1, "Core stack databricks, sql\nTitle: Databricks engineer\nProfessional Experience\nClient: Bank\nBuilt and optimized a databricks lakehouse on delta lake with unity catalog and spark. Reduced cost by 40% in 3 days.\nClient: Shop\nWrote java code.\nClient: Mill\nMigrated pyspark and sql to databricks, implemented dlt and photon, saved 5 hours"),
+    (2, "Snowflake developer\nsnowflake snowpipe\nclient: a\nconfigured databricks once\nclient: b\ntasks"), (3, "nothing here"), (4, None), (5, "databricks " * 3 + "snowflake " * 9 + "\nclient: one\ndatabricks and snowflake and spark"),
+]
 
 
 def test_mentions_stand_between_other_characters(spark, monkeypatch):
