@@ -32,16 +32,18 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.
 
 
 def unassigned() -> str:
-    """Code points without a character in Python's own tables, as ranges; other libraries' tables may be newer."""
+    """Code points without a character in Python's own tables that the newer ones of `regex` have, as ranges."""
     from unicodedata import category
 
+    import regex
+
+    found = regex.findall(r"\P{Cn}", "".join(c for c in map(chr, range(0x110000)) if category(c) == "Cn"))
     ranges: list[list[int]] = []
-    for p in range(0x110000):
-        if category(chr(p)) == "Cn":
-            if ranges and ranges[-1][1] == p - 1:
-                ranges[-1][1] = p
-            else:
-                ranges.append([p, p])
+    for p in map(ord, found):
+        if ranges and ranges[-1][1] == p - 1:
+            ranges[-1][1] = p
+        else:
+            ranges.append([p, p])
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
 
 
