@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -26,3 +26,10 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True, escape='"')
+
+
+def write_counted(df: DataFrame, path: str, **counters: Column) -> dict[str, int]:
+    """Write df as Parquet and count in the same pass; counters are aggregates. The numbers are those of the rows written."""
+    seen = Observation()
+    df.observe(seen, F.count("*").alias("rows"), *(c.alias(n) for n, c in counters.items())).write.mode("overwrite").parquet(path)
+    return seen.get

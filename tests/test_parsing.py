@@ -133,3 +133,26 @@ def test_nested_text(spark):
     got = {r.id: (r.text, r.error) for r in nested.nested_text(spark.createDataFrame(rows, "id int, json string")).collect()}
     assert got[1] == ("first t True 1.5", None) and got[2] == ("1", None) and got[5] == ("", None) and got[7] == ("", None)
     assert all(got[k][0] == "" and got[k][1].startswith("invalid JSON: ") for k in (3, 4, 6, 8))
+
+
+def test_counters_come_with_the_rows_written(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from rankloom.sources.sinks import write_counted
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id % 2 = 0")
+    seen = write_counted(docs, str(tmp_path / "out"), english=F.count_if(F.col("lang") == "en"), longest=F.max(F.length("text")))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert seen == {"rows": back.count(), "english": back.where("lang = 'en'").count(), "longest": back.agg(F.max(F.length("text"))).first()[0]}
+
+
+def test_vectors_in_blocks(spark, monkeypatch):
+    from rankloom.operators import ranking
+
+    vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    probes = vectors.where("vec_id % 50 = 0")
+    want = sorted(map(tuple, ranking.top_vectors(vectors, probes, 3).collect()))
+    monkeypatch.setattr(ranking, "BLOCK", 3)
+    found = ranking.top_vectors(vectors, probes, 3)
+    assert sorted(map(tuple, found.collect())) == want
+    assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
