@@ -47,23 +47,31 @@ def relevant_years(total: Column, years: Column, own: Column, target: Column) ->
     return F.when(F.size(target) == 0, total).when(best.isNotNull(), round2(F.least(F.when(total > 0, total).otherwise(best), best))).otherwise(round2(total * F.least(F.lit(0.75), share)))
 
 
-def evidence_depth(text: Column, targets: list[str]) -> dict[str, Column]:
-    """score, strong, weak: skills shown in context, by numbers or often weigh more than skills only named."""
-    low, points, strong, weak = F.lower(F.coalesce(text, F.lit(""))), F.lit(0.0), [], []
-    # most texts have no word of work or no measure; the long patterns are tried on the others only
+def evidence_depth(text: Column, targets: list[str]) -> Column:
+    """(score, strong, weak): skills shown in context, by numbers or often weigh more than skills only named.
+
+    One struct, so that a text is searched once for each skill whatever is read of it; select it before its fields. Most
+    texts have no word of work or no measure, and most don't hold a skill: the long patterns are tried on the others only.
+    """
+    low = F.lower(F.coalesce(text, F.lit("")))
+    skills = sorted({t.strip().lower() for t in targets if t.strip()})
     works, measures = F.regexp_like(low, F.lit(rf"\b(?:{L.DEPTH_ACTIONS})\b")), F.regexp_like(low, F.lit(rf"\d\s*(?:{L.UNITS})\b"))
-    gated = lambda gate, skill, found: F.when(gate & F.contains(low, F.lit(skill)), found).otherwise(False)
-    for skill in sorted({t.strip().lower() for t in targets if t.strip()}):
-        s = rf"\b\Q{skill}\E\b"
-        count = F.regexp_count(low, F.lit(s))
-        acted = gated(works, skill, F.regexp_like(low, F.lit(rf"\b(?:{L.DEPTH_ACTIONS})\b[^.;\n]{{0,110}}{s}|{s}[^.;\n]{{0,110}}\b(?:{L.DEPTH_ACTIONS})\b")))
-        metric = gated(measures, skill, F.regexp_like(low, F.lit(rf"{s}[^.;\n]{{0,130}}\b\d+(?:\.\d+)?\s*(?:{L.UNITS})\b")))
-        is_strong = acted | metric | (count >= 3)
-        points += F.when(is_strong, F.least(F.lit(8.0), 3.0 + count * 0.8 + F.when(metric, 2.0).otherwise(0.0))).when(count > 0, F.least(F.lit(2.0), 0.6 + count * 0.35)).otherwise(0.0)
-        strong.append(F.when(is_strong, F.lit(skill)))
-        weak.append(F.when(~is_strong & (count > 0), F.lit(skill)))
-    listed = lambda xs: F.filter(F.array(*xs) if xs else F.array().cast("array<string>"), lambda x: x.isNotNull())
-    return {"score": round2(F.least(F.lit(100.0), points * 100.0 / (max(1, len(set(targets))) * 6.0))), "strong": listed(strong), "weak": listed(weak)}
+    action = rf"\b(?:{L.DEPTH_ACTIONS})\b"
+
+    def shown(s: Column) -> Column:
+        word = F.concat(F.lit(r"\b\Q"), s, F.lit(r"\E\b"))
+        beside = F.concat(F.lit(rf"{action}[^.;\n]{{0,110}}"), word, F.lit("|"), word, F.lit(rf"[^.;\n]{{0,110}}{action}"))
+        told = F.concat(word, F.lit(rf"[^.;\n]{{0,130}}\b\d+(?:\.\d+)?\s*(?:{L.UNITS})\b"))
+        return F.struct(s.alias("skill"), F.regexp_count(low, word).alias("n"), F.when(works, F.regexp_like(low, beside)).otherwise(False).alias("acted"), F.when(measures, F.regexp_like(low, told)).otherwise(False).alias("measured"))
+
+    held = F.transform(F.filter(F.array(*map(F.lit, skills)) if skills else F.array().cast("array<string>"), lambda s: F.contains(low, s)), shown)
+    strong = lambda x: x["acted"] | x["measured"] | (x["n"] >= 3)
+    points = lambda x: F.when(strong(x), F.least(F.lit(8.0), 3.0 + x["n"] * 0.8 + F.when(x["measured"], 2.0).otherwise(0.0))).when(x["n"] > 0, F.least(F.lit(2.0), 0.6 + x["n"] * 0.35)).otherwise(0.0)
+    named = lambda xs, test: F.transform(F.filter(xs, test), lambda x: x["skill"])
+    total = lambda xs: F.aggregate(F.transform(xs, points), F.lit(0.0), lambda a, p: a + p)
+    score = lambda xs: round2(F.least(F.lit(100.0), total(xs) * 100.0 / (max(1, len(set(targets))) * 6.0)))
+    # a list of one, so that what is found has a name and is computed once
+    return F.transform(F.array(held), lambda xs: F.struct(score(xs).alias("score"), named(xs, strong).alias("strong"), named(xs, lambda x: ~strong(x) & (x["n"] > 0)).alias("weak")))[0]
 
 
 def located(text: Column, pattern: str) -> Column:

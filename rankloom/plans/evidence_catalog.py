@@ -78,8 +78,8 @@ select doc_id, {r2(f"least(100, sum({points} order by skill) * 100 / {len(TARGET
 
 @query(depth_sql)
 def evidence_depth(spark, d):
-    found = E.evidence_depth(F.col("text"), TARGETS)
-    return read(spark, d, "documents").select("doc_id", found["score"].alias("score"), *(F.array_join(found[k], ",").alias(k) for k in ("strong", "weak")))
+    found = read(spark, d, "documents").select("doc_id", E.evidence_depth(F.col("text"), TARGETS).alias("found"))
+    return found.select("doc_id", "found.score", *(F.array_join(f"found.{k}", ",").alias(k) for k in ("strong", "weak")))
 
 
 @query("""with x as (select l_orderkey, l_suppkey % 4 as tier, (l_partkey % 5 + 1)::double / 2 as weight, l_linenumber % 2 = 1 as required, l_returnflag = 'R' as held, l_quantity::double as q from lineitem),
