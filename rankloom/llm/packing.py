@@ -89,7 +89,7 @@ class WordBpe:
         self._words.clear()
 
     def _chunk(self, chunk: str) -> bytes | None:
-        if not chunk.isascii() and self._odd(chunk):
+        if not chunk.isascii() and max(chunk) >= "\u0130" and self._odd(chunk):  # nothing below is odd
             return None
         chunk = self._nfc("NFC", chunk).lower()
         known, out = self._words, b""
