@@ -205,3 +205,5 @@ RULES = {
 }
 #: The verbs of ACHIEVED.
 RESULTS = "reduced|improved|increased|accelerated|optimized|saved|cut|processed|supported"
+# fixed values: headers of roles and dates that no line of experience may have
+HEADER_PATTERNS = [r"\bsenior data engineer at\b", r"\bdata engineer at\b", r"\bjul\s+20\d{2}\b", r"\bsep\s+20\d{2}\b", r"\bpresent\s*\)"]

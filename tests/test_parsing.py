@@ -156,3 +156,19 @@ def test_vectors_in_blocks(spark, monkeypatch):
     found = ranking.top_vectors(vectors, probes, 3)
     assert sorted(map(tuple, found.collect())) == want
     assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_patch_errors(spark):
+    from rankloom.operators import patches
+    from rankloom.plans import patch_catalog as P
+
+    rows = spark.createDataFrame(P.GENERATED, "id long, patch string, approved string")
+    got = {r.id: r.errors for r in patches.patch_errors(rows, P.APART, P.HEADS).collect()}
+    assert got[1] == [
+        "Duplicate bullets in summary_bullets: ['a']", "Unapproved numeric claim detected: 40", "Unapproved numeric claim detected: 2021", "Experience isolation violation: experience_1_bullets contains: payroll",
+        "Experience isolation violation: experience_2_bullets contains: warranty claim", "Experience bullet contains employer/role/date header text: Data Engineer at home", "Experience bullet contains employer/role/date header text: warranty claims of jul 2021",
+    ]
+    assert got[2] == [f"Missing patch key: {k}" for k in patches.KEYS] and got[3] == got[4] == ["Patch is not JSON."]
+    assert got[5] == ["Patch field must be a list: summary_bullets", "Patch field must be a list: change_notes", "skills_latex must be a string."]
+    assert got[6][-1] == "skills_latex is empty." and len(got[6]) == 4
+    assert "Bullet exceeds 450 characters in summary_bullets: " + "x" * 100 + "..." in got[7] and not any("claim" in e for e in got[7])
