@@ -1,10 +1,13 @@
 """Word lists, patterns and weights that results depend on, in natural order."""
 
-STOP_WORDS = """
-a an and are as at be been being by can could for from has have having he her hers him his i if in into is it its may must of on or our ours shall she should that the their theirs them they this those to us was we were will with would you your yours
-job role position candidate required preferred responsibility responsibilities requirement requirements experience years year work working strong excellent good knowledge skills skill ability including using
-tasks task project projects solution solutions support leadership communication collaboration training mentorship benefits employer apply privacy copyright recruiter posted company
-""".split()
+# fixed values: words that say nothing of a text
+STOP_WORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "been", "being", "by", "can", "could", "for", "from", "has", "have", "having", "he", "her", "hers", "him", "his", "i", "if", "in", "into", "is", "it", "its", "may", "must", "of", "on",
+    "or", "our", "ours", "shall", "she", "should", "that", "the", "their", "theirs", "them", "they", "this", "those", "to", "us", "was", "we", "were", "will", "with", "would", "you", "your", "yours", "job", "role", "position",
+    "candidate", "required", "preferred", "responsibility", "responsibilities", "requirement", "requirements", "experience", "years", "year", "work", "working", "strong", "excellent", "good", "knowledge", "skills", "skill",
+    "ability", "including", "using", "tasks", "task", "project", "projects", "solution", "solutions", "support", "leadership", "communication", "collaboration", "training", "mentorship", "benefits", "employer", "apply", "privacy",
+    "copyright", "recruiter", "posted", "company",
+]
 
 #: Applied one after another, in this order.
 PHRASES = [
@@ -18,18 +21,29 @@ PHRASES = [
 
 TOKEN = r"[a-z0-9]+(?:[+#.-][a-z0-9]+)*"
 
-ACCEPT_TITLES = [x.strip() for x in """
-data engineer, senior data engineer, lead data engineer, principal data engineer, staff data engineer, big data engineer, cloud data engineer, azure data engineer, aws data engineer, gcp data engineer, analytics engineer, data platform engineer, data infrastructure engineer, data integration engineer, streaming data engineer, real time data engineer, data pipeline engineer,
-etl engineer, elt engineer, etl developer, etl lead, etl architect, etl consultant, data integration developer, integration engineer, data warehouse developer, data warehouse engineer, dwh developer, dwh engineer, warehouse developer, warehouse engineer, database developer, database engineer, database architect, database analyst, sql developer, sql engineer, pl/sql developer, t-sql developer,
-business intelligence, bi developer, bi engineer, bi analyst, power bi, tableau, looker, qlik, cognos, microstrategy, obiee, data analyst, analytics analyst, analytics consultant, report developer, reporting developer, reporting analyst, insights analyst, product analyst, data scientist, machine learning engineer, ml engineer, ai engineer, genai engineer, llm engineer, deep learning engineer, applied scientist, research engineer,
-data architect, enterprise data architect, cloud data architect, analytics architect, lakehouse architect, data modeler, data modelling, data modeling, master data, mdm, data governance, data steward, data quality, metadata engineer, metadata analyst, snowflake, databricks, spark, pyspark, hadoop, kafka, airflow, dbt, dagster, prefect, apache beam, microsoft fabric, azure fabric, synapse, redshift, bigquery, azure data factory, aws glue, informatica, ab initio, talend, datastage, ssis, matillion, fivetran, dataiku, data warehouse, lakehouse, data pipeline, data platform, big data, business analyst, business systems analyst
-""".replace("\n", " ").split(",")]
+# fixed values: titles that are accepted, and those that are rejected
+ACCEPT_TITLES = [
+    "data engineer", "senior data engineer", "lead data engineer", "principal data engineer", "staff data engineer", "big data engineer", "cloud data engineer", "azure data engineer", "aws data engineer", "gcp data engineer",
+    "analytics engineer", "data platform engineer", "data infrastructure engineer", "data integration engineer", "streaming data engineer", "real time data engineer", "data pipeline engineer", "etl engineer", "elt engineer",
+    "etl developer", "etl lead", "etl architect", "etl consultant", "data integration developer", "integration engineer", "data warehouse developer", "data warehouse engineer", "dwh developer", "dwh engineer", "warehouse developer",
+    "warehouse engineer", "database developer", "database engineer", "database architect", "database analyst", "sql developer", "sql engineer", "pl/sql developer", "t-sql developer", "business intelligence", "bi developer",
+    "bi engineer", "bi analyst", "power bi", "tableau", "looker", "qlik", "cognos", "microstrategy", "obiee", "data analyst", "analytics analyst", "analytics consultant", "report developer", "reporting developer",
+    "reporting analyst", "insights analyst", "product analyst", "data scientist", "machine learning engineer", "ml engineer", "ai engineer", "genai engineer", "llm engineer", "deep learning engineer", "applied scientist",
+    "research engineer", "data architect", "enterprise data architect", "cloud data architect", "analytics architect", "lakehouse architect", "data modeler", "data modelling", "data modeling", "master data", "mdm", "data governance",
+    "data steward", "data quality", "metadata engineer", "metadata analyst", "snowflake", "databricks", "spark", "pyspark", "hadoop", "kafka", "airflow", "dbt", "dagster", "prefect", "apache beam", "microsoft fabric", "azure fabric",
+    "synapse", "redshift", "bigquery", "azure data factory", "aws glue", "informatica", "ab initio", "talend", "datastage", "ssis", "matillion", "fivetran", "dataiku", "data warehouse", "lakehouse", "data pipeline", "data platform",
+    "big data", "business analyst", "business systems analyst",
+]
 
-REJECT_TITLES = [x.strip() for x in """
-frontend, front end, backend, back end, full stack, react developer, angular developer, vue developer, ios developer, android developer, mobile developer, web developer, java developer, .net developer, dotnet developer, c# developer, c++ developer, golang developer, ruby developer, php developer, node developer, software developer, application developer, devops engineer, site reliability engineer, sre engineer,
-network engineer, network administrator, systems engineer, linux engineer, windows engineer, storage engineer, security engineer, cyber security, cybersecurity, information security, soc analyst, penetration tester, qa engineer, quality assurance, automation tester, test engineer, manual tester, selenium tester, salesforce, servicenow, service now, guidewire, policycenter, claimcenter, billingcenter, sap fico, sap basis, sap abap, sap mm, sap sd, oracle ebs, oracle fusion,
-embedded, firmware, fpga, asic, electrical engineer, mechanical engineer, desktop support, help desk, technical support, it support, field technician, project manager, program manager, product manager, scrum master, delivery manager, engineering manager, director, vice president, chief, recruiter, talent acquisition, human resources, graphic designer, ux designer, ui designer, accountant, auditor
-""".replace("\n", " ").split(",")]
+REJECT_TITLES = [
+    "frontend", "front end", "backend", "back end", "full stack", "react developer", "angular developer", "vue developer", "ios developer", "android developer", "mobile developer", "web developer", "java developer", ".net developer",
+    "dotnet developer", "c# developer", "c++ developer", "golang developer", "ruby developer", "php developer", "node developer", "software developer", "application developer", "devops engineer", "site reliability engineer",
+    "sre engineer", "network engineer", "network administrator", "systems engineer", "linux engineer", "windows engineer", "storage engineer", "security engineer", "cyber security", "cybersecurity", "information security",
+    "soc analyst", "penetration tester", "qa engineer", "quality assurance", "automation tester", "test engineer", "manual tester", "selenium tester", "salesforce", "servicenow", "service now", "guidewire", "policycenter",
+    "claimcenter", "billingcenter", "sap fico", "sap basis", "sap abap", "sap mm", "sap sd", "oracle ebs", "oracle fusion", "embedded", "firmware", "fpga", "asic", "electrical engineer", "mechanical engineer", "desktop support",
+    "help desk", "technical support", "it support", "field technician", "project manager", "program manager", "product manager", "scrum master", "delivery manager", "engineering manager", "director", "vice president", "chief",
+    "recruiter", "talent acquisition", "human resources", "graphic designer", "ux designer", "ui designer", "accountant", "auditor",
+]
 
 TRACKING_KEYS = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "source", "src", "tracking", "ref", "referrer", "gh_src", "lever-source"]
 
