@@ -221,3 +221,11 @@ RULES = {
 RESULTS = "reduced|improved|increased|accelerated|optimized|saved|cut|processed|supported"
 # fixed values: headers of roles and dates that no line of experience may have
 HEADER_PATTERNS = [r"\bsenior data engineer at\b", r"\bdata engineer at\b", r"\bjul\s+20\d{2}\b", r"\bsep\s+20\d{2}\b", r"\bpresent\s*\)"]
+# fixed values: formats of exports with several postings, and how lines that are no title begin
+BLOB_START = r"(?im)^\s*(?:={5,}\s*)?JOB\s+START(?:\s*={5,})?\s*$"
+BLOB_BETWEEN = r"(?ims)^\s*(?:={5,}\s*)?JOB\s+START(?:\s*={5,})?\s*$(.*?)(?:^\s*(?:={5,}\s*)?JOB\s+END(?:\s*={5,})?\s*$|\z)"
+BLOB_NUMBER = r"(?m)^(Job\s+\d+\s*)$"
+BLOB_CUTS = [r"(?ims)^Similar Jobs.*", r"(?ims)^Technology Professionals.*", r"(?ims)^Dice Id.*"]
+BLOB_PROCESSING = r"(?im)^(\s*Processing\s*:\s*.*)$"
+BLOB_RULE = r"(?m)^\s*={20,}\s*$"
+BLOB_IGNORED = ["job ", "url:", "job url:", "link:", "company:", "location:", "description:", "job description:", "processing:"]

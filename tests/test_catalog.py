@@ -1,6 +1,6 @@
 import pytest
 
-from rankloom.plans import catalog, evidence_catalog, pair_catalog, parsing_catalog, patch_catalog, posting_catalog, profile_catalog, rule_catalog, tailoring_catalog  # noqa: F401
+from rankloom.plans import blob_catalog, catalog, evidence_catalog, pair_catalog, parsing_catalog, patch_catalog, posting_catalog, profile_catalog, rule_catalog, tailoring_catalog  # noqa: F401
 
 from .oracle import compare
 
