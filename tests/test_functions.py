@@ -73,3 +73,21 @@ def test_stream_appends_only_new_links(spark, tmp_path):
         stream = spark.readStream.schema("url string, n int").parquet(source)
         links.load_links(stream, master, str(tmp_path / "state")).awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(master).collect())) == [("a", 1), ("b", 2), ("c", 4)]
+
+
+def test_batches_read_only_the_folders_they_touch(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "master")
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select(F.concat(F.lit("u"), (F.col("user_id") % 400).cast("string")).alias("url"), "event_type", "event_id")
+    for k in (0, 1, 2, 1):  # the last is run again
+        links.append_new(events.where(F.col("event_id") % 3 == k), path, buckets=16)
+    got = links.master(spark, path)
+    assert sorted(r.url for r in got.select("url").collect()) == sorted(r.url for r in events.select("url").distinct().collect())
+    one = links.touched(spark, path, [5])
+    assert one.count() > 0 and "PartitionFilters: [isnotnull(bucket" in one._jdf.queryExecution().executedPlan().toString()
+    read = {r.f for r in one.select(F.input_file_name().alias("f")).distinct().collect()}
+    assert read and all("/bucket=5/" in f for f in read) and len(read) < len(spark.read.parquet(path).inputFiles()) / 4
+    links.append_new(spark.createDataFrame([(None, "x", 1), (None, "x", 1)], "url string, event_type string, event_id long"), path, buckets=16)
+    links.append_new(spark.createDataFrame([(None, "y", 2)], "url string, event_type string, event_id long"), path, buckets=16)
+    assert links.master(spark, path).where("url is null").count() == 1
