@@ -38,18 +38,21 @@ def patch_errors(patches: DataFrame, isolated: dict[str, list[str]], headers: li
     lines = {k: F.coalesce(F.try_variant_get(c("v"), f"$.{k}", "array<string>"), none) for k in BULLETS}
     rows = rows.withColumns({"missing": missing, "wrong": wrong, "latex": F.coalesce(F.try_variant_get(c("v"), "$.skills_latex", "string"), F.lit(""))} | lines)
 
+    rows = rows.withColumns({f"k_{k}": F.transform(k, plain) for k in BULLETS})
+    rows = rows.withColumns({f"s_{k}": F.array_sort(f"k_{k}") for k in BULLETS})
     counted = said([F.when(~F.size(k).between(a, b), F.lit(f"{name} must contain {a}-{b} bullets.")) for k, (name, a, b) in COUNTS.items()])
 
     def repeated(key: str) -> Column:
-        keys = F.transform(key, plain)
-        twice = F.filter(F.array_distinct(keys), lambda x: (x != "") & (F.size(F.filter(keys, lambda y: y == x)) > 1))
+        """Repeated lines in order of their first; equal ones are neighbours once sorted."""
+        twice = F.array_intersect(F.filter(f"k_{key}", lambda x: x != ""), F.filter(f"s_{key}", lambda x, i: (i > 0) & (x == F.get(f"s_{key}", i - 1))))
         return F.when(F.size(twice) > 0, F.concat(F.lit(f"Duplicate bullets in {key}: ['"), F.array_join(twice, "', '"), F.lit("']")))
 
     long_ = lambda k: F.transform(F.filter(k, lambda x: F.length(x) > LONGEST), lambda x: F.concat(F.lit(f"Bullet exceeds {LONGEST} characters in {k}: "), F.substring(x, 1, 100), F.lit("...")))
     every = F.array_join(F.concat(*BULLETS), "\n")
     claims = F.transform(unapproved_numbers(every, c("approved")), lambda n: F.concat(F.lit("Unapproved numeric claim detected: "), n))
     alone = lambda k, phrases: F.transform(F.filter(strings(phrases), lambda p: F.contains(F.lower(F.array_join(k, " ")), p)), lambda p: F.concat(F.lit(f"Experience isolation violation: {k} contains: "), p))
-    headed = lambda k: F.transform(F.filter(k, lambda x: F.exists(strings(headers), lambda p: F.regexp_like(F.lower(x), F.concat(F.lit("(?U)"), p)))), lambda x: F.concat(F.lit("Experience bullet contains employer/role/date header text: "), F.substring(x, 1, 120)))
+    header = "(?U)" + ("|".join(f"(?:{p})" for p in headers) or r"\z(?!\z)")
+    headed = lambda k: F.transform(F.filter(k, lambda x: F.regexp_like(F.lower(x), F.lit(header))), lambda x: F.concat(F.lit("Experience bullet contains employer/role/date header text: "), F.substring(x, 1, 120)))
     block = [("\\section*", "skills_latex missing section declaration."), ("\\begin{longtable}", "skills_latex missing longtable start."), ("\\end{longtable}", "skills_latex missing longtable end."), ("\\textbf{", "skills_latex contains no skill categories.")]
     latex = F.when(c("latex") == "", F.array(F.lit("skills_latex is empty."))).otherwise(said([F.when(~F.contains("latex", F.lit(m)), F.lit(e)) for m, e in block]))
     content = F.concat(counted, said([repeated(k) for k in BULLETS]), *(long_(k) for k in BULLETS), claims, *(alone(k, ps) for k, ps in isolated.items()), headed("experience_1_bullets"), headed("experience_2_bullets"), latex)
