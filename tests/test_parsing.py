@@ -180,3 +180,29 @@ def test_patch_errors(spark):
     assert got[5] == ["Patch field must be a list: summary_bullets", "Patch field must be a list: change_notes", "skills_latex must be a string."]
     assert got[6][-1] == "skills_latex is empty." and len(got[6]) == 4
     assert "Bullet exceeds 450 characters in summary_bullets: " + "x" * 100 + "..." in got[7] and not any("claim" in e for e in got[7])
+
+
+def test_repeated_lines_take_no_square_of_steps(spark):
+    import json
+    import time
+
+    from rankloom.operators import patches
+    from rankloom.plans import patch_catalog as P
+
+    lines = [f"line {i}" for i in range(6000)] + ["b", "a", "B ", "a", ""]
+    rows = spark.createDataFrame([(1, P.patch(experience_2_bullets=lines), "")], "id long, patch string, approved string")
+    assert json.loads(P.patch(experience_2_bullets=lines))["experience_2_bullets"] == lines
+    began = time.time()
+    (row,) = patches.patch_errors(rows, P.APART, P.HEADS).collect()
+    assert "Duplicate bullets in experience_2_bullets: ['b', 'a']" in row.errors
+    assert time.time() - began < 5  # 36 million comparisons took longer
+
+
+def test_vectors_without_all_numbers_score_nothing(spark):
+    from rankloom.operators import ranking
+
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, None), (4, [1.0, None]), (5, [0.0, 0.0]), (6, [1.0]), (7, [-1.0, 0.0]), (8, []), (None, [1.0, 0.0])], "vec_id long, embedding array<float>")
+    found = {r.vec_id: (r.score, r["rank"]) for r in ranking.top_vectors(rows, rows.where("vec_id = 1"), 20).collect()}
+    assert found == {2: (70.71, 1)} | {i: (0.0, k + 2) for k, i in enumerate((3, 4, 5, 6, 7, 8))}
+    plan = ranking.top_vectors(rows, rows.where("vec_id = 1"), 20)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "zip_with" not in plan
