@@ -8,22 +8,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..functions.text import round2, squeeze
+from ..functions.text import SPACE, all_in, any_in, odd_letters, once, round2, squeeze, stripped
 from .evidence import posting_id, posting_title, posting_url
 from .postings import looks_like_posting
 
 
 def bare(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return stripped(text, SPACE)
 
 
 def places(text: Column, pattern: str) -> Column:
     """Where matches of a pattern begin, from 0 and in order; what lies between matches tells it."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    steps = F.zip_with(F.slice(F.split(text, pattern), 1, F.size(found)), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("size")))
+    steps = lambda found: F.zip_with(F.slice(F.split(text, pattern), 1, F.size(found)), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("size")))
     start = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("at"))
     walk = lambda acc, s: F.struct((acc["end"] + s["gap"] + s["size"]).alias("end"), F.array_append(acc["at"], acc["end"] + s["gap"]).alias("at"))
-    return F.when(F.size(found) == 0, F.array().cast("array<int>")).otherwise(F.aggregate(steps, start, walk, lambda acc: acc["at"]))
+    at = lambda found: F.when(F.size(found) == 0, F.array().cast("array<int>")).otherwise(F.aggregate(steps(found), start, walk, lambda acc: acc["at"]))
+    return once(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), at)
 
 
 def chunks(text: Column, starts: Column) -> Column:
@@ -47,30 +47,42 @@ def split_by_links(blobs: DataFrame) -> DataFrame:
     Parts begin at portal links (at any links where portal links are less than two), each pulled back to its header;
     without two such parts at marker lines. Parts that don't look like postings and those that repeat link, id and title
     are left out; where none is left, and where nothing splits, the whole text is one part. Null and blank: none.
+    A pattern is tried only on texts that hold words which it needs.
     """
-    clean = bare(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n"), "\n{4,}", "\n\n\n"))
-    x = F.col("_x")
-    rows = blobs.select("blob_id", clean.alias("_x")).where("_x <> ''")
-    rows = rows.withColumn("_u", places(x, L.PORTAL_LINK)).withColumn("_u", F.when(F.size("_u") < 2, places(x, L.ANY_LINK)).otherwise(F.col("_u")))
+    text = F.coalesce("text", F.lit(""))
+    clean = bare(F.regexp_replace(F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text), "\n{4,}", "\n\n\n"))
+    x, nowhere = F.col("_x"), F.array().cast("array<int>")
+    rows = blobs.where(bare(text) != "").select("blob_id", clean.alias("_x")).withColumn("_low", F.lower("_x"))
+    linked = F.contains(x, F.lit("://"))
+    rows = rows.withColumn("_u", F.when(linked, places(x, L.PORTAL_LINK)).otherwise(nowhere)).withColumn("_u", F.when(linked & (F.size("_u") < 2), places(x, L.ANY_LINK)).otherwise(F.col("_u")))
     rows = rows.withColumn("_s", F.transform("_u", lambda u: posting_start(x, u)))
     rising = F.filter("_s", lambda s, i: (i == 0) | (s > F.array_max(F.slice("_s", 1, F.greatest(i, F.lit(1))))))
-    rows = rows.withColumn("_c", chunks(x, rising))
-    marks = F.array_sort(F.array_distinct(F.flatten(F.array(*(places(x, p) for p in L.POSTING_MARKERS)))))
+    rows = rows.withColumn("_r", rising).withColumn("_c", chunks(x, F.col("_r")))
+    marks = F.array_sort(F.array_distinct(F.flatten(F.array(*(F.when(all_in(F.col("_low"), ws), places(x, p)).otherwise(nowhere) for p, ws in zip(L.POSTING_MARKERS, L.MARKER_WORDS, strict=True))))))
     rows = rows.withColumn("_m", marks).withColumn("_c", F.when(F.size("_c") <= 1, chunks(x, F.col("_m"))).otherwise(F.col("_c")))
 
     def fields(t: Column) -> Column:
-        labelled = lambda names: F.coalesce(*(F.nullif(bare(F.regexp_extract(t, rf"(?imdU)^\s*{n}\s*[:\-]\s*(.+?)\s*$", 1)), F.lit("")) for n in names))
-        title = F.coalesce(labelled([r"job\s*title", r"position\s*title", "title"]), posting_title(t))
-        named = {"title": title, "company": F.coalesce(labelled(["company", "employer"]), F.lit("")), "location": F.coalesce(labelled(["location"]), F.lit("")), "url": posting_url(t), "job_id": posting_id(t), "text": t}
-        return F.struct(*(c.alias(k) for k, c in named.items()))
+        filled = lambda v: F.when(v != "", v)
+        value = lambda n: once(bare(F.regexp_extract(t, rf"(?imdU)^\s*{n}\s*[:\-]\s*(.+?)\s*$", 1)), filled)
 
-    rows = rows.withColumn("_p", F.transform(F.filter("_c", looks_like_posting), fields))
+        def of(low: Column) -> Column:
+            labelled = lambda word, names: F.when(any_in(low, [word]) | odd_letters(low), F.coalesce(*map(value, names)))
+            title = F.coalesce(labelled("title", [r"job\s*title", r"position\s*title", "title"]), posting_title(t))
+            company = F.coalesce(labelled("company", ["company"]), labelled("employer", ["employer"]), F.lit(""))
+            named = {"title": title, "company": company, "location": F.coalesce(labelled("location", ["location"]), F.lit("")), "url": posting_url(t), "job_id": posting_id(t), "text": t}
+            return F.struct(*(c.alias(k) for k, c in named.items()))
+
+        return once(F.lower(t), of)
+
+    postings = F.when(F.size("_c") > 1, F.filter("_c", looks_like_posting)).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn("_p", F.transform(postings, fields))
     key = lambda p: F.struct(F.lower(p["url"]), F.lower(p["job_id"]), squeeze(F.lower(p["title"])))
     rows = rows.withColumn("_k", F.transform("_p", key))
     fresh = F.filter("_p", lambda p, i: F.array_position(F.col("_k"), key(p)) == i + 1)
     split = (F.size("_c") > 1) & (F.size("_p") > 0)
     rows = rows.withColumn("_p", F.when(split, fresh).otherwise(F.array(fields(x))))
-    return rows.select("blob_id", F.posexplode("_p").alias("part", "_f")).select("blob_id", "part", "_f.*")
+    # there is always a part; an inner explode would have Spark infer a filter on parts and compute all columns anew below it
+    return rows.select("blob_id", F.posexplode_outer("_p").alias("part", "_f")).select("blob_id", "part", "_f.*")
 
 
 def pairs_of(url: Column) -> Column:
