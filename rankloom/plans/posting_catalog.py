@@ -50,7 +50,8 @@ def sections_sql() -> str:
 
 @query(sections_sql)
 def jd_sections(spark, d):
-    wide = texts(spark, d, TEXTS, "id int, t string").select("id", *(P.posting_section(F.col("t"), n).alias(n) for n in L.POSTING_SECTIONS))
+    found = texts(spark, d, TEXTS, "id int, t string").select("id", P.sections(F.col("t"), L.POSTING_SECTIONS).alias("s"))
+    wide = found.select("id", *(F.coalesce(F.try_element_at("s", F.lit(n)), F.lit("")).alias(n) for n in L.POSTING_SECTIONS))
     return wide.unpivot(["id"], list(L.POSTING_SECTIONS), "section", "body")
 
 
@@ -162,5 +163,5 @@ def patch_validation(spark, d):
 def achievements(spark, d):
     from ..operators.profiles import achievements as told
 
-    found = told(F.col("t"))
-    return texts(spark, d, RESULTS, "id int, t string").select("id", F.array_join(found, " | ").alias("found"), F.least(F.size(found) * 22.0, F.lit(100.0)).alias("score"))
+    rows = texts(spark, d, RESULTS, "id int, t string").select("id", told(F.col("t")).alias("found"))
+    return rows.select("id", F.array_join("found", " | ").alias("found"), F.least(F.size("found") * 22.0, F.lit(100.0)).alias("score"))

@@ -60,3 +60,15 @@ def test_results_are_looked_for_in_single_clauses(spark):
     from rankloom.operators.profiles import achievements
 
     assert "flatten" in planned(frame.select("id")) or "flatten" in planned(spark.createDataFrame(rows, "id int, t string").select(achievements(F.col("t"))))
+
+
+def test_sections_clean_only_lines_that_begin_like_a_header(spark):
+    text = "  -- Requirements!!\r\na\n* Nice-to-have:\nb\n'duties\nc\nOVERVIEW —\n\u000bd \u0085e"
+    rows = spark.createDataFrame([(1, text), (2, "none"), (3, None), (4, "duties")], "id int, t string")
+    from rankloom.plans import posting_catalog
+
+    got = {r.id: r.s for r in rows.select("id", postings.sections(F.col("t"), L.POSTING_SECTIONS).alias("s")).collect()}
+    assert got == {1: {"required": "a", "preferred": "b\n'duties\nc", "summary": "d \ne"}, 2: {}, 3: {}, 4: {"responsibilities": ""}}
+    wide = rows.select(*(postings.posting_section(F.col("t"), n).alias(n) for n in L.POSTING_SECTIONS)).first()
+    assert wide.required == "a" and wide.summary == "d \ne" and wide.responsibilities == ""
+    assert planned(posting_catalog.jd_sections(spark, "/root/testdata/sf0.001")).count("[^a-z0-9\\s']") <= 3  # once for each table
