@@ -6,40 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
-from ..functions.text import round2, squeeze
-from .pairs import Lexicon, domains_of, pattern, role_of, stands, strings
-from .postings import cleaned, header_key
+from ..functions.text import any_in, once, round2, squeeze, stripped
+from .pairs import Lexicon, domains_of, is_word, known_words, pattern, role_of, stands, standing, strings
+from .postings import cleaned, sections
 from .skills import mentions
 
 #: Sections of a résumé and what a mention there adds to a skill's confidence.
 PARTS = {"summary": "summary", "experience": "experience", "projects": "project", "skills": "skills", "certifications": "certification"}
 #: Characters around a mention in which years count for it.
 AROUND = 150
-STRIP = r"^\s+|\s+$"
-
-
-# ---- sections in one pass over lines
-
-
-def sections(text: Column, headers: dict[str, list[str]]) -> Column:
-    """Map of section to its text: the lines behind its first header line, up to a header line of another section.
-
-    Lines are read once: what is kept of them is where headers stand, and every section is a slice between two of these.
-    A section without a header is missing.
-    """
-    key = lambda h: " ".join("".join(c if c.isalnum() or c == "'" else " " for c in h.lower()).split())
-    known = F.create_map(*(F.lit(x) for name, hs in headers.items() for h in dict.fromkeys(map(key, hs)) for x in (h, name)))
-    lines = F.split(F.coalesce(text, F.lit("")), r"\R")
-    kinds = F.transform(lines, lambda line: F.try_element_at(known, header_key(line)))
-    heads = F.filter(F.transform(kinds, lambda kind, i: F.struct((i + 1).alias("line"), kind.alias("kind"))), lambda h: h["kind"].isNotNull())
-
-    def one(name: str) -> Column:
-        start = F.array_min(F.transform(F.filter(heads, lambda h: h["kind"] == name), lambda h: h["line"]))
-        end = F.array_min(F.transform(F.filter(heads, lambda h: (h["kind"] != name) & (h["line"] > start)), lambda h: h["line"]))
-        body = F.slice(lines, start + 1, F.greatest(F.coalesce(end, F.size(lines) + 1) - start - 1, F.lit(0)))
-        return F.struct(F.lit(name).alias("key"), F.regexp_replace(F.array_join(body, "\n"), STRIP, "").alias("value"))
-
-    return F.map_from_entries(F.filter(F.array(*map(one, headers)), lambda e: e["value"].isNotNull()))
 
 
 # ---- fields of a posting
@@ -48,11 +23,12 @@ def sections(text: Column, headers: dict[str, list[str]]) -> Column:
 def experience_range(text: Column) -> tuple[Column, Column]:
     """(least, most) years: of the first range, else of the first `N years of experience`, else the greatest number up to 30."""
     number, unit = r"(\d+(?:\.\d+)?)", r"(?:years|yrs)"
-    found = lambda p, k: F.nullif(F.regexp_extract(text, p, k), F.lit("")).cast("double")
+    told = any_in(F.lower(text), ["years", "yrs"])  # most texts name none, and no pattern is tried on them
+    found = lambda p, k: F.when(told, once(F.regexp_extract(text, p, k), lambda v: F.when(v != "", v))).cast("double")
     spans = rf"(?i){number}\s*(?:-|–|to)\s*{number}\+?\s*{unit}"
     asked = found(rf"(?i)(?:minimum\s+of\s+|at\s+least\s+)?{number}\+?\s*{unit}(?:\s+of)?\s+(?:professional\s+)?experience", 1)
     every = F.filter(F.transform(F.regexp_extract_all(text, F.lit(rf"(?i){number}\+?\s*{unit}"), F.lit(1)), lambda x: x.cast("double")), lambda x: (x > 0) & (x <= 30))
-    other = F.coalesce(asked, F.array_max(every), F.lit(0.0))
+    other = F.coalesce(asked, F.when(told, F.array_max(every)), F.lit(0.0))
     return F.coalesce(found(spans, 1), other), F.when(found(spans, 1).isNotNull(), found(spans, 2)).otherwise(other)
 
 
@@ -65,8 +41,9 @@ def titled_seniority(title: Column, years: Column) -> Column:
 
 def lines_with(text: Column, markers: list[str]) -> Column:
     """Lines that hold a marker, without what numbers or bullets them, distinct in order."""
-    plain = F.transform(F.split(F.coalesce(text, F.lit("")), r"\R"), lambda x: F.regexp_replace(F.regexp_replace(x, r"^[\s•*\-–—\d.)]+", ""), STRIP, ""))
-    return F.array_distinct(F.filter(plain, lambda x: (x != "") & F.exists(strings(markers), lambda m: F.contains(F.lower(x), m))))
+    holds = lambda x: once(F.lower(x), lambda low: any_in(low, markers))
+    plain = F.transform(F.split(text, r"\R"), lambda x: stripped(F.regexp_replace(x, r"^[\s•*\-–—\d.)]+", "")))
+    return F.when(holds(text), F.array_distinct(F.filter(plain, holds))).otherwise(F.array().cast("array<string>"))
 
 
 def posting_columns() -> list[str]:
@@ -82,30 +59,35 @@ def parse_postings(jobs: DataFrame, lex: Lexicon, aliases: dict[str, list[str]],
     aliases: skill to what it is called, lower case. One narrow pass over the texts; nothing is exchanged.
     """
     c = F.col
-    blank = lambda name: F.regexp_replace(F.coalesce(name, F.lit("")), STRIP, "")
+    blank = lambda name: stripped(F.coalesce(name, F.lit("")))
     rows = jobs.select(*keep, cleaned(c("text")).alias("raw_text"), *(blank(f).alias(f) for f in ("title", "company", "location", "url", "job_id")))
-    normal = lambda x: squeeze(F.translate(F.lower(x), "–—", "--"))
+    normal = lambda x: squeeze(F.replace(F.replace(F.lower(x), F.lit("–"), F.lit("-")), F.lit("—"), F.lit("-")))
     rows = rows.withColumns({"normalized_text": normal(c("raw_text")), "low": F.lower("raw_text"), "parts": sections(c("raw_text"), L.POSTING_SECTIONS)})
     link = F.rtrim(F.regexp_extract("raw_text", r"(?i)https?://[^\s<>\"]+", 0), F.lit(".,);]"))
+    link = F.when(F.contains("raw_text", F.lit("://")), link).otherwise("")
     number = F.regexp_extract("raw_text", r"(?i)(?:job\s*id|position\s*id|requisition\s*id|req\s*id)\s*[:#-]?\s*([a-z0-9/_-]+)", 1)
+    number = F.when(any_in(c("low"), ["job", "position", "req"]) & any_in(c("low"), ["id"]), number).otherwise("")
     part = lambda name: F.coalesce(F.try_element_at("parts", F.lit(name)), F.lit(""))
     both = F.filter(F.array(part("required"), part("preferred")), lambda s: s != "")
     rows = rows.withColumns({
         "url": F.when(c("url") != "", c("url")).otherwise(link), "job_id": F.when(c("job_id") != "", c("job_id")).otherwise(number),
         "summary": part("summary"), "responsibilities": part("responsibilities"), "qualifications": F.array_join(both, "\n"), "_required": normal(part("required")), "_preferred": normal(part("preferred")),
     })
-    least, most = experience_range(F.when(c("qualifications") != "", c("qualifications")).otherwise(c("raw_text")))
-    rows = rows.withColumns({"minimum_experience": least, "maximum_experience": most})
-    table = F.array(*(F.struct(F.lit(s).alias("skill"), strings(ns).alias("names")) for s, ns in sorted(aliases.items())))
+    rows = rows.withColumn("_years", F.when(c("qualifications") != "", c("qualifications")).otherwise(c("raw_text")))
+    least, most = experience_range(c("_years"))
+    names = sorted(n for ns in aliases.values() for n in ns)
+    known = sorted({*lex.words, *filter(is_word, names)})
+    rows = rows.withColumns({"minimum_experience": least, "maximum_experience": most, "_words": known_words(c("low"), known), "_title_words": known_words(F.lower("title"), lex.words)})
+    table = [F.struct(F.lit(s).alias("skill"), strings(ns).alias("names"), (F.size(standing(c("low"), c("_words"), ns)) > 0).alias("held")) for s, ns in sorted(aliases.items())]
     in_ = lambda text, names: F.exists(names, lambda n: F.contains(text, n) & (stands(text, n) > 0))
     # a skill that neither section names counts as required
-    found = F.transform(F.filter(table, lambda s: in_(c("low"), s["names"])), lambda s: F.struct(s["skill"].alias("skill"), (in_(c("_required"), s["names"]) | ~in_(c("_preferred"), s["names"])).alias("required")))
+    found = F.transform(F.filter(F.array(*table), lambda s: s["held"]), lambda s: F.struct(s["skill"].alias("skill"), (in_(c("_required"), s["names"]) | ~in_(c("_preferred"), s["names"])).alias("required")))
     rows = rows.withColumn("_found", found)
     rows = rows.withColumns({"_skills": F.transform("_found", lambda s: s["skill"])})
     required = F.transform(F.filter("_found", lambda s: s["required"]), lambda s: s["skill"])
     rows = rows.withColumns({
         "required_skills": F.when(F.size(required) > 0, required).otherwise(c("_skills")), "preferred_skills": F.transform(F.filter("_found", lambda s: ~s["required"]), lambda s: s["skill"]),
-        "seniority": titled_seniority(c("title"), c("minimum_experience")), "_domains": domains_of(c("low"), lex), "_roles": role_of(F.lower("title"), c("low"), c("_skills"), lex, every=True),
+        "seniority": titled_seniority(c("title"), c("minimum_experience")), "_domains": domains_of(c("low"), lex, c("_words")), "_roles": role_of(F.lower("title"), c("low"), c("_skills"), lex, every=True, words=F.array_union("_title_words", "_words")),
     })
     rows = rows.withColumns({"_role": F.array_max("_roles"), "_domain": F.array_max("_domains")})
     scores = lambda array, name: F.map_from_entries(F.transform(array, lambda x: F.struct(x[name].alias("key"), round2(x["score"]).alias("value"))))

@@ -72,3 +72,15 @@ def test_sections_clean_only_lines_that_begin_like_a_header(spark):
     wide = rows.select(*(postings.posting_section(F.col("t"), n).alias(n) for n in L.POSTING_SECTIONS)).first()
     assert wide.required == "a" and wide.summary == "d \ne" and wide.responsibilities == ""
     assert planned(posting_catalog.jd_sections(spark, "/root/testdata/sf0.001")).count("[^a-z0-9\\s']") <= 3  # once for each table
+
+
+def test_postings_are_parsed_by_their_words_not_by_a_pattern_for_each_term(spark):
+    from rankloom.plans import parsing_catalog
+
+    rows = [(1, "That's these of-that la que, 3-5 Yrs\nof MUST-HAVE – x\n  2) Certified — y", "que la", None, None, None, None)]
+    jobs = spark.createDataFrame(rows, "id int, text string, title string, company string, location string, url string, job_id string")
+    frame = parsing_catalog.parsing.parse_postings(jobs, parsing_catalog.LEXICON, parsing_catalog.NAMES, "id")
+    r = frame.first()
+    assert r.required_skills == ["que", "task", "that", "this"] and (r.minimum_experience, r.maximum_experience) == (3.0, 5.0) and r.normalized_text.endswith("must-have - x 2) certified - y")
+    assert r.mandatory_requirements == ["of MUST-HAVE – x"] and r.certifications == ["Certified — y"] and r.primary_role == "que analyst" and r.url == r.job_id == ""
+    assert "(?U)\\W+" in planned(frame)
