@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Keys whose values come first, in this order.
@@ -18,29 +16,32 @@ def nested_text(rows: DataFrame, keys: list[str] = TEXT_KEYS) -> DataFrame:
     """id, text, error from rows (id, json): all values joined by spaces, and what isn't JSON as an error.
 
     Objects give the values of `keys` first and then the others by name (a VARIANT doesn't keep the order of the rest),
-    lists theirs in order, nulls and empty strings nothing. Containers are opened a level at a time by variant_explode
-    until none is left, so depth is not bounded and no row is parsed twice. A null is no text and no error.
+    lists theirs in order, nulls and empty strings nothing. A row keeps a list of places and values; all containers in it
+    are opened a level at a time until no row has one, so depth is not bounded, nothing is exchanged and no level is made
+    from the texts anew. A null is no text and no error.
     """
     c = F.col
-    wrapped = lambda a, b: F.try_parse_json(F.concat(F.lit(a), "json", F.lit(b))).isNotNull()
-    whole = wrapped("[", "]") & wrapped('{"a":', "}")  # the parser stops behind the first value; inside both of these nothing may follow it
-    parsed = rows.select("id", "json", F.when(whole, F.try_parse_json("json")).alias("v"))
-    level = parsed.where("v is not null").select("id", "v", F.array().cast("array<string>").alias("at"))
-    rank = F.array_position(F.array(*map(F.lit, keys)), c("key"))
-    parts = []
-    while True:
-        kind = F.schema_of_variant("v")
-        open_ = level.where(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
-        parts.append(level.where(~(kind.startswith("OBJECT") | kind.startswith("ARRAY") | (kind == "VOID"))).select("id", "at", F.initcap(F.variant_get("v", "$", "string")).alias("flag"), F.variant_get("v", "$", "string").alias("said"), kind.alias("kind")))
-        if open_.isEmpty():
-            break
-        open_.createOrReplaceTempView("_nested_level")
-        step = rows.sparkSession.sql("select l.id, l.at, e.pos, e.key, e.value as v from _nested_level l, lateral variant_explode(l.v) e")
-        # an entry's place: listed keys by their number, the others behind them by name, list entries by position
-        place = F.when(c("key").isNull(), F.format_string("%010d", c("pos"))).when(rank > 0, F.format_string("0%05d", rank)).otherwise(F.concat(F.lit("1"), c("key")))
-        level = step.select("id", "v", F.concat("at", F.array(place)).alias("at"))
-    said = reduce(DataFrame.unionByName, parts)
-    said = said.select("id", "at", F.when(c("kind") == "BOOLEAN", c("flag")).otherwise(c("said")).alias("said")).where("said != ''")
-    joined = said.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "said"))), lambda x: x["said"]), " ").alias("text"))
+    wrapped = lambda a, b: F.try_parse_json(F.concat(F.lit(a), "json", F.lit(b)))
+    # the parser stops behind the first value; inside both of these nothing may follow it
+    parsed = rows.select("id", "json", wrapped("[", "]").alias("in_list"), wrapped('{"a":', "}").isNotNull().alias("in_object"))
+    parsed = parsed.select("id", "json", F.when(c("in_object"), F.try_variant_get("in_list", "$[0]", "variant")).alias("v"))
+    kind = lambda v: F.schema_of_variant(v)
+    is_object, is_list = (lambda v: kind(v).startswith("OBJECT")), (lambda v: kind(v).startswith("ARRAY"))
+    rank = lambda key: F.array_position(F.array(*map(F.lit, keys)), key)
+    # an entry's place: listed keys by their number, the others behind them by name, list entries by position
+    by_key = lambda key: F.when(rank(key) > 0, F.format_string("0%05d", rank(key))).otherwise(F.concat(F.lit("1"), key))
+    entry = lambda at, place, v: F.struct(F.concat(at, F.array(place)).alias("at"), v.alias("v"))
+
+    def opened(x: Column) -> Column:
+        fields = F.transform(F.map_entries(F.try_variant_get(x["v"], "$", "map<string,variant>")), lambda e: entry(x["at"], by_key(e["key"]), e["value"]))
+        items = F.transform(F.try_variant_get(x["v"], "$", "array<variant>"), lambda v, i: entry(x["at"], F.format_string("%010d", i), v))
+        return F.when(is_object(x["v"]), fields).when(is_list(x["v"]), items).otherwise(F.array(F.struct(x["at"].alias("at"), x["v"].alias("v"))))
+
+    level = parsed.withColumn("all", F.when(c("v").isNotNull(), F.array(F.struct(F.array().cast("array<string>").alias("at"), c("v").alias("v")))))
+    while not level.where(F.exists("all", lambda x: is_object(x["v"]) | is_list(x["v"]))).isEmpty():
+        level = level.withColumn("all", F.flatten(F.transform("all", opened)))
+    word = lambda v: F.variant_get(v, "$", "string")
+    said = F.transform("all", lambda x: F.struct(x["at"].alias("at"), F.when(kind(x["v"]) == "BOOLEAN", F.initcap(word(x["v"]))).otherwise(word(x["v"])).alias("said")))
+    text = F.array_join(F.transform(F.array_sort(F.filter(said, lambda x: x["said"] != "")), lambda x: x["said"]), " ")
     error = F.when(c("json").isNotNull() & c("v").isNull(), F.concat(F.lit("invalid JSON: "), F.substring("json", 1, 200)))
-    return parsed.select("id", error.alias("error")).join(joined, "id", "left").select("id", F.coalesce("text", F.lit("")).alias("text"), "error")
+    return level.select("id", F.coalesce(text, F.lit("")).alias("text"), error.alias("error"))

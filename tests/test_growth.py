@@ -84,3 +84,14 @@ def test_postings_are_parsed_by_their_words_not_by_a_pattern_for_each_term(spark
     assert r.required_skills == ["que", "task", "that", "this"] and (r.minimum_experience, r.maximum_experience) == (3.0, 5.0) and r.normalized_text.endswith("must-have - x 2) certified - y")
     assert r.mandatory_requirements == ["of MUST-HAVE – x"] and r.certifications == ["Certified — y"] and r.primary_role == "que analyst" and r.url == r.job_id == ""
     assert "(?U)\\W+" in planned(frame)
+
+
+def test_nested_documents_are_opened_in_their_rows(spark):
+    from rankloom.operators import nested
+
+    rows = [(1, '{"z": [true, {"text": "t", "b": {"c": [1.5, "x"]}}], "text": "a", "n": null}'), (2, '"s"'), (3, "1,2"), (4, '1],[2'), (5, "[]"), (6, None), (6, "{}x")]
+    frame = nested.nested_text(spark.createDataFrame(rows, "id int, json string"))
+    got = sorted((r.id, r.text, r.error) for r in frame.collect() if r.id != 6)
+    assert got == [(1, "a True t 1.5 x", None), (2, "s", None), (3, "", "invalid JSON: 1,2"), (4, "", "invalid JSON: 1],[2"), (5, "", None)]
+    assert sorted((r.text, str(r.error)) for r in frame.collect() if r.id == 6) == [("", "None"), ("", "invalid JSON: {}x")]
+    assert "Join" not in planned(frame) and "Union" not in planned(frame)
