@@ -152,6 +152,9 @@ class PrefixTree:
         while todo:
             nodes.append(node := todo.pop())
             todo += node.children.values()
+        if len(probes) == 1:
+            yield from ((0, doc) for doc in self.walk(nodes, probes[0], labels[0]))
+            return
         vocabulary = np.unique(np.concatenate([x.label for x in nodes])) if nodes else np.zeros(0, np.uint64)
         if not len(vocabulary):
             return
@@ -162,6 +165,33 @@ class PrefixTree:
             for k, doc in self.traverse(vocabulary, probes[first : first + step], labels[first : first + step]):
                 yield first + k, doc
 
+    def walk(self, nodes: list[Node], probe: np.ndarray, label: int) -> Iterator[int]:
+        """traverse for one probe, as most tasks have: its members are looked up for all nodes at once, and sums are numbers."""
+        n = len(probe)
+        if not n:
+            return
+        members = np.concatenate([x.label for x in nodes])
+        at = np.searchsorted(probe, members)
+        held = probe[np.minimum(at, n - 1)] == members
+        ends = np.cumsum([len(x.label) for x in nodes])
+        upto = np.concatenate([[0], np.cumsum(held)])[ends].tolist()
+        # members of the probe up to the label's end; the root has no label and is first
+        behind = (at + held)[np.maximum(ends - 1, 0)].tolist() if len(members) else [0]
+        for x, before, after, end in zip(nodes, [0, *upto], upto, behind, strict=False):
+            x.rows = (after - before, end)
+        least, todo = least_overlap(n), [(c, 0, 0) for c in self.root.children.values()]
+        while todo:
+            node, depth, shared = todo.pop()
+            if NUM * node.low > DEN * n or node.high < least:
+                continue
+            found, end = node.rows
+            depth, shared = depth + len(node.label), shared + found
+            if shared + min(n - end, node.high - depth) < required(n, max(node.low, depth)):
+                continue
+            if node.docs and shared >= required(n, depth):
+                yield from (doc for doc, other in node.docs if other != label)
+            todo += [(c, depth, shared) for c in node.children.values()]
+
     def traverse(self, vocabulary: np.ndarray, probes: list[np.ndarray], labels: np.ndarray) -> Iterator[tuple[int, int]]:
         n = np.array([len(p) for p in probes])
         has = np.zeros((len(vocabulary), len(probes)), np.uint8)

@@ -355,3 +355,23 @@ def test_language(spark, none):
 @pytest.mark.parametrize("name", list(registry.oracle_sql()))
 def test_queries_equal_their_sql(spark, name):
     compare(registry.queries()[name](spark, SF), registry.oracle_sql()[name], SF)
+
+
+def test_one_probe_walks_the_trie_with_numbers(monkeypatch):
+    import numpy as np
+
+    from rankloom.llm import jaccard as J
+
+    rng, found = np.random.default_rng(3), 0
+    monkeypatch.setattr(J.PrefixTree, "traverse", lambda *_: pytest.fail("tables are for many probes"))
+    for n, noise in ((4, 0.1), (60, 0.03), (600, 0.05), (600, 0.5)):
+        base = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        sets = [np.unique(np.concatenate([base[rng.random(n) >= noise], rng.integers(0, 1 << 63, int(n * noise)).astype(np.uint64)])) for _ in range(30)]
+        sets = [x for x in sets if len(x)]
+        tree = J.PrefixTree()
+        for k, x in enumerate(sets[1:]):
+            tree.insert(k, x, k % 3)
+        near = sorted(k for k, x in enumerate(sets[1:]) if k % 3 != 1 and 100 * len(np.intersect1d(x, sets[0])) >= 75 * len(np.union1d(x, sets[0])))
+        assert sorted(doc for _, doc in tree.similar([sets[0]], np.array([1]))) == near
+        found += len(near)
+    assert found > 20 and not list(J.PrefixTree().similar([base], np.array([1])))
