@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that separates words everywhere in this package: U+0020 and U+0009 to U+000D.
@@ -54,6 +54,21 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def counted(df: DataFrame) -> DataFrame:
+    """cut(df); its rows are counted while they are written, so noted() asks no query of its own."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    out.rankloom_rows = seen.get.get("rows")  # None where Spark has found the plan to be empty
+    return out
+
+
+def noted(df: DataFrame) -> int:
+    """Rows of a written table, which are counted once at most."""
+    if df.__dict__.get("rankloom_rows") is None:
+        df.rankloom_rows = df.count()
+    return df.rankloom_rows
+
+
 def forget(*tables: DataFrame | None) -> None:
     """Delete what cut() wrote for these, once everything that reads them has been written itself; others are left alone."""
     for df in tables:
@@ -89,7 +104,7 @@ FEW_ROWS = 200_000
 
 def small(df: DataFrame) -> DataFrame:
     """A table that cut() has written, with a hint to broadcast it if it has few rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if "rankloom_path" in df.__dict__ and df.count() <= FEW_ROWS else df
+    return F.broadcast(df) if "rankloom_path" in df.__dict__ and noted(df) <= FEW_ROWS else df
 
 
 def replaced(new: DataFrame, *old: DataFrame | None) -> DataFrame:

@@ -5,23 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, forget, small
+from .common import counted, forget, replaced, small
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links (a, b) to v, label: every vertex of a link with the smallest vertex that it reaches."""
-    both = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("label")))
+    """links (a, b), as cut() has written them, to v, label: every vertex of a link with the smallest vertex that it reaches."""
+    both = links.select(F.col("a").alias("v"), F.col("b").alias("w")).union(links.select("b", "a"))
+    labels = counted(both.groupBy("v").agg(F.min("w").alias("w")).select("v", F.least("v", "w").alias("label")))
     while True:
-        near = both.join(small(labels), F.col("b") == F.col("v")).groupBy("a").agg(F.min("label").alias("m"))
-        nearer = cut(labels.join(near, F.col("v") == F.col("a")).select("v", F.col("label").alias("was"), F.least("label", "m").alias("label")))
-        root = small(nearer).select(F.col("v").alias("r"), F.col("label").alias("up"))
-        after = cut(nearer.join(root, F.col("label") == F.col("r"), "left").select("v", "was", F.least("label", F.coalesce("up", "label")).alias("label")))
-        forget(nearer)
-        done = after.where("label != was").isEmpty()
-        forget(labels)
-        labels = after.select("v", "label")
-        labels.rankloom_path = after.rankloom_path
-        if done:
-            forget(both)
+        # the least and the largest label of a vertex and its neighbours: where no two differ, labels are those of components
+        of = small(labels).select(F.col("v").alias("w"), "label")
+        near = both.join(of, "w").select("v", "label").union(labels).groupBy("v").agg(F.min("label").alias("label"), F.max("label").alias("high"))
+        nearer = counted(near)
+        if nearer.where("label < high").isEmpty():
+            forget(nearer)
             return labels
+        root = small(nearer).select(F.col("v").alias("r"), F.col("label").alias("up"))
+        after = counted(nearer.join(root, F.col("label") == F.col("r"), "left").select("v", F.least("label", F.coalesce("up", "label")).alias("label")))
+        labels = replaced(after, nearer, labels)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, docs_of, forget, frugal, replaced, slices, small, text_buffers
+from .common import counted, cut, docs_of, forget, frugal, noted, replaced, slices, small, text_buffers
 from .components import components
 from .tokens import FOLDED, MIX1, mixed, shingle_hashes, split_words, word_hashes
 
@@ -265,12 +265,12 @@ def blocks_in(count: Column, members: Column) -> Column:
 
 
 def lead_tasks(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """pairs (lead, lead_label, doc_id, label): each lead against blocks of its documents."""
-    pairs = pairs.distinct().join(small(sizes), "doc_id")
+    """pairs (lead, lead_label, doc_id, label): each lead against blocks of its documents. Pairs and tasks are written: a plan that reads a step several times repeats all of it each time, and the driver holds, describes and plans that anew with every stage."""
+    pairs = cut(pairs.distinct().join(small(sizes), "doc_id"))
     totals = pairs.groupBy("lead").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m"))
-    own = pairs.join(totals, "lead").select("lead", block_of(F.col("n"), F.col("m"), F.col("doc_id")).alias("block"), "doc_id", "label", "lead_label")
-    task = F.xxhash64("lead", "block").alias("task")
-    return own.select(task, F.lit(False).alias("probe"), "doc_id", "label").union(own.select(task, F.lit(True), "lead", "lead_label").distinct())
+    own = pairs.join(totals, "lead").select(F.xxhash64("lead", block_of(F.col("n"), F.col("m"), F.col("doc_id")).alias("block")).alias("task"), "doc_id", "label", "lead", "lead_label")
+    own = replaced(cut(own), pairs)
+    return replaced(cut(own.select("task", F.lit(False).alias("probe"), "doc_id", "label").union(own.select("task", F.lit(True), "lead", "lead_label").distinct())), own)
 
 
 def star_tasks(met: DataFrame, sizes: DataFrame, turn: int = 0) -> DataFrame:
@@ -283,6 +283,11 @@ def star_tasks(met: DataFrame, sizes: DataFrame, turn: int = 0) -> DataFrame:
     return lead_tasks(apart, sizes)
 
 
+def joined(tasks: DataFrame, sets: DataFrame) -> DataFrame:
+    """trie_join of tasks, which are deleted; written and counted."""
+    return replaced(counted(trie_join(tasks, sets)), tasks)
+
+
 def cross_tasks(met: DataFrame, sizes: DataFrame) -> DataFrame:
     """met (member, doc_id, label): what could link a group's labels to each other.
 
@@ -303,18 +308,23 @@ def cross_tasks(met: DataFrame, sizes: DataFrame) -> DataFrame:
     fits = (F.least("n_shingles", "n2") * DEN >= F.greatest("n_shingles", "n2") * NUM) & (F.col("label") < F.col("label2"))
     pairs = short.join(other, "member").where(fits).select("lead", F.col("label2").alias("lead_label"), "doc_id", "label")
 
+    few = lead_tasks(pairs, sizes)
+
     large = met.where(~F.col("few")).select("member", "doc_id", "label", "n_shingles")
     filled = large.groupBy("member", "label").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).select("member", "label", F.lit(True).alias("filled"))
-    large = large.join(filled, ["member", "label"], "left").select("member", "doc_id", "label", "n_shingles", F.when(F.col("filled"), F.col("label")).otherwise(F.lit(-1 << 62)).alias("kind"))
-    blocks = large.groupBy("member", "kind").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m"))
-    placed = large.join(blocks, ["member", "kind"]).select("member", "kind", block_of(F.col("n"), F.col("m"), F.col("doc_id")).alias("block"), "doc_id", "label")
+    large = counted(large.join(filled, ["member", "label"], "left").select("member", "doc_id", "label", "n_shingles", F.when(F.col("filled"), F.col("label")).otherwise(F.lit(-1 << 62)).alias("kind")))
+    if not noted(large):
+        forget(met, large)
+        return few
+    blocks = cut(large.groupBy("member", "kind").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m")))
+    placed = cut(large.join(blocks, ["member", "kind"]).select("member", "kind", block_of(F.col("n"), F.col("m"), F.col("doc_id")).alias("block"), "doc_id", "label"))
     each = blocks.select("member", "kind", F.explode(F.sequence(F.lit(0).cast("long"), (blocks_in(F.col("n"), F.col("m")) - 1).cast("long"))).alias("block"))
     second = each.select("member", F.col("kind").alias("kind2"), F.col("block").alias("block2"))
-    joined = each.join(second, "member").where((F.struct("kind", "block") <= F.struct(F.col("kind2").alias("kind"), F.col("block2").alias("block"))) & ((F.col("kind") != F.col("kind2")) | (F.col("kind") == -1 << 62)))
-    joined = joined.withColumn("task", F.xxhash64("member", "kind", "block", "kind2", "block2"))
-    left = placed.join(joined.select("member", "kind", "block", "task"), ["member", "kind", "block"]).select("task", F.lit(False).alias("probe"), "doc_id", "label")
-    mine = joined.select("member", F.col("kind2").alias("kind"), F.col("block2").alias("block"), "task")
-    return lead_tasks(pairs, sizes).union(left).union(placed.join(mine, ["member", "kind", "block"]).select("task", F.lit(True), "doc_id", "label"))
+    both = each.join(second, "member").where((F.struct("kind", "block") <= F.struct(F.col("kind2").alias("kind"), F.col("block2").alias("block"))) & ((F.col("kind") != F.col("kind2")) | (F.col("kind") == -1 << 62)))
+    both = cut(both.withColumn("task", F.xxhash64("member", "kind", "block", "kind2", "block2")))
+    left = placed.join(both.select("member", "kind", "block", "task"), ["member", "kind", "block"]).select("task", F.lit(False).alias("probe"), "doc_id", "label")
+    mine = both.select("member", F.col("kind2").alias("kind"), F.col("block2").alias("block"), "task")
+    return replaced(cut(few.union(left).union(placed.join(mine, ["member", "kind", "block"]).select("task", F.lit(True), "doc_id", "label"))), few, met, large, blocks, placed, both)
 
 
 def with_labels(met: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -336,15 +346,16 @@ def apart(rest: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def covered(of: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those documents of `of` (doc_id, label) that may be similar to one of another label.
+    """Those documents of `of` (doc_id, label) that may be similar to one of another label; written.
 
     What two sets of different labels share occurs under both labels; a document of which less than the threshold does
     has no partner there.
     """
+    of = cut(of)
     own = sets.join(of, "doc_id").select("doc_id", "n_shingles", "label", "members")
     tokens = exploded(own, 60, "label")
     found = tokens.join(across(tokens), "member", "left_semi").groupBy("doc_id").agg(F.count("*").alias("m"))
-    return found.join(own.select("doc_id", "n_shingles"), "doc_id").where(F.col("m") >= F.ceil(F.col("n_shingles") * NUM / DEN)).select("doc_id")
+    return replaced(cut(found.join(own.select("doc_id", "n_shingles"), "doc_id").where(F.col("m") >= F.ceil(F.col("n_shingles") * NUM / DEN)).select("doc_id")), of)
 
 
 def rarest(rest: DataFrame) -> DataFrame:
@@ -362,27 +373,28 @@ def jaccard_links(docs: DataFrame, sizes: DataFrame, n: int = N) -> tuple[DataFr
     need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n_shingles") * NUM / DEN) * EXTRA) - 1)  # needed(n), one less to be safe from rounding
     whole = cut(met.join(sizes, "doc_id").withColumn("need", need.cast("int")).where(F.size("own") >= F.col("need")))
     met = cut(rarest(whole))
-    sizes = cut(whole.select("doc_id", "n_shingles"))
+    sizes = counted(whole.select("doc_id", "n_shingles"))
     sets = cut(described(docs.join(sizes.select("doc_id"), "doc_id", "left_semi"), n, "set").dropDuplicates(["doc_id"]))
-    links = cut(trie_join(star_tasks(met, sizes), sets))
-    labels = components(links) if not links.isEmpty() else None
+    links = joined(star_tasks(met, sizes), sets)
+    labels = components(links) if noted(links) else None
     # what else could be linked; first by the few members that met, then by all of the prefixes
     met = replaced(cut(with_labels(met, labels)), met)
-    left = cut(covered(met.join(across(met), "member", "left_semi").select("doc_id", "label").distinct(), sets))
-    rest = replaced(cut(apart(whole.join(left, "doc_id", "left_semi"), labels)), whole, left, met)
+    left = covered(met.join(across(met), "member", "left_semi").select("doc_id", "label").distinct(), sets)
+    rest = replaced(counted(apart(whole.join(left, "doc_id", "left_semi"), labels)), whole, left, met)
     for turn in range(1, ROUNDS + 1):
-        if rest.isEmpty():  # nothing is left that could be linked
+        if not noted(rest):  # nothing is left that could be linked
             forget(sets, sizes, rest)
             return (links, labels) if labels is not None else (None, None)
-        more = cut(trie_join(star_tasks(rarest(rest), sizes, turn), sets))
-        if more.isEmpty():
+        more = joined(star_tasks(rarest(rest), sizes, turn), sets)
+        if not noted(more):
             break
-        links = replaced(cut(links.union(more)), links, more)
+        links = replaced(counted(links.union(more)), links, more)
         labels = replaced(components(links), labels)
-        rest = replaced(cut(apart(rest.join(covered(with_labels(rest.select("doc_id"), labels), sets), "doc_id", "left_semi"), labels)), rest)
-    more = cut(trie_join(cross_tasks(rarest(rest), sizes), sets))
-    if not more.isEmpty():
-        links = replaced(cut(links.union(more)), links, more)
+        left = covered(with_labels(rest.select("doc_id"), labels), sets)
+        rest = replaced(counted(apart(rest.join(left, "doc_id", "left_semi"), labels)), rest, left)
+    more = joined(cross_tasks(rarest(rest), sizes), sets)
+    if noted(more):
+        links = replaced(counted(links.union(more)), links, more)
         labels = replaced(components(links), labels)
     forget(sets, sizes, rest)
     return (links, labels) if labels is not None else (None, None)
