@@ -17,11 +17,10 @@ from rankloom.llm.common import WRITTEN, cut, forget, fresh, sweep, table
 
 
 def drop_toxic(spark, docs, sf_dir):
-    kept = docs.columns
-    own = docs.select(*(F.col(f"`{c}`").alias(f"_{c}") for c in kept), F.col("text"))
+    own = {c: "text" if c.lower() == "text" else f"_{c}" for c in docs.columns}  # a text goes to the workers and back once
     training = toxicity.training_rows(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(own, training)
-    return scored.where(F.col("score") < 0.5).select(*(F.col(f"`_{c}`").alias(c) for c in kept))
+    scored = toxicity.score(docs.select(*(F.col(f"`{c}`").alias(x) for c, x in own.items())), training)
+    return scored.where(F.col("score") < 0.5).select(*(F.col(f"`{x}`").alias(c) for c, x in own.items()))
 
 
 def drop_copies(spark, docs, sf_dir):
