@@ -14,7 +14,7 @@ from .postings import looks_like_posting
 
 
 def bare(text: Column) -> Column:
-    return stripped(text, SPACE)
+    return stripped(text, space=SPACE)
 
 
 def places(text: Column, pattern: str) -> Column:
